@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.llm import mixing, quality, sharding, url_filters
+from corpusgraph.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, url_filters
 from corpusgraph.llm.common import read_table
 
 
@@ -19,6 +19,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read_table(spark, sf_dir, "documents"), p=jaccard.JaccardParams(shingle=3, percent=90, light=3, spread=1.3))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(read_table(spark, sf_dir, "documents")).drop("source")
 
@@ -27,6 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignments(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.inspect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -37,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality.oracle_sql(),
         "op5_source_mix": mixing.oracle_sql(),
         "op6_sharding": sharding.oracle_sql(),
+        "op10_decontaminate": decontaminate.oracle_sql(),
     }
