@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, url_filters
+from corpusgraph.llm import decontaminate, html_extract, jaccard, licenses, mixing, pii, quality, sharding, url_filters
 from corpusgraph.llm.common import read_table
 
 
@@ -35,6 +35,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignments(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.inspect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
