@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.llm import decontaminate, html_extract, jaccard, licenses, mixing, pii, quality, sharding, url_filters
+from corpusgraph.llm import decontaminate, html_extract, jaccard, licenses, mixing, pii, quality, sharding, toxicity, url_filters
 from corpusgraph.llm.common import read_table
 
 
@@ -43,6 +43,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.inspect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
