@@ -165,7 +165,8 @@ def keep_good(docs: DataFrame, text: str = "text", p: QualityParams | None = Non
     model = fit(vote_patterns(_marked(docs.select(F.col(text).alias("text")), [], "text")), p.rounds)
     marked = _marked(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), [F.col("row")], "text").withColumnRenamed("__k0", "row")
     posterior = model.posterior([F.col(f"__v.{r}") for r in RULES])
-    return marked.where(~base_failed(p) & (posterior >= p.keep_from)).select("row.*")
+    # explode and not where: a filter would be pushed below the projections, and the arrays computed anew for each element
+    return marked.select(F.explode(F.when(~base_failed(p) & (posterior >= p.keep_from), F.array("row"))).alias("row")).select("row.*")
 
 
 def oracle_sql(p: QualityParams | None = None) -> str:
