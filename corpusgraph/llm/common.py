@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,18 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_WORD_BREAK), lambda w: w != "")
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in consecutive slices of about that many bytes of text, so a worker's lists of words stay small."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def within(df: DataFrame, most: int) -> bool:
     """Whether df has at most that many rows; reads no more than needed to tell."""
     return df.limit(most + 1).count() <= most

@@ -25,8 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.common import portions
+
 WORD_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-MEMO_MOST = 500_000
+MEMO_MOST = 200_000
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ SCAN = "n_words long, spans array<struct<first:long,after:long>>, items array<st
 def _scanner(windows, carried: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, memo = windows.value, WordHashes()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             texts = batch.column("text").cast(pa.binary())
             n_words, spans, items = [], [], []
             had = batch.column("spans").to_pylist(), batch.column("items").to_pylist()

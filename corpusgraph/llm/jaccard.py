@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import components, cut, hinted
+from corpusgraph.llm.common import components, cut, hinted, portions
 from corpusgraph.llm.decontaminate import WordHashes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -152,7 +152,7 @@ PROFILE = "id long, n_shingles long, print1 long, print2 long, prints array<long
 def _profiler(p: JaccardParams):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             ids, texts = batch.column("id"), batch.column("text").cast(pa.binary()).to_pylist()
             values, sizes = shingle_sets(texts, p.shingle, memo)
             upto = np.cumsum(sizes)
@@ -169,7 +169,7 @@ def _profiler(p: JaccardParams):
 def _set_maker(p: JaccardParams):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             values, sizes = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), p.shingle, memo)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.common import portions
 from corpusgraph.llm.decontaminate import WORD_TABLE
 
 # Phrases with places, and their labels.
@@ -161,7 +162,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     phrases, tags = automaton(), tag_automaton()
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    for batch in batches:
+    for batch in portions(batches, "text"):
         rows = [scan_text(t.as_py() or b"", phrases, tags) for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]], names)
 

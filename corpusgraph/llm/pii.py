@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.common import portions
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -215,7 +217,7 @@ SCHEMA = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha2
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in portions(batches, "text"):
         columns: list[list] = [[] for _ in names[1:]]
         for text in batch.column("text"):
             base, every = find(text.as_py() or "")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import cut, hinted
+from corpusgraph.llm.common import cut, hinted, portions
 from corpusgraph.llm.pii import LOOKALIKES
 
 
@@ -93,7 +93,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> DataFra
 
 def _count_entries(prefixes: tuple):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found: dict[bool, Counter] = {False: Counter(), True: Counter()}
             rows = Counter()
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
@@ -110,7 +110,7 @@ def _count_entries(prefixes: tuple):
 
 def _pairs(entries: frozenset, prefixes: tuple):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found: dict[bool, Counter] = {False: Counter(), True: Counter()}
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 words = folded(text.as_py())
@@ -199,7 +199,7 @@ def _calibrate(lexicon: Lexicon, rows: DataFrame) -> None:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             x = [min(10_000, round(100 * lexicon.density(t.as_py(), found))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), batch.column("toxic").cast(pa.int64())], ["x", "y"])
 
@@ -235,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             scores = [lexicon.score(lexicon.density(t.as_py(), found)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
