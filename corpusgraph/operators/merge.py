@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import text as fn
 from corpusgraph.operators.state import cut
 
-ORDER = F.struct("doc_ord", "segment_ix", "pos")
+
+def order() -> Column:
+    return F.struct("doc_ord", "segment_ix", "pos")
 
 
 def doc_set(c: str = "doc_id") -> Column:
@@ -30,7 +32,7 @@ def keyed(mentions: DataFrame) -> DataFrame:
 def merge_nodes(mentions: DataFrame, type_policy: str = "first", key: str = "canonical") -> DataFrame:
     """One node for each key. The first mention gives text and id; type_policy `first` or `best` (highest score) the type."""
     m = mentions if key in mentions.columns else keyed(mentions)
-    first = F.min_by(F.struct("text", "label"), ORDER)
+    first = F.min_by(F.struct("text", "label"), order())
     kind = F.col("first.label") if type_policy == "first" else F.col("best")
     agg = m.groupBy(F.col(key).alias("canonical")).agg(
         first.alias("first"), F.max_by("label", F.struct(F.col("score"), -F.col("doc_ord"), -F.col("segment_ix"), -F.col("pos"))).alias("best"),
@@ -53,7 +55,7 @@ def resolve(relations: DataFrame, nodes: DataFrame, aliases: DataFrame | None =
 
 
 def merge_edges(resolved: DataFrame) -> DataFrame:
-    first = F.min_by("doc_id", ORDER)
+    first = F.min_by("doc_id", order())
     return resolved.groupBy("source", "target", "relation_type").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_seen"), doc_set().alias("docs"), first.alias("first_doc"))
 
 
@@ -87,7 +89,7 @@ def contained_pairs(keys: DataFrame) -> DataFrame:
 def alias_leaders(mentions: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(canonical, leader): keys in order of first occurrence join the first leader that contains them or is contained
     in them, and lead otherwise. This is the first maximal independent set in that order, found in parallel rounds."""
-    keys = cut(mentions.groupBy("canonical").agg(F.min(ORDER).alias("ord")))
+    keys = cut(mentions.groupBy("canonical").agg(F.min(order()).alias("ord")))
     p = contained_pairs(keys.select("canonical"))
     near = p.union(p.select(F.col("long"), F.col("short"))).toDF("a", "b").distinct()
     a, b = keys.toDF("a", "a_ord"), keys.toDF("b", "b_ord")
@@ -112,7 +114,7 @@ def alias_leaders(mentions: DataFrame, max_rounds: int = 50) -> DataFrame:
 def entity_index(mentions: DataFrame) -> DataFrame:
     """Entities by id: the first mention's text, type and score, and how many mentions and documents there are."""
     m = mentions.withColumn("entity_id", fn.entity_id(F.col("text"), F.col("label")))
-    first = F.min_by(F.struct("text", "label", "score"), ORDER)
+    first = F.min_by(F.struct("text", "label", "score"), order())
     return m.groupBy("entity_id").agg(first.alias("f"), F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs")).select("entity_id", F.col("f.text").alias("text"), F.col("f.label").alias("entity_type"), F.col("f.score").alias("score"), "n_mentions", "n_docs")
 
 

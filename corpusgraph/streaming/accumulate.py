@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
-from corpusgraph.operators.merge import ORDER, keyed
+from corpusgraph.operators.merge import keyed, order
 
 
 class AccumulatedGraph:
@@ -19,8 +19,8 @@ class AccumulatedGraph:
 
     def add(self, mentions: DataFrame, batch: int) -> None:
         """Fold entity mentions of a batch in."""
-        first = F.min_by(F.struct("text", "label"), ORDER)
-        part = keyed(mentions).groupBy("canonical", "doc_id").agg(first.alias("first"), F.min(ORDER).alias("at"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"))
+        first = F.min_by(F.struct("text", "label"), order())
+        part = keyed(mentions).groupBy("canonical", "doc_id").agg(first.alias("first"), F.min(order()).alias("at"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"))
         part.write.mode("overwrite").parquet(f"{self.path}/nodes/batch={batch}")
 
     def stream(self, mentions: DataFrame, checkpoint: str):
