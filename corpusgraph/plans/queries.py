@@ -68,7 +68,7 @@ edges AS (SELECT h.node_id AS source, t.node_id AS target, relation_type, max(r.
   FROM rel r JOIN nodes h ON r.head = h.canonical JOIN nodes t ON r.tail = t.canonical WHERE r.tail IS NOT NULL GROUP BY ALL),
 ends AS (SELECT source AS node_id FROM edges UNION ALL SELECT target FROM edges),
 both_ways AS (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges) WHERE a <> b),
-starts AS (SELECT node_id FROM nodes WHERE canonical IN ('thing', 'ation', 'erent', 'there', 'ionen'))"""
+starts AS (SELECT node_id FROM nodes WHERE canonical IN ('thing', 'thble', 'thtion', 'nicht', 'ering'))"""
 
 
 def with_graph(sql: str) -> str:
@@ -76,7 +76,7 @@ def with_graph(sql: str) -> str:
 
 
 def starts(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("canonical").isin("thing", "ation", "erent", "there", "ionen")).select("node_id")
+    return nodes.where(F.col("canonical").isin("thing", "thble", "thtion", "nicht", "ering")).select("node_id")
 
 
 @query(with_graph("SELECT node_id, canonical, text, entity_type, score::DOUBLE AS score, n_mentions, array_to_string(docs, '|') AS docs, first_ord FROM nodes"))
@@ -209,7 +209,7 @@ def entity_context(spark, sf_dir):
     return graph.entity_context(n, e, starts(n))
 
 
-WANTED = ["thing", "ation", "erent", "there", "ionen"]
+WANTED = ["thing", "thble", "thtion", "nicht", "ering"]
 FOUND = f"""{K_HOP}, f AS (SELECT canonical AS query, node_id, true AS is_match FROM nodes WHERE node_id IN (SELECT node_id FROM starts)
   UNION ALL SELECT n.canonical, near.node_id, false FROM near JOIN nodes n ON n.node_id = start),
 g AS (SELECT query, node_id, bool_or(is_match) AS is_match FROM f GROUP BY 1, 2), dg AS (SELECT node_id, count(*) AS degree FROM ends GROUP BY 1),
@@ -598,5 +598,6 @@ def keywords(spark, sf_dir):
 
 @query()
 def betweenness(spark, sf_dir):
-    r = relations(mentions(spark, sf_dir).where(F.length("text") > 11)).select("doc_id", F.lower("head_text").alias("source"), F.lower("tail_text").alias("target"))
+    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("source"), nxt.alias("target")).where("target is not null")
     return graph.per_graph(r, "betweenness").withColumn("value", F.round("value", 6))
