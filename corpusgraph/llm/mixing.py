@@ -50,7 +50,7 @@ def draw(id_col: Column, seed: str) -> Column:
 
 
 def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
-    """(source, size) once for each source -> source, source_size, target. Windows here run over sources, not rows.
+    """(source, size, mean_weight) once for each source -> source, source_size, mean_weight, target. Windows here run over sources, not rows.
 
     Water filling: sources in order of cap / weight; those before the first whose cap is above its share of what is
     left get their cap, the others that share.
@@ -68,15 +68,15 @@ def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
     level = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("at"), F.col("share").alias("share")))).over(everything)
     df = df.withColumn("level", level["share"])
     target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    return df.select("source", F.col("size").alias("source_size"), target.alias("target"))
+    return df.select("source", F.col("size").alias("source_size"), "mean_weight", target.alias("target"))
 
 
 def plan(sized: DataFrame, p: MixParams) -> DataFrame:
-    """(id, source, size) for each document -> for each source: source_size, target, whole copies, and the rank value
+    """(id, source, size, weight) for each document -> for each source: source_size, target, whole copies, and the rank value
     up to which documents get one copy more (rank_to, id_to)."""
     rows = sized.count()
     slices = max(p.least_slices, math.ceil(rows / p.rows_per_slice))
-    per_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), p))
+    per_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.try_divide(F.sum(F.col("size") * F.col("weight")), F.sum("size")).alias("mean_weight")), p))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_source = per_source.withColumn("whole", F.floor(ratio).cast("long"))
     per_source = per_source.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("inclusion", ratio - F.col("whole"))
@@ -97,11 +97,13 @@ def plan(sized: DataFrame, p: MixParams) -> DataFrame:
 
 
 def with_rank(df: DataFrame, per_source: DataFrame, p: MixParams) -> DataFrame:
-    """df (id, source, ...) with its source's columns and the rank value q."""
+    """df (id, source, weight, ...) with its source's columns and the rank value q (null where nothing is sampled)."""
     side = hinted(per_source.withColumnRenamed("source", "__s"), p.broadcast_rows)
     out = df.join(side, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = draw(F.col("id"), p.seed)
-    return out.withColumn("q", F.try_divide(u / (1 - u), F.col("inclusion") / (1 - F.col("inclusion"))))
+    share = F.coalesce(F.try_divide(F.col("weight"), F.col("mean_weight")), F.lit(1.0))
+    p_in = F.greatest(F.least(F.col("inclusion") * share, F.lit(1 - 1e-12)), F.lit(1e-12))
+    return out.withColumn("q", F.when(F.col("inclusion") > 0, u / (1 - u) / (p_in / (1 - p_in))))
 
 
 def copies(id_col: str = "id") -> Column:
@@ -111,23 +113,27 @@ def copies(id_col: str = "id") -> Column:
     return F.col("whole") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 
-def _sized(docs: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+def _weight(weight: str | None) -> Column:
+    return F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def allocate(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", p: MixParams | None = None) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, source: str, text: str, weight: str | None) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _weight(weight).alias("weight"))
+
+
+def allocate(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, p: MixParams | None = None) -> DataFrame:
     """One row for each document: id, source, size, source_size, target (words of its source) and taken (words)."""
     p = p or MixParams()
-    sized = cut(_sized(docs, id_col, source, text))
+    sized = cut(_sized(docs, id_col, source, text, weight))
     out = with_rank(sized, plan(sized, p), p).withColumn("copies", copies())
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", p: MixParams | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, p: MixParams | None = None) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
     p = p or MixParams()
-    per_source = plan(cut(_sized(docs, id_col, source, text)), p)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"))
+    per_source = plan(cut(_sized(docs, id_col, source, text, weight)), p)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"), _weight(weight).alias("weight"))
     out = with_rank(rows, per_source, p).withColumn("copies", copies())
     return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select("row.*")
 
