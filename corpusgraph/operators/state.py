@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder; one of our own is set only where the session names none."""
-    context = df.sparkSession.sparkContext
+    """df, written as a table to the checkpoint folder and read again, so later plans start from its true size.
+
+    (checkpoint() keeps the size estimate of the plan behind it; over rounds of joins that number's digits double.)
+    A folder of our own is set only where the session names none."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusgraph-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusgraph-"))
+    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
