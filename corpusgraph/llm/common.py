@@ -76,22 +76,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     returned, self-loops are ignored, and no edges give no rows.
     """
     spark = edges.sparkSession
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    folder = shared_path(spark, "components")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        # A table and not checkpoint(), which keeps the size estimate of its plan: over rounds of joins that number's
+        # digits would double each time.
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps = []
     while not edges.isEmpty():
         if len(maps) >= max_rounds:
             raise RuntimeError(f"components: no end after {max_rounds} rounds")
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
-        hook = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("up"))
+        hook = both.groupBy("node").agg(F.min("other").alias("up")).select("node", F.least("node", "up").alias("up"))
         far = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = cut(hook.join(far, "up", "left").select("node", F.coalesce("up2", "up").alias("root")))
+        hook = kept(hook.join(far, "up", "left").select("node", F.coalesce("up2", "up").alias("root")), f"hooks{len(maps)}")
         maps.append(hook)
         left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
         edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = cut(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    if not maps:
-        return spark.createDataFrame([], "node long, root long")
-    out = maps[0]
+        edges = kept(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"edges{len(maps)}")
+    out = maps[0] if maps else edges.toDF("node", "root")
     for later in maps[1:]:
         out = out.join(later.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return cut(out) if len(maps) > 1 else out
+    out = cut(out)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
