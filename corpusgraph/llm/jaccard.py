@@ -307,7 +307,8 @@ def _candidates(profiles: DataFrame) -> DataFrame:
     reps = sets.groupBy("print1", "print2", "n_shingles").agg(F.min_by("prints", "id").alias("prints"), F.min("id").alias("id"))
     published = reps.select("id", F.explode("prints").alias("print"))
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    published = published.repartition(n, "print")
+    # With the conditions that the join below infers stated here, both uses of this exchange are the same and share it.
+    published = published.where("id is not null and print is not null").repartition(n, "print")
     hubs = published.groupBy("print").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").drop("far")
     ties = published.join(hubs.hint("shuffle_hash"), "print").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     return components(ties)
