@@ -1,28 +1,34 @@
 """Sharding by size-tiered compaction: small immutable shards, merged into target-sized files, under a manifest.
 
 A store is a folder. `append` writes one arrival of documents as small immutable shard files, as its tasks hold them
-and without a shuffle, and each batch of the arrival becomes a run. `compact` groups the runs by size tier (powers of
-`fanout`); a tier with at least `least_runs` runs is merged, in order, into shards of up to about `target_bytes`, and the
-other runs move on as they are. Every change is committed as one new manifest version, written aside and renamed into
+and without a shuffle, and each batch of the arrival becomes a run. `compact` groups the live runs of all arrivals by
+size tier (powers of `fanout`); a tier with at least `least_runs` runs is merged, in order, into shards of up to about
+`target_bytes`. A merged shard is a run again and enters the next tier, so compaction repeats. Runs of an arrival that
+are not merged get a shard of their own; compacted runs that are not merged, or have reached `target_bytes`, stay where
+they are and are not rewritten. Every change is committed as one new manifest version, written aside and renamed into
 place: a version exists as a whole or not at all, two writers can't both commit it, and readers of an older version keep
 their files until `vacuum`.
 
-The manifest is itself a table (version, run or shard, tier, rows, bytes), planned with window functions over runs, of
+The manifest is itself a table with a row for each live run (version, key, arrival, run, tier, merged, rows, bytes,
+folder) whatever made the version, and carries the documents' schema. It is planned with window functions over runs, of
 which there is one for `batch_rows` documents; no window runs over documents. A merged shard is built by one task
 from at most `target_bytes` and one run more.
 
 Edge cases. Null texts have 0 bytes; null ids form a batch of their own. Repeated rows and tied ids stay what they are:
-every row lands in exactly one shard. A document larger than the target gets a shard that is larger than the target. An
-empty table commits a version without shards. All columns are kept; the store's own columns are nested apart, so
-columns of any name may come.
+every row lands in exactly one shard. Arrivals may number their batches alike: a run is known by its arrival as well. An
+arrival with other columns than the store's is refused. A document larger than the target gets a shard that is larger
+than the target. An empty table commits a version without shards. All columns are kept; the store's own columns are
+nested apart, so columns of any name may come.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusgraph.llm.common import hinted, shared_path
 
@@ -52,15 +58,27 @@ def tier_of(size: Column, fanout: int) -> Column:
 
 
 def merge_plan(runs: DataFrame, p: ShardParams) -> DataFrame:
-    """(run, n_rows, bytes) -> the same with tier, and shard: the smallest run that is merged into the same file."""
-    tiered = runs.withColumn("tier", tier_of(F.col("bytes"), p.fanout))
-    own = Window.partitionBy("tier").orderBy(F.col("run").asc_nulls_first())
-    before = F.coalesce(F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tiered = tiered.withColumn("in_tier", F.count(F.lit(1)).over(Window.partitionBy("tier"))).withColumn("part", F.floor(before / F.lit(p.target_bytes)))
-    merged = F.col("in_tier") >= p.least_runs
-    key = F.when(merged, F.col("part")).otherwise(F.coalesce(F.col("run"), F.lit(-1)))
-    shard = F.min(F.coalesce(F.col("run"), F.lit(-1))).over(Window.partitionBy("tier", "in_tier", key))
-    return tiered.select("run", "n_rows", "bytes", "tier", shard.alias("shard"), merged.alias("merged"))
+    """Live runs (key, arrival, run, n_rows, bytes, tier, merged, folder, compacted) -> the runs that move: key, tier, and
+    of the shard they move to: into (the key of its first run), shard (that run's number), merged, and its arrival and run."""
+    open_ = runs.where(~(F.col("compacted") & (F.col("bytes") >= p.target_bytes))).withColumn("tier", tier_of(F.col("bytes"), p.fanout))
+    order = [F.col("arrival"), F.col("run").asc_nulls_first()]
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("tier").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = open_.withColumn("in_tier", F.count(F.lit(1)).over(Window.partitionBy("tier"))).withColumn("part", F.floor(before / F.lit(p.target_bytes)).cast("string"))
+    open_ = open_.withColumn("merged", F.col("in_tier") >= p.least_runs)
+    group = Window.partitionBy("tier", "merged", F.when(F.col("merged"), F.col("part")).otherwise(F.col("key")))
+    first = lambda c: F.first(c).over(group.orderBy(*order))
+    moves = ~F.col("compacted") | (F.count(F.lit(1)).over(group) > 1)
+    shard = F.coalesce(first("run"), F.lit(-1)).alias("shard")
+    planned = open_.select("key", "n_rows", "bytes", "folder", "tier", "merged", first("key").alias("into"), first("arrival").alias("arrival"), first("run").alias("run"), shard, moves.alias("moves"))
+    return planned.where("moves").drop("moves")
+
+
+#: A live run in a manifest: key is unique among the live runs, arrival and run are those of its first batch.
+RUN = {"key": "string", "arrival": "int", "run": "long", "n_rows": "long", "bytes": "long", "tier": "int", "merged": "boolean", "compacted": "boolean", "folder": "string"}
+
+
+def with_schema(manifest: DataFrame, doc: StructType) -> DataFrame:
+    return manifest.withColumn("folder", F.col("folder").alias("folder", metadata={"doc": doc.json()}))
 
 
 class ShardStore:
@@ -94,49 +112,76 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest/v{version or self.version():08d}")
 
+    def live(self, version: int) -> DataFrame:
+        """The runs of a version, without its number; those of version 0 are none."""
+        if version:
+            return self.manifest(version).select(*RUN)
+        return self.spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in RUN.items()))
+
+    def doc_schema(self, version: int | None = None) -> StructType:
+        """The documents' schema, which every manifest carries."""
+        return StructType.fromJson(json.loads(self.manifest(version).schema["folder"].metadata["doc"]))
+
+    def _rows(self, folders: list[str], doc: StructType) -> DataFrame:
+        schema = StructType().add("key", "string").add("run", "long").add("bytes", "long").add("doc", doc).add("tier", "integer").add("merged", "boolean").add("shard", "long")
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
     def append(self, docs: DataFrame, batch: Column, text: str = "text") -> int:
         """Write an arrival as small shards; `batch` numbers the runs of this arrival (long)."""
-        version = self.version() + 1
+        was = self.version()
+        version = was + 1
+        if was and self.doc_schema(was).simpleString() != docs.schema.simpleString():
+            raise ValueError(f"the store has documents of other columns: {self.doc_schema(was).simpleString()}")
         folder = f"{self.path}/data/arrival-{version:08d}"
-        docs.select(batch.cast("long").alias("run"), text_bytes(F.col(text)).alias("bytes"), F.struct("*").alias("doc")).write.option("compression", self.p.codec).parquet(folder)
-        written = self.spark.read.parquet(folder).groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("bytes").alias("bytes"))
-        self.commit(written.select("run", "n_rows", "bytes", F.lit(folder).alias("folder")), version)
+        run = batch.cast("long")
+        key = F.concat(F.lit(f"{version}_"), F.coalesce(run.cast("string"), F.lit("null")))
+        docs.select(key.alias("key"), run.alias("run"), text_bytes(F.col(text)).alias("bytes"), F.struct("*").alias("doc")).write.option("compression", self.p.codec).parquet(folder)
+        written = self._rows([folder], docs.schema).groupBy("key", "run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("bytes").alias("bytes"))
+        new = written.withColumns({"arrival": F.lit(version), "tier": tier_of(F.col("bytes"), self.p.fanout), "merged": F.lit(False), "compacted": F.lit(False), "folder": F.lit(folder)})
+        self.commit(with_schema(self.live(was).unionByName(new.select(*RUN)), docs.schema), version)
         return version
 
     def compact(self) -> int:
-        """Merge the runs of the newest version by tier and commit the outcome."""
+        """Merge the live runs of the newest version by tier and commit the outcome. Repeat it to fill the next tiers."""
         was = self.version()
-        runs = self.manifest(was)
+        runs, doc = self.live(was), self.doc_schema(was)
         folder = f"{self.path}/data/compacted-{was + 1:08d}"
-        planned = merge_plan(runs, self.p)
         fs, path = self._fs()
         aside = shared_path(self.spark, "merge-plan")
-        planned.coalesce(1).write.parquet(aside)
+        merge_plan(runs, self.p).coalesce(1).write.parquet(aside)
         planned = self.spark.read.parquet(aside)
-        rows = self.spark.read.parquet(*[x[0] for x in runs.select("folder").distinct().collect()] or [folder]) if runs.head(1) else None
-        if rows is not None:
-            side = hinted(planned.select(F.col("run").alias("r"), "shard", "tier", "merged"), self.p.broadcast_rows)
-            moved = rows.join(side, F.col("run").eqNullSafe(F.col("r"))).drop("r")
-            n = max(1, planned.select("shard").distinct().count())
-            moved.repartition(n, "shard").write.partitionBy("shard").option("compression", self.p.codec).parquet(folder)
-        new = planned.groupBy("shard", "tier", "merged").agg(F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_runs"))
-        self.commit(new.withColumn("folder", F.concat(F.lit(f"{folder}/shard="), F.col("shard").cast("string"))), was + 1)
+        n = planned.select("into").distinct().count()
+        if n:
+            rows = self._rows([x[0] for x in planned.select("folder").distinct().collect()], doc).select("key", "run", "bytes", "doc")
+            side = hinted(planned.select("key", "into", "shard", "tier", "merged"), self.p.broadcast_rows)
+            moved = rows.join(side, "key").drop("key").withColumnRenamed("into", "key").withColumn("home", F.col("key"))
+            moved.repartition(n, "key").write.partitionBy("home").option("compression", self.p.codec).parquet(folder)
+        new = planned.groupBy(F.col("into").alias("key"), "arrival", "run", "tier", "merged").agg(F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("bytes"))
+        new = new.withColumns({"compacted": F.lit(True), "folder": F.concat(F.lit(f"{folder}/home="), F.col("key"))})
+        stay = runs.join(hinted(planned.select("key"), self.p.broadcast_rows), "key", "left_anti")
+        self.commit(with_schema(stay.select(*RUN).unionByName(new.select(*RUN)), doc), was + 1)
         fs.delete(path(aside), True)
         return was + 1
 
     def vacuum(self) -> None:
         """Delete the files of all versions but the newest."""
         fs, path = self._fs()
-        kept = [x[0].rsplit("/shard=", 1)[0] for x in self.manifest().select("folder").distinct().collect()]
+        kept = {x[0].rsplit("/data/", 1)[1] for x in self.manifest().select("folder").distinct().collect()}
+        roots = {k.split("/")[0] for k in kept}
         data = path(f"{self.path}/data")
         for x in fs.listStatus(data) if fs.exists(data) else []:
-            if not any(k.endswith("/" + x.getPath().getName()) for k in kept):
+            name = x.getPath().getName()
+            if name not in roots:
                 fs.delete(x.getPath(), True)
+            elif name not in kept:
+                for y in fs.listStatus(x.getPath()):
+                    if y.isDirectory() and f"{name}/{y.getPath().getName()}" not in kept:
+                        fs.delete(y.getPath(), True)
 
     def read(self) -> DataFrame:
-        """Rows of the newest compacted version: run, shard, tier, merged, bytes, and the document as struct `doc`."""
-        roots = sorted({x[0].rsplit("/shard=", 1)[0] for x in self.manifest().select("folder").distinct().collect()})
-        return self.spark.read.schema(self._schema).parquet(*roots) if roots else self.spark.createDataFrame([], self._schema)
+        """Rows of the newest version: run, bytes, the document as struct `doc`, and tier, merged, shard, which are null
+        until the row is compacted; key is that of the row's run in the manifest."""
+        return self._rows(sorted(x[0] for x in self.manifest().select("folder").distinct().collect()), self.doc_schema())
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: ShardParams | None = None) -> DataFrame:
@@ -146,16 +191,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: ShardP
     spark = docs.sparkSession
     store = ShardStore(spark, shared_path(spark, "shards"), p)
     store.append(docs, F.floor(F.col(id_col) / F.lit(p.batch_rows)), text)
-    store._schema = f"run long, bytes long, doc {docs.schema.simpleString()}, tier int, merged boolean, shard long"
     store.compact()
     store.vacuum()
     return store.read()
 
 
 def assignments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: ShardParams | None = None) -> DataFrame:
-    """One row for each document: id, bytes, run, shard, tier, merged, and its shard's shard_rows and shard_bytes."""
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    rows = shard(own, "__id", "__text", p).select(F.col("doc.__id").alias(id_col), "bytes", "run", "shard", "tier", "merged", F.octet_length(F.coalesce("doc.__text", F.lit(""))).alias("__read"))
+    """One row for each document: id, bytes, run, shard, tier, merged, and its shard's shard_rows and shard_bytes. The
+    shards hold all columns of the documents."""
+    field = F.col("doc").getField
+    rows = shard(docs, id_col, text, p).select(field(id_col).alias(id_col), "bytes", "run", "shard", "tier", "merged", F.octet_length(F.coalesce(field(text), F.lit(""))).alias("__read"))
     sizes = rows.groupBy(F.col("shard").alias("s")).agg(F.count(F.lit(1)).alias("shard_rows"), F.sum("__read").cast("long").alias("shard_bytes"))
     return rows.drop("__read").join(hinted(sizes, (p or ShardParams()).broadcast_rows), F.col("shard") == F.col("s")).drop("s")
 

@@ -180,6 +180,42 @@ def test_sharding(spark):
     assert sharding.assignments(empty(docs), p=p).count() == 0
 
 
+def test_sharding_repeats(spark):
+    """Arrivals between compactions, with batches numbered alike: no row is ever lost, and merged shards merge again."""
+    docs = frame(spark, corpus(5)).cache()
+    path = common.shared_path(spark, "store")
+    p = sharding.ShardParams(target_bytes=3000, fanout=2, least_runs=2)
+    store = lambda: sharding.ShardStore(spark, path, p)  # noqa: E731  (opened anew each time)
+    batch, want = F.floor(F.col("doc_id") / 4), docs.limit(0)
+
+    def whole():
+        got, runs = store().read(), store().manifest()
+        assert got.select("doc.*").exceptAll(want).count() == 0 == want.exceptAll(got.select("doc.*")).count()
+        held = {tuple(r) for r in got.groupBy("key").agg(F.count(F.lit(1)), F.sum("bytes")).collect()}
+        listed = runs.select("key", "n_rows", "bytes").collect()
+        assert held == {tuple(r) for r in listed} and len(held) == len(listed)
+
+    for step in ("append", "append", "compact", "append", "compact", "vacuum", "compact", "compact", "vacuum"):
+        if step == "append":
+            store().append(docs, batch)
+            want = want.unionAll(docs)
+        else:
+            getattr(store(), step)()
+        whole()
+    runs = lambda v: {(r["key"], r["n_rows"], r["folder"]) for r in store().manifest(v).collect()}
+    assert len(runs(1)) + len(runs(1)) == len(runs(2)) and store().manifest(3).columns == store().manifest(1).columns
+    assert runs(3) - runs(5) and runs(3) & runs(5)  # some shards merged again with later ones, others stayed where they were
+    assert len(runs(4)) > len(runs(5)) >= len(runs(6)) >= len(runs(7))
+    with pytest.raises(ValueError):
+        store().append(docs.drop("source"), batch)
+    bare = sharding.ShardStore(spark, common.shared_path(spark, "store"), p)
+    bare.append(empty(docs), batch)
+    bare.compact()
+    bare.vacuum()
+    assert bare.read().select("doc.*").columns == docs.columns and bare.read().count() == 0
+    docs.unpersist()
+
+
 def test_url_filters(spark):
     rows = [(1, "http://a.example.org/x/casino?q=1", "2024-03-01"), (2, None, "2024-03-01"), (3, "", None), (4, "https://u:p@B.Example.org:80/y#f", "2024-07-01"), (5, "https://b.example.org/y", "2024-12-01"), (5, "https://b.example.org/y", "2024-12-01"), (6, "nonsense", "2024-01-01"), (7, "http://tionsh.example.net/fr/1", "2024-08-01"), (8, "http://tionsh.example.net/frx/1", "2024-08-01")]
     caps = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumns({"fetched": F.to_timestamp("fetched"), "host": F.lit("mine")})
