@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import text as fn
 from corpusgraph.operators import discovery, extract, graph, merge, originality, retrieve, segment, structure, summary
 from corpusgraph.operators.state import cut
+from corpusgraph.plans.config import Discovery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -549,8 +550,9 @@ def taxonomy_labels(spark, sf_dir):
 
 def topics(spark, sf_dir):
     t = discovery.dedup_triples(triples(spark, sf_dir)).select("doc_id", "ord", "src", "dst", F.col("relation").alias("relation"))
-    s = discovery.top_seeds(discovery.seed_union(seeds(spark, sf_dir), 0.2), 5).select("doc_id", "key", F.col("rank").alias("pos"))
-    return discovery.expand_topics(cut(s), cut(t), 2, 20)
+    c = Discovery()
+    s = discovery.top_seeds(discovery.seed_union(seeds(spark, sf_dir), 0.2), c.max_seeds).select("doc_id", "key", F.col("rank").alias("pos"))
+    return discovery.expand_topics(cut(s), cut(t), c.max_depth, c.max_relations)
 
 
 @query()

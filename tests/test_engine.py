@@ -151,6 +151,37 @@ def test_expansion_equals_queue(spark):
         assert {r["ord"] for r in e.collect()} == set(edges)
 
 
+def test_topic_queries_use_configured_limits(spark, tmp_path):
+    """25 seeds and 100 relations a document: a long document against a queue with these limits."""
+    from corpusgraph.plans import queries
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "keyword" + letters[i // 26] + letters[i % 26]
+    filler = lambda i: "minor" + letters[i // 26] + letters[i % 26]  # noqa: E731  (too rare for a seed)
+    words = [w for i in range(40) for k in range(4) for w in (word(i), filler(4 * i + k))]
+    rows = [(1, " ".join(words), "en"), (2, "keyword keyword minor", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    triples = {}
+    for i, (a, b) in enumerate(zip(words, words[1:])):
+        triples.setdefault((a, len(a) >= len(b), b), i)
+    depth, used, queue = {word(i): 0 for i in range(25)}, set(), [word(i) for i in range(25)]
+    for w in queue:
+        if depth[w] >= 2 or len(used) >= 100:
+            continue
+        for (a, _, b), i in triples.items():
+            if i not in used and w in (a, b):
+                used.add(i)
+                for x in (a, b):
+                    if x not in depth:
+                        depth[x] = depth[w] + 1
+                        queue.append(x)
+    got = queries.topic_bfs(spark, str(tmp_path)).where("doc_id = 1").collect()
+    assert {r["key"]: r["depth"] for r in got} == depth and len(used) >= 100
+    assert {r["ord"] for r in queries.topics(spark, str(tmp_path))[1].where("doc_id = 1").collect()} == used
+    n = {r["depth"]: r["n_topics"] for r in queries.depth_histogram(spark, str(tmp_path)).where("doc_id = 1").collect()}
+    assert n == {d: list(depth.values()).count(d) for d in set(depth.values())} and n[0] == 25
+
+
 def test_label_top_k(spark):
     rows = [(1, f"l{i:02}", 0.1) for i in range(15)] + [(2, f"l{i:02}", 0.9) for i in range(12)]
     got = discovery.label_top_k(spark.createDataFrame(rows, "g long, label string, score double"), ["g"]).groupBy("g").count().collect()
