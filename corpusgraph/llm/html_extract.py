@@ -5,7 +5,10 @@ footers of the page, asides, forms, and elements whose class, id or role says ad
 no content. Every other node gets its composite density: characters per tag, corrected by the share of linked
 characters and tags. The node whose children's densities add up to most holds the text. The smallest density on the
 path from it to the body is the threshold: sections of it that are thinner and mostly links are left out. If the node
-lies in an article or main element, that element is taken whole.
+lies in an article or main element, that element is taken whole. Else the text goes on in all subtrees beside the path
+that are dense too, each by its own such node: those of at least half the threshold or, where that is less, half the
+density that the node's children have (a mean weighted by itself; the densities of small subtrees are below those of
+large ones of the same kind). Headings before what is kept are kept, an h1 anywhere before it, others right before it.
 
 The text is the node's blocks in page order, one a line: character references decoded, white space inside a block
 (also a br) one space, trimmed; nothing else is dropped or cut.
@@ -46,6 +49,7 @@ NO_CONTENT = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc masthead topbar footer footnav copyright complementary contentinfo search toolbar skip".split()
 )
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -53,7 +57,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "content", "density", "kids", "link_chars", "link_tags", "marked", "name", "parts", "tags", "up")
+    __slots__ = ("chars", "content", "density", "heading", "kids", "link_chars", "link_tags", "marked", "name", "own", "parts", "tags", "up")
 
     def __init__(self, name: str, up: Node | None, content: bool):
         self.name, self.up, self.content = name, up, content
@@ -171,11 +175,13 @@ def measure(nodes: list[Node]) -> None:
     """Characters, tags, linked characters and tags, and composite density of every node."""
     for x in reversed(nodes):
         own = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
+        x.own = own
         x.chars = own + sum(k.chars for k in x.kids)
         x.tags = sum(k.tags + 1 for k in x.kids)
         linked = x.name == "a"
         x.link_chars = x.chars if linked else sum(k.link_chars for k in x.kids)
         x.link_tags = x.tags if linked else sum(k.link_tags + (k.name == "a") for k in x.kids)
+        x.heading = x.name if x.name in HEADINGS else next((k.heading for k in x.kids if k.chars and k.chars == x.chars), "")
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for x in nodes:
@@ -185,16 +191,61 @@ def measure(nodes: list[Node]) -> None:
         x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1)) / math.log(max(base, math.e)) if ratio > 1 else 0.0
 
 
-def choose(nodes: list[Node]) -> tuple[Node, float]:
-    """The node that holds the text, and the threshold."""
-    best = max(nodes, key=lambda x: sum(k.density for k in x.kids))
+def choose(nodes: list[Node]) -> tuple[list[Node], float, float]:
+    """The nodes that hold the text, in page order; the threshold; and the density from which a subtree is text."""
+    total = {x: sum(k.density for k in x.kids) for x in nodes}
+    most: dict[Node, Node] = {}  # of every subtree, the node with the largest sum
+    for x in reversed(nodes):
+        most[x] = max([x, *(most[k] for k in x.kids)], key=total.__getitem__)
+    best = most[nodes[0]]
     path = []
     x: Node | None = best
     while x is not None:
         path.append(x)
         x = x.up
     threshold = min(p.density for p in path)
-    return next((p for p in path if p.name in MAIN), best), threshold
+    usual = sum(k.density * k.density for k in best.kids) / total[best] if total[best] else 0.0
+    limit = min(threshold, usual) / 2
+    if main := next((p for p in path if p.name in MAIN), None):
+        return [main], threshold, limit
+    tops, above, todo = set(), set(), [nodes[0]]
+    while todo:
+        x = todo.pop()
+        if x is not nodes[0] and (x.density < limit or not x.chars or 2 * x.link_chars > x.chars):
+            todo.extend(x.kids)
+            continue
+        top = most[x]
+        tops.add(top)
+        while top is not x:
+            todo.extend(k for k in top.up.kids if k is not top)
+            top = top.up
+    for x in tops:
+        up = x.up
+        while up is not None and up not in above:
+            above.add(up)
+            up = up.up
+    share = nodes[0].link_chars / max(1, nodes[0].chars)
+    for x in above:  # text of its own, beside the subtrees, counts as a leaf; then the node is taken whole
+        if x.own and x.own * math.log(x.own) / math.log(share * x.own + math.e) >= limit:
+            tops.add(x)
+    for x in above - tops:
+        follows = near = False
+        for k in reversed(x.kids):
+            if k in tops or k in above:
+                follows = near = True
+            elif k.heading and 2 * k.link_chars < k.chars:
+                if near or (follows and k.heading == "h1"):
+                    tops.add(k)
+            elif k.chars:
+                near = False
+    out, inside = [], set()
+    for x in nodes:
+        if x.up in inside:
+            inside.add(x)
+        elif x in tops:
+            out.append(x)
+            inside.add(x)
+    return out, threshold, limit
 
 
 def blocks(top: Node, threshold: float) -> list[str]:
@@ -233,8 +284,8 @@ def blocks(top: Node, threshold: float) -> list[str]:
 def main_text(page: str | None) -> str:
     nodes = in_order(parse(page or ""))
     measure(nodes)
-    top, threshold = choose(nodes)
-    return "\n".join(blocks(top, threshold))
+    tops, threshold, _ = choose(nodes)
+    return "\n".join(line for top in tops for line in blocks(top, threshold))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -280,6 +280,20 @@ def test_html(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 3 and html_extract.extract(empty(pages)).count() == 0
 
 
+def test_html_keeps_dense_siblings():
+    """Pages without article or main: dense subtrees and headings beside the densest node stay, thin link lists do not."""
+    para = lambda i: f"<p>{i} {'some words of prose ' * 5}</p>"
+    said = lambda i: f"{i} {'some words of prose ' * 5}".strip()
+    section = lambda a, b: f"<section>{''.join(map(para, range(a, b)))}</section>"
+    links = "<div><ul>" + "<li><a href=x>Elsewhere on this site</a>" * 8 + "</ul></div>"
+    want = [said(i) for i in range(16)]
+    assert html_extract.main_text(f"<div>{section(0, 10)}{section(10, 16)}</div>").split("\n") == want
+    assert html_extract.main_text(f"<div>{section(0, 6)}{links}{section(6, 16)}</div>{links}").split("\n") == want
+    assert html_extract.main_text(f"<div><div>{links}{section(0, 3)}</div>{section(3, 15)}</div>{para(15)}").split("\n") == want
+    assert html_extract.main_text(f"{links}<div><h1>A title</h1><span>3 May</span><div>{section(0, 16)}</div><h3>More</h3>{links}</div>").split("\n") == ["A title", *want]
+    assert html_extract.main_text(f"<div>{said(0)}<br>{said(1)}{section(2, 16)}</div>").split("\n") == [f"{said(0)} {said(1)}", *want[2:]]
+
+
 def test_toxicity(spark):
     assert toxicity.folded("1d10t stup!d! tr@sh 100 mоron") == ["idiot", "stupid", "trash", "100", "moron"]
     rng = random.Random(7)
