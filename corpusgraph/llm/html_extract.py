@@ -1,14 +1,16 @@
 """Main text of HTML pages by composite text density.
 
 A page is parsed into a tree (tolerant of missing and stray end tags). Scripts, styles, navigation, headers and
-footers of the page, asides, forms, and elements whose class, id or role says advert, sidebar, comment, notice and the like are
-no content. Every other node gets its composite density: characters per tag, corrected by the share of linked
+footers of the page, asides, forms and hidden elements are no content. Class, id and role remove nothing by themselves:
+where they say advert, sidebar, comment, notice and the like, they lower the density of the element and all in it, the
+more the larger the share of such words in the name, and the density decides. An element with an article or main element
+in it, or with most of the page's unlinked characters, is not lowered. Every node gets its composite density: characters per tag, corrected by the share of linked
 characters and tags. The node whose children's densities add up to most holds the text. The smallest density on the
 path from it to the body is the threshold: sections of it that are thinner and mostly links are left out. If the node
 lies in an article or main element, that element is taken whole. Else the text goes on in all subtrees beside the path
 that are dense too, each by its own such node: those of at least half the threshold or, where that is less, half the
 density that the node's children have (a mean weighted by itself; the densities of small subtrees are below those of
-large ones of the same kind). Headings before what is kept are kept, an h1 anywhere before it, others right before it.
+large ones of the same kind). An element with a lowered density below that is left out of what is kept. Headings before what is kept are kept, an h1 anywhere before it, others right before it.
 
 The text is the node's blocks in page order, one a line: character references decoded, white space inside a block
 (also a br) one space, trimmed; nothing else is dropped or cut.
@@ -57,12 +59,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "content", "density", "heading", "kids", "link_chars", "link_tags", "marked", "name", "own", "parts", "tags", "up")
+    __slots__ = ("chars", "content", "density", "factor", "heading", "kids", "link_chars", "link_tags", "mains", "name", "own", "parts", "tags", "up")
 
     def __init__(self, name: str, up: Node | None, content: bool):
         self.name, self.up, self.content = name, up, content
         self.parts: list[str | Node] = []
-        self.marked = False
+        self.factor = 1.0
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -105,11 +107,21 @@ def unwanted(name: str, attributes: str, inside_main: bool) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main", "p", "h1") and not NO_CONTENT.isdisjoint(_NAME.findall(_CAMEL.sub("-", value).lower())):
-            return True
     return False
 
 
+def by_name(name: str, attributes: str) -> float:
+    """What class, id and role leave of an element's density: 1 less the share of words that mark what is no content, of
+    the attribute where it is largest, and a tenth at least."""
+    least = 1.0
+    if name not in ("html", "body", "article", "main", "p", "h1"):
+        for m in _ATTR.finditer(attributes) if attributes else ():
+            if m[1].lower() in ("class", "id", "role"):
+                words = _NAME.findall(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower())
+                least = min(least, 1 - sum(w in NO_CONTENT for w in words) / max(1, len(words)))
+    return max(least, 0.1)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root is the body or what stands for it."""
     root = Node("body", None, True)
@@ -147,6 +159,7 @@ def parse(page: str) -> Node:
                 if found:
                     close_to(found.up or root)
             node = Node(name, here, here.content and not unwanted(name, attributes, mains > 0))
+            node.factor = by_name(name, attributes)
             here.parts.append(node)
             if name not in VOID and not attributes.endswith("/"):
                 here = node
@@ -180,15 +193,22 @@ def measure(nodes: list[Node]) -> None:
         x.tags = sum(k.tags + 1 for k in x.kids)
         linked = x.name == "a"
         x.link_chars = x.chars if linked else sum(k.link_chars for k in x.kids)
+        x.mains = x.name in MAIN or any(k.mains for k in x.kids)
         x.link_tags = x.tags if linked else sum(k.link_tags + (k.name == "a") for k in x.kids)
         x.heading = x.name if x.name in HEADINGS else next((k.heading for k in x.kids if k.chars and k.chars == x.chars), "")
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
+    most = (body.chars - body.link_chars) / 2
     for x in nodes:
         plain = x.chars - x.link_chars
+        if x.mains or plain > most:
+            x.factor = 1.0
+        if x.up:
+            x.factor *= x.up.factor
         base = math.log(x.chars / max(1, plain) * x.link_chars + share * x.chars + math.e)
         ratio = max(x.chars, 1) / max(1, x.link_chars) * max(1, x.tags) / max(1, x.link_tags)
         x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1)) / math.log(max(base, math.e)) if ratio > 1 else 0.0
+        x.density *= x.factor
 
 
 def choose(nodes: list[Node]) -> tuple[list[Node], float, float]:
@@ -248,7 +268,7 @@ def choose(nodes: list[Node]) -> tuple[list[Node], float, float]:
     return out, threshold, limit
 
 
-def blocks(top: Node, threshold: float) -> list[str]:
+def blocks(top: Node, threshold: float, limit: float) -> list[str]:
     out: list[str] = []
     line: list[str] = []
 
@@ -267,6 +287,8 @@ def blocks(top: Node, threshold: float) -> list[str]:
             line.append(x)
         elif not x.content:
             continue
+        elif x is not top and x.up and x.factor < x.up.factor and x.density < limit:
+            continue
         elif x is not top and x.name in ("ul", "ol", "div", "section", "table") and x.density < threshold and x.link_tags > 1 and 10 * x.link_chars >= 9 * x.chars:
             continue
         elif x.name in ("br", "wbr", "img"):
@@ -284,8 +306,8 @@ def blocks(top: Node, threshold: float) -> list[str]:
 def main_text(page: str | None) -> str:
     nodes = in_order(parse(page or ""))
     measure(nodes)
-    tops, threshold, _ = choose(nodes)
-    return "\n".join(line for top in tops for line in blocks(top, threshold))
+    tops, threshold, limit = choose(nodes)
+    return "\n".join(line for top in tops for line in blocks(top, threshold, limit))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -294,6 +294,19 @@ def test_html_keeps_dense_siblings():
     assert html_extract.main_text(f"<div>{said(0)}<br>{said(1)}{section(2, 16)}</div>").split("\n") == [f"{said(0)} {said(1)}", *want[2:]]
 
 
+def test_html_names_do_not_decide():
+    """Words of class, id and role never remove a page's text; what is thin and named so is still left out."""
+    said = [f"{i} {'some words of prose ' * 5}".strip() for i in range(8)]
+    paras = lambda a, b: "".join(f"<p>{x}</p>" for x in said[a:b])
+    thin = "<div class=comments><p>nice one</p></div><div class='share-links'><a href=x>Tell others</a><a href=y>Print</a></div>"
+    for name in ("class='layout with-sidebar'", "id=page-nav-fixed", "class=sidebar", "role=banner", "class=comments"):
+        for whole in (f"<article>{paras(0, 8)}</article>", f"<main>{paras(0, 8)}{thin}</main>", paras(0, 8)):
+            assert html_extract.main_text(f"<body><div {name}>{whole}</div>{thin}").split("\n") == said, (name, whole)
+    for name in ("read-more", "story-share", "notice-text"):
+        assert html_extract.main_text(f"<article>{paras(0, 5)}<div class={name}>{paras(5, 8)}</div>{thin}</article>").split("\n") == said
+        assert html_extract.main_text(f"<div><div>{paras(0, 5)}</div><div class={name}>{paras(5, 8)}</div>{thin}</div>").split("\n") == said
+
+
 def test_toxicity(spark):
     assert toxicity.folded("1d10t stup!d! tr@sh 100 mоron") == ["idiot", "stupid", "trash", "100", "moron"]
     rng = random.Random(7)
