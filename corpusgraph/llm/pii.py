@@ -3,8 +3,9 @@ are mapped back to the source.
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by pattern. The method adds what
 disguises hide: a chain of transducers rewrites the text (homoglyphs and full-width or other decimal digits to ASCII,
-invisible characters to nothing, runs of spelled digits to digits, "(at)", "[dot]" and their like to @ and full stops),
-and every rewriting keeps where each piece came from. The same patterns run over the result; a hit counts if its source
+invisible characters to nothing, "(at)", "[dot]" and their like to @ and full stops, runs of spelled digits to digits, four
+groups of them with dot words between to an address, "plus" before a telephone number to +, and the words for @ and
+full stop around what is an address as a whole, each spelled or not), and every rewriting keeps where each piece came from. The same patterns run over the result; a hit counts if its source
 span is no base span's and touches none. Base spans always stay.
 
 All offsets are code points of the source text, the end exclusive. Scans take time in proportion to the text: no
@@ -138,8 +139,24 @@ DIGIT_WORDS = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-# Words for @ and for the full stop, and last labels of domains.
-ENDINGS = "com org net edu gov io info biz eu uk".split()
+# Last labels of domains in common use, the country codes among them.
+ENDINGS = frozenset(
+    "com org net edu gov mil int io info biz name pro app dev online site shop store tech xyz cloud blog mobi club "
+    "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr "
+    "ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz "
+    "na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+# Words of English, German, French and Spanish that are no part of an address with spelled separators.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those and or but nor if then than so as at by do be am is are was were been it its he him his she her they them their we us our you your i me my no not in on of off to for from with into onto out up down over under about all any each "
+    "some such what which who whom when where how why there here now just only very der die das den dem des ein eine einen und oder aber nicht ist sind war im am zum zur von mit bei auf aus nach le les un une et ou mais est sont du au aux dans sur pour par avec el los las una y o pero son del al en con por para".split()
+)
+# Words before a plain "at" that make what follows a place.
+PLACED = FUNCTION_WORDS | frozenset(
+    "available located found find see visit look looks looked looking live lives lived meet meets met seen read published hosted online order buy sold contact reach reached arrive arrived arrives stay stayed work works worked working job stop stopped start started aim aimed point points pointed stare stared smile smiled "
+    "laugh laughed shop site website page hosting posted listed shown more details information info archived accessed store stored download downloaded register registered sign subscribe join team people developer engineer researcher editor author professor students staff office home based held begins ends good bad".split()
+)
+# Words for @ and for the full stop.
 AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba", "klammeraffe"), ("dot", "point", "punkt", "punto")
 
 
@@ -161,31 +178,102 @@ _PIECE = re.compile(rf"(?i){_WORDS}|[0-9]")
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _AT_BRACKETS = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{_AT}|@)\x20?[\])}}>]\x20?")
 _DOT_BRACKETS = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{_DOT}|\.)\x20?[\])}}>]\x20?")
-_BARE = re.compile(rf"(?i)(?<=[a-z0-9])(\x20(?:{_AT})\x20)[a-z0-9-]+(?:\x20(?:{_DOT})\x20[a-z0-9-]+)*?\x20(?:{_DOT})\x20(?:{'|'.join(ENDINGS)})(?![a-z0-9-])")
-_BARE_DOT = re.compile(rf"(?i)\x20(?:{_DOT})\x20(?=[a-z0-9])")
+_STOP = rf"(?:\.|\x20(?:{_DOT})\x20)"
+_AT_PLACE = re.compile(rf"(?i)(?<=[a-z0-9])(?:@|\x20({_AT})\x20)(?=[a-z0-9])")
+_NAME_BEFORE = re.compile(rf"(?i)((?:[a-z0-9_%+.-]+\x20(?:{_DOT})\x20){{0,3}})([a-z0-9._%+-]*[a-z0-9])\Z")
+_LABELS = re.compile(rf"(?i)[a-z0-9-]{{1,63}}+(?:{_STOP}[a-z0-9-]{{1,63}}+){{1,8}}+")
+_BARE_DOT = re.compile(rf"(?i)\x20(?:{_DOT})\x20")
+_SPLIT = re.compile(rf"(?i){_STOP}")
+_UNIT = rf"(?:(?:{_WORDS})(?![^\W\d_])|[0-9])"
+_GROUP = rf"{_UNIT}(?:(?:[\x20,-]{{1,2}}|(?<=[0-9])(?=[0-9])){_UNIT}){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?i)(?<![^\W_]){_GROUP}(?:(?:\.|[\x20,-]{{1,2}}(?:{_DOT})[\x20,-]{{1,2}}){_GROUP}){{3}}(?![^\W_])")
+_IP_PIECE = re.compile(rf"(?i){_WORDS}|[0-9]|{_DOT}|\.")
+_PLUS = re.compile(r"(?i)(?<![^\W_])plus[\x20,-]{1,2}(?=([0-9][\x20().0-9-]+[0-9]))")
+_NUMBER = re.compile(r"[0-9]{1,3}(?:[\x20.][0-9]{3})+|[0-9]+\.[0-9]+")  # a count or a decimal number, no telephone number
 _HINTS = tuple(f" {w} " for w in (*AT_WORDS, *DOT_WORDS))
 
 
+def address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Rewritings of the words for @ and full stop, each spelled or not, of what is an address as a whole."""
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for m in _AT_PLACE.finditer(text):
+        if m.start() < done or not (found := _LABELS.match(text, m.end())):
+            continue
+        name = _NAME_BEFORE.search(text[max(done, m.start() - 64) : m.start()])
+        if not name:
+            continue
+        word, local = (m[1] or "").lower(), name[2].lower()
+        plain = word == "at" and local.isalpha()  # nothing but the word "at" says that it is an address
+        stops = list(_SPLIT.finditer(text, found.start(), found.end()))
+        labels = [x.lower() for x in _SPLIT.split(found[0])]
+        while len(labels) > 1 and not likely(labels, stops, plain, local):
+            labels.pop()
+            stops.pop()
+        if len(labels) < 2:
+            continue
+        if word:
+            edits += before_name(text, m.start(), name)
+            edits.append((m.start(), m.end(), "@"))
+        edits += [(x.start(), x.end(), ".") for x in stops if x[0] != "."]
+        done = stops[-1].end() + len(labels[-1])
+    return edits
+
+
+def likely(labels: list[str], stops: list[re.Match], plain: bool, local: str) -> bool:
+    last = labels[-1]
+    if len(last) < 2 or not last.isalpha() or "" in labels or any(x[0] == "-" or x[-1] == "-" for x in labels):
+        return False
+    spelled = stops[-1][0] != "."
+    if spelled and last in FUNCTION_WORDS and (plain or last not in ENDINGS):
+        return False
+    if plain:
+        return last in ENDINGS and local not in PLACED and labels[0] != "www" and FUNCTION_WORDS.isdisjoint(labels[:-1])
+    return not (spelled and len(labels) == 2 and labels[0] in FUNCTION_WORDS)
+
+
+def before_name(text: str, at: int, name: re.Match) -> list[tuple[int, int, str]]:
+    """Rewritings of spelled full stops in the local part, back to the first word that is part of no address."""
+    out: list[tuple[int, int, str]] = []
+    first = at - len(name[0])
+    for d in reversed(list(_BARE_DOT.finditer(text, first, at))):
+        if text[first : d.start()].split(" ")[-1].lower() in PLACED:
+            break
+        out.insert(0, (d.start(), d.end(), "."))
+    return out
+
+
 def normalise(text: str) -> Mapped | None:
     """The text without disguises, or None if nothing in it looks like one."""
     out = Mapped.plain(text)
     if not text.isascii() and _ODD.search(text):
         glyphs = text.translate(_GLYPHS)  # one character for one: offsets stay
         out = Mapped.plain(glyphs).rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(glyphs)])
+    low = out.text.lower()
+    if any(b in low for b in "[({<") and (_AT_BRACKETS.search(low) or _DOT_BRACKETS.search(low)):
+        out = out.rewrite([(m.start(), m.end(), "@") for m in _AT_BRACKETS.finditer(out.text)])
+        out = out.rewrite([(m.start(), m.end(), ".") for m in _DOT_BRACKETS.finditer(out.text)])
+    edits = []
+    for m in _SPELLED_IP.finditer(out.text):
+        if not m[0].replace(".", "").isdigit():
+            pieces = (x.lower() for x in _IP_PIECE.findall(m[0]))
+            edits.append((m.start(), m.end(), "".join("." if x in DOT_WORDS else DIGIT_WORDS.get(x, x) for x in pieces)))
+    out = out.rewrite(edits)
     edits = []
     for m in _SPELLED.finditer(out.text):
         if not m[0].replace(" ", "").replace("-", "").replace(",", "").isdigit():
             edits.append((m.start(), m.end(), "".join(DIGIT_WORDS.get(x.lower(), x) for x in _PIECE.findall(m[0]))))
     out = out.rewrite(edits)
     low = out.text.lower()
-    if any(b in low for b in "[({<") and (_AT_BRACKETS.search(low) or _DOT_BRACKETS.search(low)):
-        out = out.rewrite([(m.start(), m.end(), "@") for m in _AT_BRACKETS.finditer(out.text)])
-        out = out.rewrite([(m.start(), m.end(), ".") for m in _DOT_BRACKETS.finditer(out.text)])
-    if any(h in low for h in _HINTS):
+    if "plus" in low:
         edits = []
-        for m in _BARE.finditer(out.text):
-            edits += [(*m.span(1), "@"), *((d.start(), d.end(), ".") for d in _BARE_DOT.finditer(out.text, m.end(1), m.end()))]
+        for m in _PLUS.finditer(out.text):
+            if 9 <= len(_NOT_DIGIT.sub("", m[1])) <= 15 and not _NUMBER.fullmatch(m[1]):
+                edits.append((m.start(), m.end(), "+"))
         out = out.rewrite(edits)
+        low = out.text.lower()
+    if any(h in low for h in _HINTS):
+        out = out.rewrite(address_edits(out.text))
     return None if out.text == text else out
 
 

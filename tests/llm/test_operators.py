@@ -267,6 +267,27 @@ def test_pii(spark):
     assert pii.scan(empty(docs)).count() == 0
 
 
+def test_pii_disguises():
+    shown = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t)[1]]
+    for t in (
+        "hans at beispiel punkt de", "x arobase exemple point fr", "juan arroba ejemplo punto es", "john at example.com", "john@example dot com", "john (at) example dot com", "john [at] mail.example dot co dot uk",
+        "john dot doe at example dot com", "j.doe2 at example dot museum", "JOHN AT EXAMPLE DOT COM", "john (at) example dot travel", "john@mail dot example.com",
+    ):
+        assert shown(t) == [("email", t)] and shown(f"Write to {t}, or call.") == [("email", t)], t
+    for t in ("one nine two dot one six eight dot one dot one", "192 dot 168 dot 1 dot 1", "one nine two [dot] one six eight [dot] one [dot] one", "eins null punkt null punkt null punkt eins"):
+        assert shown(t) == [("ip", t)] and shown(f"host {t} is up") == [("ip", t)], t
+    for t in ("plus four nine five five five one two three four", "plus 49 30 1234567"):
+        assert shown(f"call {t} now") == [("phone", t)], t
+    for t in (
+        "look at the dot and point at it", "arrived at boiling point in two minutes", "stared at red dot patterns", "available at example.com", "smiled at him.She left", "see the shop at www.example.com", "two dot one dot five",
+        "nine two dot one six eight dot one dot nine nine nine", "plus 100 000 000 euros", "plus 3.14159265358", "at this point in time", "meet at noon dot nothing else", "look at example dot com",
+    ):
+        assert shown(t) == [], t
+    assert shown("a@b.co point at it") == [("email", "a@b.co")]
+    for t in ("x at " + "at dot " * 20000, "dot " * 50000, "one dot " * 20000, "plus 1 " * 20000):
+        pii.find(t)
+
+
 def test_html(spark):
     page = """<html><body><header>Site</header><nav><a href=/>Home</a></nav><div class="ad">Buy</div><article><h1>Title &amp; more</h1><p>One <b>bold</b>
     text.<br>next<p>Two<div id="comments"><p>nice</p></div><form>f</form><ul><li>x<li>y</ul></article><footer>&copy;</footer>"""
