@@ -279,6 +279,24 @@ def test_accumulated_equals_rebuild(spark, tmp_path):
     assert key(live.nodes()) == key(acc.nodes())
 
 
+def test_accumulated_edges_equal_rebuild(spark, tmp_path):
+    m = spark.createDataFrame(mention_rows(random.Random(5)), MENTION)
+    relate = lambda df: extract.adjacent_relations(df, F.when(F.col("score") > 0.5, "r").otherwise("s"), F.col("score"))
+    nodes, edges = merge.merge_graph(m, relate(m))
+    key = lambda df: {(r["source"], r["target"], r["relation_type"], r["score"], r["n_seen"], tuple(r["docs"]), r["first_doc"]) for r in df.collect()}
+    acc = AccumulatedGraph(spark, str(tmp_path / "acc"))
+    for b in (2, 0, 1, 0):  # later documents first, and a replayed batch
+        part = m.where(F.col("doc_id") % 3 == b)
+        acc.add(part, b, relate(part))
+    assert key(acc.edges()) == key(edges) and len(key(edges)) > 5
+    assert {r["node_id"] for r in acc.nodes().collect()} == {r["node_id"] for r in nodes.collect()}
+    src = str(tmp_path / "in")
+    m.coalesce(1).write.parquet(src)
+    live = AccumulatedGraph(spark, str(tmp_path / "live"))
+    live.stream(spark.readStream.schema(m.schema).parquet(src), str(tmp_path / "ck"), relate).trigger(availableNow=True).start().awaitTermination()
+    assert key(live.edges()) == key(edges)
+
+
 def test_summary_rounding(spark):
     nodes = spark.createDataFrame([(str(i), [1] if i == 0 else [1, 2]) for i in range(16)], "node_id string, docs array<long>")
     edges = spark.createDataFrame([], "source string, target string, docs array<long>")
