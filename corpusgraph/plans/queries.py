@@ -600,6 +600,5 @@ def keywords(spark, sf_dir):
 
 @query()
 def betweenness(spark, sf_dir):
-    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("source"), nxt.alias("target")).where("target is not null")
+    r = triples(spark, sf_dir).select("doc_id", fn.topic_key(F.col("source")).alias("source"), fn.topic_key(F.col("target")).alias("target")).distinct()
     return graph.per_graph(r, "betweenness").withColumn("value", F.round("value", 6))

@@ -203,6 +203,33 @@ def test_graph(spark):
     assert abs(sum(r["value"] ** 2 for r in graph.eigenvector(e, 5).collect()) - 1) < 1e-9
 
 
+def test_betweenness_of_documents(spark, tmp_path):
+    """The query's graphs are those of whole documents: every pair's shortest paths, counted by brute force."""
+    from itertools import combinations
+
+    from corpusgraph.plans import queries
+
+    names = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta"]
+    rng = random.Random(4)
+    rows = [(d, " ".join(rng.choice(names) for _ in range(n)), "en") for d, n in ((1, 9), (2, 14), (3, 1))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, text, _ in rows:
+        w = text.split()
+        near = {x: {y for p in zip(w, w[1:]) if x in p for y in p if y != x} for x in w if len(w) > 1}
+        for x in near:
+            want[d, x] = 0.0
+        for a, b in combinations(near, 2):
+            paths = [[a]]
+            while not any(p[-1] == b for p in paths):
+                paths = [[*p, y] for p in paths for y in near[p[-1]] if y not in p]
+            paths = [p for p in paths if p[-1] == b]
+            for x in {y for p in paths for y in p[1:-1]}:
+                want[d, x] += sum(x in p[1:-1] for p in paths) / len(paths) * 2 / ((len(near) - 1) * (len(near) - 2))
+    got = {(r["doc_id"], r["node_id"]): r["value"] for r in queries.betweenness(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want) and max(want.values()) > 0
+
+
 def test_parsed_triples(spark):
     rows = [  # "IBM acquired Red Hat in 2019 ." / "It presents BLIP on COCO ."
         (1, 0, 0, "IBM", "IBM", "PROPN", "nsubj", 1, "ORG", "IBM"), (1, 0, 1, "acquired", "acquire", "VERB", "ROOT", 1, "", None), (1, 0, 2, "Hat", "Hat", "PROPN", "dobj", 1, "ORG", "Red Hat"), (1, 0, 3, "in", "in", "ADP", "prep", 1, "", None), (1, 0, 4, "2019", "2019", "NUM", "pobj", 3, "DATE", "2019"),
