@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.state import cut, delete, shared_path
+
 SPACE_WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -19,27 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is set only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="corpusgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: lineage ends, and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def space_words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_WORD_BREAK), lambda w: w != "")
@@ -101,6 +80,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for later in maps[1:]:
         out = out.join(later.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     out = cut(out)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, folder)
     return out

@@ -2,6 +2,7 @@
 
 import random
 import re
+import threading
 from collections import Counter
 
 import duckdb
@@ -165,7 +166,7 @@ def test_mixing(spark):
 def test_sharding(spark):
     rows = corpus(5)
     docs = frame(spark, rows)
-    p = sharding.ShardParams(target_bytes=2000, batch_rows=4, least_runs=2)
+    p = sharding.ShardParams(target_bytes=4000, batch_rows=4, least_runs=2)  # no run needs more than one shard
     out = sharding.assignments(docs, p=p)
     pdf = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     against_sql(out, sharding.oracle_sql(p), documents=pdf)
@@ -180,32 +181,35 @@ def test_sharding(spark):
     assert sharding.assignments(empty(docs), p=p).count() == 0
 
 
+def whole_store(store, want):
+    """The newest version holds exactly the wanted rows, each run in the manifest as its files have it."""
+    got, runs = store.read(), store.manifest()
+    assert got.select("doc.*").exceptAll(want).count() == 0 == want.exceptAll(got.select("doc.*")).count()
+    held = {tuple(r) for r in got.groupBy("key").agg(F.count(F.lit(1)), F.sum("bytes")).collect()}
+    listed = runs.select("key", "n_rows", "bytes").collect()
+    assert held == {tuple(r) for r in listed} and len(held) == len(listed)
+
+
 def test_sharding_repeats(spark):
     """Arrivals between compactions, with batches numbered alike: no row is ever lost, and merged shards merge again."""
     docs = frame(spark, corpus(5)).cache()
     path = common.shared_path(spark, "store")
     p = sharding.ShardParams(target_bytes=3000, fanout=2, least_runs=2)
     store = lambda: sharding.ShardStore(spark, path, p)  # noqa: E731  (opened anew each time)
-    batch, want = F.floor(F.col("doc_id") / 4), docs.limit(0)
-
-    def whole():
-        got, runs = store().read(), store().manifest()
-        assert got.select("doc.*").exceptAll(want).count() == 0 == want.exceptAll(got.select("doc.*")).count()
-        held = {tuple(r) for r in got.groupBy("key").agg(F.count(F.lit(1)), F.sum("bytes")).collect()}
-        listed = runs.select("key", "n_rows", "bytes").collect()
-        assert held == {tuple(r) for r in listed} and len(held) == len(listed)
-
-    for step in ("append", "append", "compact", "append", "compact", "vacuum", "compact", "compact", "vacuum"):
+    batch, want, runs = F.floor(F.col("doc_id") / 4), docs.limit(0), []
+    for step in ("append", "append", "compact", "append", "compact", "compact", "vacuum", "compact", "append", "vacuum", "compact"):
         if step == "append":
             store().append(docs, batch)
             want = want.unionAll(docs)
         else:
             getattr(store(), step)()
-        whole()
-    runs = lambda v: {(r["key"], r["n_rows"], r["folder"]) for r in store().manifest(v).collect()}
-    assert len(runs(1)) + len(runs(1)) == len(runs(2)) and store().manifest(3).columns == store().manifest(1).columns
-    assert runs(3) - runs(5) and runs(3) & runs(5)  # some shards merged again with later ones, others stayed where they were
-    assert len(runs(4)) > len(runs(5)) >= len(runs(6)) >= len(runs(7))
+        whole_store(store(), want)
+        runs.append({(r["key"], r["n_rows"], r["commit"], r["home"]) for r in store().manifest().collect()})
+    assert 2 * len(runs[0]) == len(runs[1]) and len(runs[2]) < len(runs[1]) and len(runs[5]) <= len(runs[4]) < len(runs[3])
+    assert runs[2] - runs[4] and runs[2] & runs[4]  # some shards merged again with later ones, others stayed where they were
+    while (v := store().version()) != store().compact():
+        whole_store(store(), want)
+    assert store().version() == v  # nothing to move: no version
     with pytest.raises(ValueError):
         store().append(docs.drop("source"), batch)
     bare = sharding.ShardStore(spark, common.shared_path(spark, "store"), p)
@@ -216,6 +220,66 @@ def test_sharding_repeats(spark):
     docs.unpersist()
 
 
+def test_sharding_random_arrivals(spark):
+    """Arrivals and compactions in random order keep every row, and all but single long documents keep to the target."""
+    rng = random.Random(11)
+    store = sharding.ShardStore(spark, common.shared_path(spark, "store"), sharding.ShardParams(target_bytes=2000, fanout=3, least_runs=3))
+    want = None
+    for step in range(8):
+        if step == 0 or rng.random() < 0.6:
+            rows = [(rng.randrange(40) if rng.random() < 0.9 else None, "y" * rng.randrange(300), "s") for _ in range(rng.randrange(1, 30))]
+            docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+            store.append(docs, F.floor(F.col("doc_id") / 5))
+            want = docs if want is None else want.unionAll(docs)
+        else:
+            store.compact()
+        if rng.random() < 0.3:
+            store.vacuum()
+        whole_store(store, want)
+    store.compact()
+    assert store.manifest().where("compacted and bytes > 4000 + 300").count() == 0
+
+
+def test_sharding_splits_one_hot_run(spark):
+    """A third of all rows under one batch, or without an id, is dealt over shards of about the target size."""
+    rows = [(i, "x" * 50, "s") for i in range(200)] + [(None, "x" * 50, "s")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    p = sharding.ShardParams(target_bytes=1000, batch_rows=4)
+    store = sharding.stored(docs, p=p)
+    whole_store(store, docs)
+    sizes = [r["bytes"] for r in store.manifest().collect()]
+    assert max(sizes) < 2500 and len(sizes) >= 20
+    by_rows = sharding.stored(docs.withColumn("text", F.lit(None).cast("string")), p=sharding.ShardParams(most_rows=20, batch_rows=4))
+    assert by_rows.manifest().agg(F.max("n_rows"), F.sum("n_rows")).first()[:] == (by_rows.manifest().agg(F.max("n_rows")).first()[0], 500)
+    assert by_rows.manifest().agg(F.max("n_rows")).first()[0] < 60
+
+
+def test_sharding_two_writers(spark):
+    """Of two commits of one version one fails, and what the other wrote is whole."""
+    docs = frame(spark, corpus(5))
+    store = sharding.ShardStore(spark, common.shared_path(spark, "store"))
+    store.append(docs, F.floor(F.col("doc_id") / 4))
+    manifest = store.manifest().drop("version")
+    outcome = []
+
+    def commit():
+        try:
+            store.commit(manifest, 2)
+            outcome.append("done")
+        except RuntimeError:
+            outcome.append("refused")
+
+    writers = [threading.Thread(target=commit) for _ in range(2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert outcome.count("done") >= 1 and store.version() == 2
+    with pytest.raises(RuntimeError):
+        store.commit(manifest, 2)
+    whole_store(store, docs)
+
+
 def test_url_filters(spark):
     rows = [(1, "http://a.example.org/x/casino?q=1", "2024-03-01"), (2, None, "2024-03-01"), (3, "", None), (4, "https://u:p@B.Example.org:80/y#f", "2024-07-01"), (5, "https://b.example.org/y", "2024-12-01"), (5, "https://b.example.org/y", "2024-12-01"), (6, "nonsense", "2024-01-01"), (7, "http://tionsh.example.net/fr/1", "2024-08-01"), (8, "http://tionsh.example.net/frx/1", "2024-08-01")]
     caps = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumns({"fetched": F.to_timestamp("fetched"), "host": F.lit("mine")})
