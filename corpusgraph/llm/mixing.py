@@ -1,20 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's target (in words) over its size is the number of copies each of its documents should get. The whole part
-is given to every document for certain; the rest is an inclusion probability. Each document draws a random number U
-fixed by its id, and gets the rank value Q = odds(U) / odds(inclusion probability): the documents with the smallest
-Q of a source form the sample, which is of fixed size (in words, to within half a document) instead of the random
-size of independent draws. Inclusion probabilities are unequal: they differ by source, and by document where a
-weight column is given (probabilities are then proportional to weight, up to 1).
+is given to every document for certain; the rest is sampled. Each document draws a random number U fixed by its id, and
+gets the rank value Q = odds(U) / odds(inclusion probability): the documents with the smallest Q of a source form the
+sample, which is of fixed size (in words, to within half a document) instead of the random size of independent draws.
+Inclusion probabilities are unequal: proportional to a document's weight (its size in words, unless another is given),
+and such that the source's expected words are its rest. Where that would exceed 1 the document is taken for certain (Q is
+0) and the others' probabilities are scaled to what is then left, again until none exceeds 1.
 
 A source may hold most of the corpus, so no window or sort runs over a source: word sums by (source, slice of Q)
 are pre-aggregated, a running sum over the slices finds the one slice in which the sample ends, and only that slice,
-1/slices of a source, is ordered document by document. The slices grow in number with the corpus.
+1/slices of a source, is ordered document by document. The slices grow in number with the corpus. Nor does one task hold
+all sources: they are numbered range by range, and both kinds of scaling (targets under their caps, probabilities under
+1) are repeated aggregations until nothing is newly capped, which ends because what is capped stays so.
 
 Edge cases. Null texts have size 0. Sources are ordered by code point, a null source last as a source of its own;
 a source of size 0 has target 0. A null id draws as the empty string does. Rows with the same source and id draw the
-same number; they are taken or left together. An empty table gives an empty result. Other columns are never read;
-the mix returns them untouched, whatever their names.
+same number; of equal weight, they are taken or left together. Weights that are null or negative count as 0: such a row
+is taken only if all others are. An empty table gives an empty result. Other columns are never read; the mix returns
+them untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,38 +53,68 @@ def draw(id_col: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(281474976710656.0)
 
 
+def numbered(df: DataFrame, column: str, p: MixParams) -> DataFrame:
+    """df with `at`: the place of each row, from 0, in the order of a column by code point, null last."""
+    order = [F.col(column).isNull(), F.col(column).asc_nulls_last()]
+    ranged = cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    heads = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    out = ranged.join(hinted(heads.select("range", before.alias("before")), p.broadcast_rows), "range")
+    return out.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1).drop("range", "before")
+
+
 def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
-    """(source, size, mean_weight) once for each source -> source, source_size, mean_weight, target. Windows here run over sources, not rows.
-
-    Water filling: sources in order of cap / weight; those before the first whose cap is above its share of what is
-    left get their cap, the others that share.
-    """
-    n = len(p.weights)
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in p.weights]), (F.col("at") % n + 1).cast("int"))
-    df = sizes.withColumn("at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight)
-    df = df.withColumn("cap", p.most_copies * F.col("size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "at")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    df = df.withColumn("before", F.coalesce(F.sum("cap").over(upto), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("weight").over(upto), F.lit(0)))
-    df = df.withColumn("share", (F.lit(p.budget) * F.sum("size").over(everything) - F.col("before")) / (F.sum("weight").over(everything) - F.col("w_before")))
-    df = df.withColumn("open", F.col("cap") > F.col("share") * F.col("weight"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("at"), F.col("share").alias("share")))).over(everything)
-    df = df.withColumn("level", level["share"])
-    target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    return df.select("source", F.col("size").alias("source_size"), "mean_weight", target.alias("target"))
+    """(source, size) once for each source -> source, source_size, target.
+
+    Water filling: all share what is left by weight; those whose cap is not above their share get the cap, and the others
+    share the rest anew."""
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in p.weights]), (F.col("at") % len(p.weights) + 1).cast("int"))
+    df = cut(numbered(sizes, "source", p).withColumn("weight", weight).withColumn("cap", p.most_copies * F.col("size")))
+    total = df.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+    level, capped = (p.budget * total["size"] / total["weight"] if total["n"] else 0.0), 0
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        got = df.where(full).agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"), F.count(F.lit(1)).alias("n")).first()
+        if got["n"] in (capped, total["n"]):
+            break
+        level, capped = (p.budget * total["size"] - got["cap"]) / (total["weight"] - got["weight"]), got["n"]
+    return df.select("source", F.col("size").alias("source_size"), F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def with_scale(per_source: DataFrame, sized: DataFrame, p: MixParams) -> DataFrame:
+    """per_source (source, rest, ...) with scale: a document's inclusion probability is scale times its weight, and it is
+    taken for certain where that is 1 or more."""
+    by_weight = cut(sized.groupBy("source", "weight").agg(F.sum("size").alias("words")))
+    now, certain = per_source.select("source", "rest", F.lit(0.0).alias("scale")), None
+    while True:
+        side = hinted(now.withColumnRenamed("source", "__s"), p.broadcast_rows)
+        taken = F.col("scale") * F.col("weight") >= 1
+        parts = by_weight.join(side, F.col("source").eqNullSafe(F.col("__s"))).groupBy("source", "rest").agg(
+            F.coalesce(F.sum(F.when(taken, F.col("words"))), F.lit(0)).alias("fixed"),
+            F.coalesce(F.sum(F.when(~taken, F.col("words") * F.col("weight"))), F.lit(0.0)).alias("open"),
+            F.count_if(taken).alias("n"),
+        )
+        now = cut(parts.select("source", "rest", F.coalesce(F.try_divide(F.col("rest") - F.col("fixed"), F.col("open")), F.lit(0.0)).alias("scale"), "n"))
+        n = now.agg(F.sum("n")).first()[0]
+        if n == certain or not n and certain is not None:
+            break
+        certain = n
+    out = per_source.join(now.select(F.col("source").alias("__s"), "scale"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return cut(out.withColumn("scale", F.coalesce("scale", F.lit(0.0))))
 
 
 def plan(sized: DataFrame, p: MixParams) -> DataFrame:
-    """(id, source, size, weight) for each document -> for each source: source_size, target, whole copies, and the rank value
-    up to which documents get one copy more (rank_to, id_to)."""
+    """(id, source, size, weight) for each document -> for each source: source_size, target, whole copies, scale, and the
+    rank value up to which documents get one copy more (rank_to, id_to)."""
     rows = sized.count()
     slices = max(p.least_slices, math.ceil(rows / p.rows_per_slice))
-    per_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.try_divide(F.sum(F.col("size") * F.col("weight")), F.sum("size")).alias("mean_weight")), p))
+    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("size")), p)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_source = per_source.withColumn("whole", F.floor(ratio).cast("long"))
     per_source = per_source.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("inclusion", ratio - F.col("whole"))
-    drawn = with_rank(sized, per_source.where("inclusion > 0"), p).withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * slices).cast("int"))
+    per_source = with_scale(cut(per_source), sized, p)
+    slice_ = F.when(F.col("q") == 0, F.lit(-1)).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * slices)).cast("int")  # what is certain fits
+    drawn = with_rank(sized, per_source.where("inclusion > 0"), p).withColumn("slice", slice_)
     by_slice = drawn.groupBy("source", "slice", "rest").agg(F.sum("size").alias("words"))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
     last = by_slice.withColumn("upto", run).where("upto > rest").groupBy("source").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
@@ -89,7 +123,7 @@ def plan(sized: DataFrame, p: MixParams) -> DataFrame:
     edge = edge.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))).groupBy("source", "q", "id", "before", "rest").agg(F.sum("size").alias("size"))
     run = F.sum("size").over(Window.partitionBy("source").orderBy("q", "id"))
     edge = edge.withColumn("mid", F.col("before") + run - F.col("size") / 2).where("mid <= rest").groupBy("source").agg(F.max(F.struct("q", "id")).alias("to"))
-    end = last.select(F.col("source").alias("s1"), (F.col("slice") / F.lit(slices)).alias("from_u")).join(edge.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left")
+    end = last.select(F.col("source").alias("s1"), (F.greatest("slice", F.lit(0)) / F.lit(slices)).alias("from_u")).join(edge.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left")
     # Without a row in the last slice the sample ends where that slice begins.
     end = end.select("s1", F.coalesce(F.col("to.q"), F.try_divide(F.col("from_u"), 1 - F.col("from_u"))).alias("rank_to"), F.col("to.id").alias("id_to"))
     out = per_source.join(end, F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
@@ -101,39 +135,41 @@ def with_rank(df: DataFrame, per_source: DataFrame, p: MixParams) -> DataFrame:
     side = hinted(per_source.withColumnRenamed("source", "__s"), p.broadcast_rows)
     out = df.join(side, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = draw(F.col("id"), p.seed)
-    share = F.coalesce(F.try_divide(F.col("weight"), F.col("mean_weight")), F.lit(1.0))
-    p_in = F.greatest(F.least(F.col("inclusion") * share, F.lit(1 - 1e-12)), F.lit(1e-12))
-    return out.withColumn("q", F.when(F.col("inclusion") > 0, u / (1 - u) / (p_in / (1 - p_in))))
+    p_in = F.greatest(F.col("scale") * F.col("weight"), F.lit(1e-12))
+    q = F.when(p_in >= 1, F.lit(0.0)).otherwise(u / (1 - u) / (p_in / (1 - p_in)))
+    return out.withColumn("q", F.when(F.col("inclusion") > 0, q))
 
 
 def copies(id_col: str = "id") -> Column:
     """Copies of a row that has its source's plan and its rank value."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    more = (F.col("inclusion") > 0) & (F.col("rank_to").isNull() | (F.col("q") < F.col("rank_to")) | ((F.col("q") == F.col("rank_to")) & (key <= F.coalesce(F.col("id_to"), F.lit("")))))
+    more = (F.col("inclusion") > 0) & (F.col("rank_to").isNull() | (F.col("q") == 0) | (F.col("q") < F.col("rank_to")) | ((F.col("q") == F.col("rank_to")) & (key <= F.coalesce(F.col("id_to"), F.lit("")))))
     return F.col("whole") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 
-def _weight(weight: str | None) -> Column:
-    return F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+def _weight(size: Column, weight: str | Column | None) -> Column:
+    given = size if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    return F.greatest(F.coalesce(given.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def _sized(docs: DataFrame, id_col: str, source: str, text: str, weight: str | None) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _weight(weight).alias("weight"))
+def _sized(docs: DataFrame, id_col: str, source: str, text: str, weight: str | Column | None) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([] if weight is None else [_weight(F.lit(0), weight).alias("weight")]))
+    return cut(rows if weight is not None else rows.withColumn("weight", _weight(F.col("size"), None)))
 
 
-def allocate(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, p: MixParams | None = None) -> DataFrame:
+def allocate(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | Column | None = None, p: MixParams | None = None) -> DataFrame:
     """One row for each document: id, source, size, source_size, target (words of its source) and taken (words)."""
     p = p or MixParams()
-    sized = cut(_sized(docs, id_col, source, text, weight))
+    sized = _sized(docs, id_col, source, text, weight)
     out = with_rank(sized, plan(sized, p), p).withColumn("copies", copies())
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, p: MixParams | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weight: str | Column | None = None, p: MixParams | None = None) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
     p = p or MixParams()
-    per_source = plan(cut(_sized(docs, id_col, source, text, weight)), p)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"), _weight(weight).alias("weight"))
+    per_source = plan(_sized(docs, id_col, source, text, weight), p)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"), _weight(word_count(F.col(text)), weight).alias("weight"))
     out = with_rank(rows, per_source, p).withColumn("copies", copies())
     return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select("row.*")
 
@@ -154,8 +190,16 @@ l AS (SELECT arg_min(share, (cap / weight, pos)) FILTER (cap > share * weight) A
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * weight) END AS target FROM o, l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- Heaviest first: a weight is certain while, of what the heavier leave, its share is one or more.
+x AS (SELECT source, size AS weight, sum(size) AS words, any_value(target - whole * source_size) AS rest FROM r GROUP BY source, size),
+y AS (SELECT *, weight > 0 AND weight * (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  >= sum(weight * words) OVER (PARTITION BY source ORDER BY weight ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS certain FROM x),
+z AS (SELECT source, coalesce((any_value(rest) - coalesce(sum(words) FILTER (certain), 0)) / nullif(sum(weight * words) FILTER (NOT certain), 0)::DOUBLE, 0) AS scale,
+  coalesce(min(weight) FILTER (certain), 9e18) AS certain_from FROM y GROUP BY source),
+p AS (SELECT r.*, CASE WHEN size >= certain_from THEN 1 ELSE greatest(scale * size::DOUBLE, 1e-12) END AS p_in FROM r JOIN z ON r.source IS NOT DISTINCT FROM z.source),
+o2 AS (SELECT *, CASE WHEN p_in >= 1 THEN 0 ELSE u / (1 - u) / (p_in / (1 - p_in)) END AS odds FROM p),
 q AS (SELECT *, target - whole * source_size AS rest,
-  sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto,
-  sum(size) OVER (PARTITION BY source, u, doc_id) AS peers FROM r)
+  sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto,
+  sum(size) OVER (PARTITION BY source, odds, doc_id) AS peers FROM o2)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN ratio > whole AND upto - peers / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM q"""
+  (size * (whole + CASE WHEN ratio > whole AND (odds = 0 OR upto - peers / 2 <= rest) THEN 1 ELSE 0 END))::BIGINT AS taken FROM q"""

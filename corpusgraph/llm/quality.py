@@ -40,24 +40,33 @@ class QualityParams:
     stop_words: tuple = field(default_factory=lambda: tuple(sorted(set(STOP_WORDS))))
 
 
-def features(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
+def features(docs: DataFrame, keep: list[Column], text: str = "text", hash_bits: int = 40) -> DataFrame:
     """The kept columns and a struct of counts, in built-in functions only; no text leaves its row.
 
-    Repeated three-word windows: each window becomes a long, its hash above its 24-bit place (texts have fewer than
-    2^24 words), so one sort of longs brings equal windows together; neighbours with equal hashes are compared word
-    by word before they count.
+    Repeated three-word windows: each window becomes a long, `hash_bits` of its hash above its place (fewer where a text
+    has more words than the rest can number), so one sort of longs brings equal windows together. Neighbours with equal
+    hashes are compared word by word. Where two of them differ, all windows of that hash are sorted by their words, so
+    windows that share a hash hide no repeat.
     """
     names = [f"__k{i}" for i in range(len(keep))]
     col = lambda: [F.col(n) for n in names]
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(*[k.alias(n) for k, n in zip(keep, names, strict=True)], body.alias("t"), F.array_remove(F.split(body, SPACE_WORD_BREAK), "").alias("w"))
-    packed = "sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> shiftleft(xxhash64(x, get(w, i + 1), get(w, i + 2)), 24) | i))"
-    df = df.select(*col(), "t", "w", F.expr(packed).alias("p"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
-    twins = "filter(sequence(0, greatest(size(p) - 2, 0)), i -> shiftright(get(p, i), 24) = shiftright(get(p, i + 1), 24))"
-    pairs = f"transform({twins}, i -> struct(cast(get(p, i) & 16777215 as int) as a, cast(get(p, i + 1) & 16777215 as int) as b))"
-    df = df.select(*col(), "t", "w", "l", F.expr(pairs).alias("c"))
-    same = "filter(c, x -> get(w, x.a) = get(w, x.b) and get(w, x.a + 1) = get(w, x.b + 1) and get(w, x.a + 2) = get(w, x.b + 2))"
-    covered = F.expr(f"size(array_distinct(flatten(transform({same}, x -> array(x.a, x.a + 1, x.a + 2, x.b, x.b + 1, x.b + 2)))))")
+    df = df.withColumn("b", F.greatest(F.lit(64 - hash_bits), F.length(F.bin(F.size("w").cast("long")))))
+    packed = "sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> shiftleft(xxhash64(x, get(w, i + 1), get(w, i + 2)), b) | i))"
+    df = df.select(*col(), "t", "w", "b", F.expr(packed).alias("p"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
+    place = lambda v: f"cast({v} & (shiftleft(1L, b) - 1) as int)"
+    twins = "filter(sequence(0, greatest(size(p) - 2, 0)), i -> shiftright(get(p, i), b) = shiftright(get(p, i + 1), b))"
+    pairs = f"transform({twins}, i -> struct({place('get(p, i)')} as a, {place('get(p, i + 1)')} as b, shiftright(get(p, i), b) as h))"
+    df = df.select(*col(), "t", "w", "l", "b", "p", F.expr(pairs).alias("c"))
+    same = "get(w, x.a) = get(w, x.b) and get(w, x.a + 1) = get(w, x.b + 1) and get(w, x.a + 2) = get(w, x.b + 2)"
+    shared = f"array_distinct(transform(filter(c, x -> not ({same})), x -> x.h))"
+    df = df.select(*col(), "t", "w", "l", "b", "p", F.expr(f"transform(filter(c, x -> {same}), x -> struct(x.a as a, x.b as b))").alias("c"), F.expr(shared).alias("h"))
+    spelled = f"transform(filter(p, v -> array_contains(h, shiftright(v, b))), v -> struct(array_join(slice(w, {place('v')} + 1, 3), ' ') as s, {place('v')} as a))"
+    df = df.select(*col(), "t", "w", "l", "c", F.expr(f"case when size(h) > 0 then sort_array({spelled}) end").alias("k"))
+    more = "transform(filter(sequence(0, greatest(size(k) - 2, 0)), i -> get(k, i).s = get(k, i + 1).s), i -> struct(get(k, i).a as a, get(k, i + 1).a as b))"
+    df = df.select(*col(), "t", "w", "l", F.expr(f"case when k is null then c else concat(c, {more}) end").alias("c"))
+    covered = F.expr("size(array_distinct(flatten(transform(c, x -> array(x.a, x.a + 1, x.a + 2, x.b, x.b + 1, x.b + 2)))))")
 
     def count(chars: str) -> Column:
         rest = F.col("t")
@@ -160,13 +169,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Qualit
 
 
 def keep_good(docs: DataFrame, text: str = "text", p: QualityParams | None = None) -> DataFrame:
-    """The documents that `score` keeps, with all their columns. Reads the texts twice: for the model and to decide."""
+    """The documents that `score` keeps, with all their columns. The texts are read once: rows go to the shared folder with
+    their counts and votes, and the model and the result come from there."""
     p = p or QualityParams()
-    model = fit(vote_patterns(_marked(docs.select(F.col(text).alias("text")), [], "text")), p.rounds)
-    marked = _marked(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), [F.col("row")], "text").withColumnRenamed("__k0", "row")
-    posterior = model.posterior([F.col(f"__v.{r}") for r in RULES])
-    # explode and not where: a filter would be pushed below the projections, and the arrays computed anew for each element
-    return marked.select(F.explode(F.when(~base_failed(p) & (posterior >= p.keep_from), F.array("row"))).alias("row")).select("row.*")
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]  # the table's names are its own
+    marked = cut(_marked(docs.select(F.struct(*fields).alias("row"), F.col(text).alias("text")), [F.col("row")], "text"))
+    posterior = fit(vote_patterns(marked), p.rounds).posterior([F.col(f"__v.{r}") for r in RULES])
+    good = marked.where(~base_failed(p) & (posterior >= p.keep_from))
+    return good.select(*[F.col(f"__k0.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle_sql(p: QualityParams | None = None) -> str:

@@ -71,6 +71,21 @@ def test_quality(spark):
     assert quality.score(empty(docs)).count() == 0 and quality.keep_good(empty(docs)).count() == 0
 
 
+def test_quality_shared_hashes(spark):
+    """Windows that share a hash, as in A B A, hide no repeat: with 2, 3 or 64 - 24 bits the counts are the same."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + rng.choice(["", "", "x"]) for _ in range(rng.randrange(0, 400)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        seen = Counter(zip(w, w[1:], w[2:]))
+        want[i] = len({p for j, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for p in (j, j + 1, j + 2)})
+    for bits in (2, 3, 40):
+        got = quality.features(docs, [F.col("doc_id")], hash_bits=bits).select("__k0", "__f.n_repeat_words").collect()
+        assert {r[0]: r[1] for r in got} == want, bits
+
+
 def brute_classes(rows, p):
     sets, best = {}, {}
     for d, t, _ in rows:
@@ -131,18 +146,47 @@ def test_decontaminate(spark):
     docs = frame(spark, rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     pdf, bdf = (pd.DataFrame(r, columns=c).astype({c[0]: "Int64"}) for r, c in ((rows, ["doc_id", "text", "source"]), (items, ["item_id", "text"])))
-    for p in (decontaminate.DecontaminateParams(), decontaminate.DecontaminateParams(block_words=40)):
+    small = decontaminate.DecontaminateParams(block_words=40, piece_words=7, filter_bits=1 << 12)
+    for p in (decontaminate.DecontaminateParams(), small):
         out = decontaminate.inspect(docs, bench, p=p)
         against_sql(out, decontaminate.oracle_sql(), documents=pdf, benchmark=bdf)
     hit = out.where("contaminated").count()
     assert hit
     assert decontaminate.clean(docs, bench).count() == len(rows) - hit
-    cut = decontaminate.clean(docs, bench, p=decontaminate.DecontaminateParams(action="cut"))
-    assert cut.columns == docs.columns and cut.count() == len(rows)
+    whole = lambda **k: sorted((tuple(r) for r in decontaminate.clean(docs, bench, p=decontaminate.DecontaminateParams(action="cut", **k)).collect()), key=str)
+    assert decontaminate.clean(docs, bench, p=decontaminate.DecontaminateParams(action="cut")).columns == docs.columns
+    assert len(whole()) == len(rows) and whole() == whole(block_words=40, piece_words=7)
     assert decontaminate.inspect(docs, empty(bench)).where("contaminated").count() == 0
     assert decontaminate.inspect(empty(docs), bench).count() == 0
 
 
+def test_decontaminate_many_blocks(spark, monkeypatch):
+    """Fifty blocks: one broadcast of windows at a time, and the hits of one block."""
+    rng = random.Random(12)
+    bench = spark.createDataFrame([(i, " ".join(f"t{rng.randrange(5000)}" for _ in range(60))) for i in range(50)], "item_id long, text string")
+    texts = [r["text"] for r in bench.collect()]
+    docs = spark.createDataFrame([(i, f"start {texts[i % 50][10:300]} end" if i % 3 else "nothing of it " * 9) for i in range(200)], "doc_id long, text string")
+    alive, most = set(), 0
+    real = spark.sparkContext.broadcast
+
+    def counting(value):
+        nonlocal most
+        b = real(value)
+        if isinstance(value, decontaminate.WindowSet):
+            alive.add(id(b))
+            most = max(most, len(alive))
+            gone = b.destroy
+            b.destroy = lambda: (alive.discard(id(b)), gone())
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counting)
+    rows = lambda p: sorted(map(tuple, decontaminate.inspect(docs, bench, p=p).collect()))
+    many = rows(decontaminate.DecontaminateParams(block_words=60))
+    assert most == 1 and not alive
+    monkeypatch.undo()
+    assert many == rows(decontaminate.DecontaminateParams()) and sum(r[-1] for r in many) == 133
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (i % 17)), s) for i in range(300) for s in [["a", "b", "c", None, "é"][i % 5 if i % 3 else 0]]] + [(7, "w w w", "b"), (7, "w w w", "b"), (900, None, "z"), (None, "w w", "a")]
     docs = frame(spark, rows)
@@ -160,6 +204,8 @@ def test_mixing(spark):
     more = mixing.allocate(heavy, weight="w", p=p).where("source = 'a' and size > 0").groupBy(F.col("doc_id") % 2 == 0).agg(F.sum("taken") / F.sum("size")).collect()
     got = dict(tuple(r) for r in more)
     assert got[True] > got[False]
+    equal = mixing.allocate(docs, weight=F.lit(1.0), p=p).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert all(abs(r["k"] - r["t"]) <= 17 for r in equal)
     assert mixing.allocate(empty(docs)).count() == 0 and mixing.mix(empty(docs)).count() == 0
 
 
@@ -181,6 +227,23 @@ def test_sharding(spark):
     assert sharding.assignments(empty(docs), p=p).count() == 0
 
 
+def test_mixing_long_documents(spark):
+    """A long document among many short ones in each source: those due for certain are taken, probabilities of the rest are scaled, and
+    every source still comes within half a document of its target."""
+    rows = [(i, " ".join(["w"] * (300 if i < 3 else 3 + i % 9)), "abc"[i % 3]) for i in range(400)] + [(1000 + i, "w " * 90, f"s{i:03d}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    p = mixing.MixParams(least_slices=16, broadcast_rows=3)
+    out = mixing.allocate(docs, p=p)
+    against_sql(out.drop("source"), mixing.oracle_sql(p), documents=pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    per = out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.max("size").alias("m")).collect()
+    assert all(abs(r["k"] - r["t"]) <= r["m"] / 2 + 1 for r in per)
+    sized = mixing._sized(docs, "doc_id", "source", "text", None)
+    ranked = mixing.with_rank(sized, mixing.plan(sized, p), p).where("inclusion > 0")
+    expected = ranked.groupBy("source").agg(F.sum(F.least(F.col("scale") * F.col("weight"), F.lit(1.0)) * F.col("size")).alias("e"), F.first("rest").alias("r")).collect()
+    assert expected and all(abs(r["e"] - r["r"]) < 1e-6 * max(1, r["r"]) for r in expected)
+    assert ranked.where("scale * weight >= 1").count() > 0 and ranked.where("scale * weight >= 1 and q <> 0").count() == 0
+
+
 def whole_store(store, want):
     """The newest version holds exactly the wanted rows, each run in the manifest as its files have it."""
     got, runs = store.read(), store.manifest()
