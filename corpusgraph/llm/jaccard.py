@@ -10,7 +10,9 @@ comparing all pairs, without doing so:
    for each range, under size classes so that both use the same ranges. Ranges with very few elements say little and
    are published only by sets that have too few others. What links shares a fingerprint; a fingerprint's sets are tied
    to the smallest of them, and the ties' components are the groups in which links can lie. A set has one row for each
-   range, so even a fingerprint that all sets share is a small part of the rows.
+   range, so even a fingerprint that all sets share is a small part of the rows. A fingerprint of more than `hot_sets` sets
+   (a passage that many documents hold) ties only sets that need it: as linked sets differ in no more than `reach` ranges,
+   a set with more than reach fingerprints that are not hot shares one of those with whatever it links with.
 3. Signature trees. Members of a group get blocks of bounded size by size class. Each block is a tree whose nodes hold
    the OR of their members' token bitmaps and their range of sizes. Two blocks are joined by traversing both trees at
    once: a pair of nodes is dropped when their size ranges, or the largest overlap their bitmaps allow, rule out a
@@ -19,12 +21,14 @@ comparing all pairs, without doing so:
 
 A group of any size is cut into blocks of bounded rows and elements, and a task holds two blocks at most. Blocks are
 joined with themselves first, then one set of each class so far with those of the group's other classes, and last only
-those pairs of blocks that by their sizes can still link and that hold different classes.
+those pairs of blocks of equal or neighbouring size steps that by their sizes can still link and that hold different
+classes.
 
 Defined results. A null or empty text has size 0 and links with nothing. A text of fewer words than a shingle is one
 shingle as a whole. Rows with the same id are one document as regards links; rows with a null id link with nothing and
 have a null class. Every row of the input is in the result. Very long texts are sets like others. An empty table gives
 an empty result. Columns other than id and text are not read; `keep_one` returns them untouched, whatever their names.
+Ids are whole numbers, or texts of such; others are an error.
 """
 
 from __future__ import annotations
@@ -58,6 +62,7 @@ class JaccardParams:
     leaf_rows: int = 16
     bits: int = 2048
     fanout: int = 8
+    hot_sets: int = 1000
     broadcast_rows: int = 200_000
 
     @property
@@ -113,13 +118,18 @@ def class_bounds(p: JaccardParams) -> np.ndarray:
     return np.array(bounds)
 
 
-def fingerprints(values: np.ndarray, sizes: np.ndarray, p: JaccardParams) -> Iterator[np.ndarray]:
-    """For each set its published fingerprints: in its own class, and in lower ones while smaller sets there can link.
+def fingerprints(values: np.ndarray, sizes: np.ndarray, p: JaccardParams) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """For each set its published fingerprints: in its own class, and in lower ones while smaller sets there can link. The
+    last three bits of a fingerprint number its class.
 
     Class c cuts the hash space into more ranges than its largest set, as the smaller of two, can differ in. A set that
     can differ in `reach` elements publishes its ranges of `light` or more elements if these are more than reach; else
     all that are not empty if these are; else all of them. Of two sets that link, one range is equal and published by
     both: either has more than reach of the better kind, or both publish the next kind as well.
+
+    Beside them, for classes of which it publishes the best kind only: 8 times the number of fingerprints beyond reach,
+    plus the class's number. A set with fewer hot fingerprints than that in the class does without those: of the others
+    more than reach remain, so one of them is equal in whatever links, which publishes it whatever its own kind.
     """
     bounds = class_bounds(p)
     own = size_class(sizes, p)
@@ -127,7 +137,7 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray, p: JaccardParams) -> Ite
     for size, c in zip(sizes.tolist(), own.tolist(), strict=True):
         v = values[at : at + size]
         at += size
-        out = [np.zeros(0, U)]
+        out, spare = [np.zeros(0, U)], []
         reach = p.most_apart(size)
         if reach:  # else only equal sets link
             low = math.ceil(size * p.t - 1e-9)
@@ -141,12 +151,15 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray, p: JaccardParams) -> Ite
                 ends = np.cumsum(full)
                 sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(v), dtype=U)])
                 prints = mixed(sums[ends] - sums[ends - full] + mixed(np.arange(m, dtype=U) + U(k << 40)) + full.astype(U))
-                kind = next((k for k in (full >= p.light, full > 0) if k.sum() > reach), slice(None))
-                out.append(prints[kind])
-        yield np.concatenate(out)
+                prints = (prints & ~U(7)) | U(k & 7)
+                best, some = full >= p.light, full > 0
+                if best.sum() > reach:
+                    spare.append(8 * int(best.sum() - reach) + (k & 7))
+                out.append(prints[best] if best.sum() > reach else prints[some] if some.sum() > reach else prints)
+        yield np.concatenate(out), spare
 
 
-PROFILE = "id long, n_shingles long, print1 long, print2 long, prints array<long>"
+PROFILE = "id long, n_shingles long, print1 long, print2 long, prints array<long>, spare array<long>"
 
 
 def _profiler(p: JaccardParams):
@@ -157,11 +170,12 @@ def _profiler(p: JaccardParams):
             values, sizes = shingle_sets(texts, p.shingle, memo)
             upto = np.cumsum(sizes)
             one, two = (np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (values, mixed(values + U(1))))
-            prints = list(fingerprints(values, sizes, p))
+            published = list(fingerprints(values, sizes, p))
+            prints, spare = [x for x, _ in published], [x for _, x in published]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prints])]).astype(np.int32)
             flat = np.concatenate([*prints, np.zeros(0, U)]).view(np.int64)
             of = lambda s: pa.array((s[upto] - s[upto - sizes]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), of(one), of(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n_shingles", "print1", "print2", "prints"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), of(one), of(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(spare, pa.list_(pa.int64()))], ["id", "n_shingles", "print1", "print2", "prints", "spare"])
 
     return profile
 
@@ -301,24 +315,38 @@ def _profiles(docs: DataFrame, p: JaccardParams) -> DataFrame:
     return cut(docs.select("id", "text").mapInArrow(_profiler(p), PROFILE))
 
 
-def _candidates(profiles: DataFrame) -> DataFrame:
-    """(node, group) of the representatives that share a fingerprint with another, group by group."""
+def _candidates(profiles: DataFrame, p: JaccardParams) -> DataFrame:
+    """(node, root) of the representatives that share a fingerprint with another, group by group."""
     sets = profiles.where("id is not null and n_shingles > 0")
     reps = sets.groupBy("print1", "print2", "n_shingles").agg(F.min_by("prints", "id").alias("prints"), F.min("id").alias("id"))
     published = reps.select("id", F.explode("prints").alias("print"))
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # With the conditions that the join below infers stated here, both uses of this exchange are the same and share it.
     published = published.where("id is not null and print is not null").repartition(n, "print")
-    hubs = published.groupBy("print").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").drop("far")
-    ties = published.join(hubs.hint("shuffle_hash"), "print").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    return components(ties)
+    hubs = published.groupBy("print").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count(F.lit(1)).alias("n")).where("hub < far").drop("far")
+    ties = published.join(hubs.hint("merge"), "print").where((F.col("id") != F.col("hub")) | (F.col("n") > p.hot_sets))  # both sides spill
+    ties = cut(ties.select("id", "hub", (F.col("n") > p.hot_sets).alias("hot"), F.col("print").bitwiseAND(7).alias("k")))
+    return components(_needed(ties, sets).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+
+
+def _needed(ties: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ties without those by hot fingerprints that their set can do without."""
+    hot = ties.where("hot").groupBy(F.col("id").alias("i"), F.col("k").alias("c")).agg(F.count(F.lit(1)).alias("n_hot"))
+    if hot.isEmpty():
+        return ties
+    # An id with several texts stands for several sets: it keeps all its ties.
+    spare = sets.groupBy("id").agg(F.min(F.struct("print1", "print2")).alias("lo"), F.max(F.struct("print1", "print2")).alias("hi"), F.first("spare").alias("spare")).where("lo = hi")
+    spare = spare.join(hot.select(F.col("i").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("spare").alias("s"))
+    free = hot.join(spare, (F.col("i") == F.col("id")) & (F.col("c") == F.col("s").bitwiseAND(7))).where(F.col("n_hot") < F.shiftright("s", 3)).select("i", "c")
+    free = cut(free)
+    return ties.where("not hot").union(ties.where("hot").join(free, (F.col("id") == F.col("i")) & (F.col("k") == F.col("c")), "left_anti"))
 
 
 def _blocks(members: DataFrame, by: list[str], p: JaccardParams) -> DataFrame:
     """members (node, root, step, n_shingles) with block: a group, or a size step of it, in parts of bounded size."""
     size = F.greatest(F.count(F.lit(1)) / F.lit(p.block_rows), F.sum("n_shingles") / F.lit(p.block_elements))
     parts = members.groupBy(*by).agg(F.ceil(size).alias("parts"))
-    placed = members.join(parts, by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = members.join(hinted(parts, p.broadcast_rows), by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     step = F.col("step") if "step" in by else F.lit(-1)
     return placed.select("node", "root", "step", "n_shingles", F.struct("root", step.alias("step"), "part").alias("block"))
 
@@ -340,8 +368,9 @@ def _with_class(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
 def links(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
     """Links (a, b) between representatives that connect all that link."""
     sizes = profiles.where("id is not null and n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / p.t)).cast("int").alias("step")
-    groups = _candidates(profiles)
+    # A little wider than the ratio of sizes that link: they are of one step or of neighbouring ones.
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(1 / min(p.t, 0.999)))).cast("int").alias("step")
+    groups = _candidates(profiles, p)
     members = groups.join(sizes, groups["node"] == sizes["id"]).select("node", "root", "n_shingles", step)
     members = cut(_blocks(members, ["root", "step"], p))
     side = hinted(members.select("node", "block"), p.broadcast_rows)
@@ -352,15 +381,17 @@ def links(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
     # One set of each class against those of the group's other classes.
     classed = cut(_with_class(members, "node", found))
     many = classed.groupBy("root").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 < c2").select("root")
-    heads = _blocks(classed.where(F.col("node") == F.col("class")).join(many, "root").select("node", "root", "step", "n_shingles"), ["root"], p)
+    heads = _blocks(classed.where(F.col("node") == F.col("class")).join(hinted(many, p.broadcast_rows), "root").select("node", "root", "step", "n_shingles"), ["root"], p)
     heads = hinted(heads.select("node", F.col("block").alias("head_block")), p.broadcast_rows)
     found = found.union(_join_within(sets.join(heads, sets["id"] == heads["node"]).select("id", F.col("head_block").alias("block"), "shingles"), p))
 
     # Pairs of blocks that can still link: of one group, of near sizes, not both of one and the same class.
     classed = cut(_with_class(members, "node", found))
     blocks = classed.groupBy("block").agg(*[f(c).alias(n) for f, c, n in ((F.min, "class", "least"), (F.max, "class", "most"), (F.min, "n_shingles", "small"), (F.max, "n_shingles", "large"))])
-    x, y = (blocks.select(*[F.col(c).alias(f"{c}{i}") for c in blocks.columns], F.col("block.root").alias(f"root{i}")) for i in (1, 2))
-    pairs = x.join(y, (F.col("root1") == F.col("root2")) & (F.col("block1") < F.col("block2")))
+    blocks = cut(blocks)
+    x, y = (blocks.select(*[F.col(c).alias(f"{c}{i}") for c in blocks.columns], F.col("block.root").alias(f"root{i}"), F.col("block.step").alias(f"step{i}")) for i in (1, 2))
+    y = y.withColumn("near", F.explode(F.array("step2", F.col("step2") - 1)))
+    pairs = x.join(y, (F.col("root1") == F.col("root2")) & (F.col("step1") == F.col("near")) & (F.col("block1") < F.col("block2")))
     pairs = pairs.where(100 * F.col("large1") >= p.percent * F.col("small2")).where(100 * F.col("large2") >= p.percent * F.col("small1"))
     pairs = cut(pairs.where("not (least1 = most1 and least2 = most2 and least1 = least2)").select("block1", "block2"))
     if pairs.isEmpty():

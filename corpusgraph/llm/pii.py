@@ -5,15 +5,16 @@ The base finds e-mail addresses, IP addresses, card numbers and phone numbers by
 disguises hide: a chain of transducers rewrites the text (homoglyphs and full-width or other decimal digits to ASCII,
 invisible characters to nothing, "(at)", "[dot]" and their like to @ and full stops, runs of spelled digits to digits, four
 groups of them with dot words between to an address, "plus" before a telephone number to +, and the words for @ and
-full stop around what is an address as a whole, each spelled or not), and every rewriting keeps where each piece came from. The same patterns run over the result; a hit counts if its source
-span is no base span's and touches none. Base spans always stay.
+full stop around what is an address as a whole, each spelled or not), and every rewriting keeps where each piece came from. The same patterns run over the result; a hit counts unless its source
+span lies in a base span. One that goes beyond a base span (of which a disguised letter hid the rest, say) stands beside
+it, and masking covers the union. Base spans always stay.
 
 All offsets are code points of the source text, the end exclusive. Scans take time in proportion to the text: no
 pattern starts anew inside a run that it has seen.
 
 Edge cases. A null or empty text has no spans; the digest of no spans is that of the empty string. Whole texts are
 scanned, however long. Repeated rows, ties and null ids are rows like others; an empty table gives an empty result.
-Columns other than id and text are not read.
+Columns other than id and text are not read. Ids are whole numbers, or texts of such; others are an error.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def identifiers(text: str) -> list[Span]:
     out = list(emails(text)) if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
@@ -225,7 +226,8 @@ def likely(labels: list[str], stops: list[re.Match], plain: bool, local: str) ->
     if len(last) < 2 or not last.isalpha() or "" in labels or any(x[0] == "-" or x[-1] == "-" for x in labels):
         return False
     spelled = stops[-1][0] != "."
-    if spelled and last in FUNCTION_WORDS and (plain or last not in ENDINGS):
+    whole = any(x[0] == "." for x in stops[:-1])  # what comes before is an address by itself
+    if spelled and last in FUNCTION_WORDS and (plain or whole or last not in ENDINGS):
         return False
     if plain:
         return last in ENDINGS and local not in PLACED and labels[0] != "www" and FUNCTION_WORDS.isdisjoint(labels[:-1])
@@ -281,19 +283,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text."""
     base = identifiers(text)
     mapped = normalise(text)
-    more: list[Span] = []
+    more: set[Span] = set()
     if mapped:
-        starts = sorted((s, e) for s, _, e in base)
-        reach, far = [], 0
-        for _, e in starts:
+        outer = sorted((s, e) for s, _, e in base)
+        starts, reach, far = [s for s, _ in outer], [], 0
+        for _, e in outer:
             far = max(far, e)
             reach.append(far)
         for s, kind, e in identifiers(mapped.text):
             a, b = mapped.source(s, e)
-            i = bisect.bisect_left(starts, (b, 0)) - 1
-            if i < 0 or reach[i] <= a:
-                more.append((a, kind, b))
-    return base, sorted(base + more)
+            i = bisect.bisect_right(starts, a) - 1
+            if i < 0 or reach[i] < b:
+                more.add((a, kind, b))
+    return base, sorted([*base, *more])
 
 
 def shown(spans: list[Span]) -> str:
@@ -324,12 +326,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def masked(text: str | None) -> str | None:
-    """The text with every span replaced by its kind in brackets; overlapping spans go as one."""
+    """The text with every span replaced by its kind in brackets; spans that overlap go as one, of the longest one's kind."""
     if not text:
         return text
     out, done = [], 0
-    for a, k, b in find(text)[1]:
-        if a >= done:
-            out += [text[done:a], f"[{KINDS[k]}]"]
-        done = max(done, b)
+    group: list[Span] = []
+
+    def close() -> None:
+        nonlocal done
+        if group:
+            a, b = group[0][0], max(e for _, _, e in group)
+            kind = max(group, key=lambda x: (x[2] - x[0], -x[1]))[1]
+            out.extend([text[done:a], f"[{KINDS[kind]}]"])
+            done = b
+            group.clear()
+
+    for span in find(text)[1]:
+        if group and span[0] >= max(e for _, _, e in group):
+            close()
+        group.append(span)
+    close()
     return "".join([*out, text[done:]])

@@ -3,18 +3,19 @@
 Folding lower-cases, maps letters of other scripts that look like ASCII letters, and reads digits and signs inside
 words as the letters they stand for. The lexicon holds words and beginnings of words, each with a weight: the log of
 how much more often it occurs in documents labelled toxic than in others, kept where that is no accident (likelihood
-ratio). A word counts with its longest entry. Exception phrases are neighbouring words of which one is in the lexicon,
-that clean documents use and toxic ones hardly do, besides a few given ones; inside them nothing counts. The sum of
-weights over the length of the text goes through a logistic curve fitted to the same labels.
+ratio). Some words are in it from the start, with a weight that labels raise or lower as if `prior_rows` toxic documents
+had been seen before. A word counts with its longest entry. Exception phrases are neighbouring words of which one is in
+the lexicon, that clean documents use and toxic ones hardly do, besides a few given ones; inside them nothing counts. The
+sum of weights over the length of the text goes through a logistic curve fitted to the same labels.
 
-Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from, and at most `train_rows` of them (those with the
-smallest hash; a documented bound). Labels, lang, source and doc_id are no inputs of a score. Scoring reads every text
-where it lies, without a shuffle; the lexicon is bounded by `most_entries`.
+Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from, and about `train_rows` of them at most (those with
+the smallest hashes; a documented bound, which also bounds the words that the driver sees). Labels, lang, source and doc_id
+are no inputs of a score. Scoring reads every text where it lies, without a shuffle.
 
 Edge cases. A null or empty text has no words and scores as a text without hits. A null id is not held out and never
-learned from. Without labels the lexicon is empty and all scores are equal and below the limit. Rows with equal ids
-each get their row; ids labelled more than once count toxic if any label says so. An empty table gives an empty result.
-Other columns are never read.
+learned from. Without labels of both kinds the lexicon is the given words and the curve keeps its starting values, by
+which a text without hits is clean. Rows with equal ids each get their row; ids labelled more than once count toxic if
+any label says so. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ from corpusgraph.llm.pii import LOOKALIKES
 class ToxicParams:
     train_rows: int = 100_000
     prefixes: tuple = (4, 5, 6)
-    sureness: float = 4.0
-    least_weight: float = 2.5
-    most_entries: int = 20_000
+    sureness: float = -5.0
+    least_weight: float = 1.5
+    prior_rows: float = 3.0
+    prior_weight: float = 5.0
     pad_words: int = 20
     limit: float = 0.7
     broadcast_rows: int = 200_000
@@ -50,6 +52,12 @@ class ToxicParams:
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 # Phrases in which a word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "pathetic fallacy", "scum line")
+# Words that are in the lexicon before any label is seen.
+GIVEN = (
+    "idiot idiots idiotic moron morons moronic imbecile cretin scum scumbag loser losers stupid dumb dumbass trash garbage worthless pathetic disgusting clown retard retarded bastard bitch asshole "
+    "fool fools vermin filth filthy degenerate subhuman braindead jackass dipshit shithead fuck fucking fucker shit bullshit "
+    "idiota imbécil estúpido estúpida basura escoria crétin débile ordure connard connasse salope dummkopf vollidiot trottel abschaum arschloch"
+).split()
 _GLYPHS = {ord(a): b.lower() for a, b in zip(LOOKALIKES[::2], LOOKALIKES[1::2], strict=True) if b.isalpha()}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _GLYPHS) + "]")
 _MIXED = re.compile(r"[^\W\d_]*[0-9@$!][^\W_@$!]*(?:[@$!]?[^\W_]+)*")
@@ -87,7 +95,10 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> DataFrame:
     """(text, toxic) of the labelled rows that may be learned from."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
-    known = cut(known.orderBy(F.xxhash64("labelled"), "labelled").limit(p.train_rows))
+    known = cut(known)
+    n = known.count()
+    if n > p.train_rows:  # about so many: a share of the hashes, not a sort of all rows
+        known = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 32)) < F.lit((p.train_rows << 32) // n))
     return docs.join(hinted(known, p.broadcast_rows), docs["id"] == known["labelled"]).select("text", "toxic")
 
 
@@ -173,23 +184,28 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> Lexicon:
     """A lexicon from (id, text) and (doc_id, toxic)."""
     rows = cut(training_rows(docs, labels, p))
     counted = rows.mapInArrow(_count_entries(p.prefixes), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counted = cut(counted.where("entry = '' or bad >= 3"))
+    given = {e: p.prior_weight for w in GIVEN for e in entries_of(" ".join(folded(w)), ())}
+    counted = cut(counted.where((F.col("entry") == "") | (F.col("bad") >= 3) | F.col("entry").isin(*given)))
     total = counted.where("entry = ''").first()
     n_bad, n_good = (total["bad"], total["good"]) if total else (0, 0)
-    out = Lexicon({}, list(EXCEPTIONS), pad=p.pad_words)
+    out = Lexicon(dict(given), list(EXCEPTIONS), pad=p.pad_words)
     if not n_bad or not n_good:
         return out
     rate = lambda k, n: (k + 0.5) / (n + 1)
-    likely = counted.where(F.col("entry") != "").where((F.col("bad") + 0.5) / (n_bad + 1) > math.exp(p.least_weight) * (F.col("good") + 0.5) / (n_good + 1))
-    likely = likely.orderBy(F.desc("bad"), "entry").limit(4 * p.most_entries).collect()
-    good = [(likelihood_ratio(x["bad"], x["good"], n_bad, n_good), x) for x in likely]
-    # Chance alone gives one of m entries a ratio of about 2 ln m.
+    likely = counted.where("entry <> '' and bad >= 3").where((F.col("bad") + 0.5) / (n_bad + 1) > math.exp(p.least_weight) * (F.col("good") + 0.5) / (n_good + 1)).collect()
+    # Chance alone gives one of m entries a ratio of about 2 ln m; a little less is asked for, as the curve weighs as well.
     least = 2 * math.log(max(2, counted.count())) + p.sureness
-    good = sorted((x for x in good if x[0] >= least), key=lambda x: (-x[0], x[1]["entry"]))[: p.most_entries]
-    out.weights = {x["entry"]: math.log(rate(x["bad"], n_bad) / rate(x["good"], n_good)) for _, x in good}
+    out.weights |= {x["entry"]: math.log(rate(x["bad"], n_bad) / rate(x["good"], n_good)) for x in likely if likelihood_ratio(x["bad"], x["good"], n_bad, n_good) >= least}
+    # A given word: the prior's documents are added to those seen, so its weight is the prior's where there are none.
+    clean = p.prior_rows * (n_good + 1) / (n_bad + 1) * math.exp(-p.prior_weight)
+    seen = {x["entry"]: (x["bad"], x["good"]) for x in counted.where(F.col("entry").isin(*given)).collect()}
+    for e in given:
+        bad, good = seen.get(e, (0, 0))
+        out.weights[e] = math.log((bad + p.prior_rows) / (n_bad + 1) / ((good + clean) / (n_good + 1)))
+    out.weights = {e: w for e, w in out.weights.items() if w > 0}
     pairs = rows.mapInArrow(_pairs(frozenset(out.weights), p.prefixes), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    clean = pairs.where("good >= 3").where((F.col("good") + 0.5) / (n_good + 1) > 3 * (F.col("bad") + 0.5) / (n_bad + 1)).orderBy(F.desc("good"), "entry").limit(p.most_entries)
-    out.exceptions += [x["entry"] for x in clean.collect()]
+    harmless = pairs.where("good >= 3").where((F.col("good") + 0.5) / (n_good + 1) > 3 * (F.col("bad") + 0.5) / (n_bad + 1))
+    out.exceptions += sorted(x["entry"] for x in harmless.collect())
     _calibrate(out, rows)
     return out
 
@@ -200,7 +216,7 @@ def _calibrate(lexicon: Lexicon, rows: DataFrame) -> None:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()
         for batch in portions(batches, "text"):
-            x = [min(10_000, round(100 * lexicon.density(t.as_py(), found))) for t in batch.column("text")]
+            x = [round(100 * lexicon.density(t.as_py(), found)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), batch.column("toxic").cast(pa.int64())], ["x", "y"])
 
     counts = [(r["x"] / 100, min(1, r["y"]), r["n"]) for r in rows.mapInArrow(measure, "x long, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "y").collect()]
