@@ -4,20 +4,25 @@ A page is parsed into a tree (tolerant of missing and stray end tags). Scripts,
 footers of the page, asides, forms and hidden elements are no content. Class, id and role remove nothing by themselves:
 where they say advert, sidebar, comment, notice and the like, they lower the density of the element and all in it, the
 more the larger the share of such words in the name, and the density decides. An element with an article or main element
-in it, or with most of the page's unlinked characters, is not lowered. Every node gets its composite density: characters per tag, corrected by the share of linked
-characters and tags. The node whose children's densities add up to most holds the text. The smallest density on the
-path from it to the body is the threshold: sections of it that are thinner and mostly links are left out. If the node
-lies in an article or main element, that element is taken whole. Else the text goes on in all subtrees beside the path
-that are dense too, each by its own such node: those of at least half the threshold or, where that is less, half the
-density that the node's children have (a mean weighted by itself; the densities of small subtrees are below those of
-large ones of the same kind). An element with a lowered density below that is left out of what is kept. Headings before what is kept are kept, an h1 anywhere before it, others right before it.
+in it or, on a page without those, with most of the page's unlinked characters is not lowered.
+
+Every node gets its composite density: characters per tag, corrected by the share of linked characters and tags.
+Elements within a line (b, em, span, br and all that are neither blocks nor links) are no tags of their own: what is in
+them counts as standing where they stand. The block whose children's densities add up to most holds the text. The
+smallest density on the path from it to the body is the threshold. The text goes on in all subtrees beside the path that
+are dense too, each by its own such block: those of at least half the threshold or, where that is less, half the density
+that the block's children have (a mean weighted by itself; the densities of small subtrees are below those of large ones
+of the same kind). Of what is kept, lists of `MENU_LINKS` links or more that are thinner than the threshold and hardly
+anything but links are left out, and so is an element with a lowered density below half the threshold. Headings before
+what is kept are kept, an h1 anywhere before it, others right before it.
 
 The text is the node's blocks in page order, one a line: character references decoded, white space inside a block
 (also a br) one space, trimmed; nothing else is dropped or cut.
 
 Edge cases. A null or empty page, or one without content, has an empty text. Markup without an end (comment, tag,
 script) runs to the end of the page. Depth is bounded by the page only: nothing here recurses. Repeated rows, ties and
-null ids are rows like others; an empty table gives an empty result. Columns other than the id, URL and HTML are not read.
+null ids are rows like others; an empty table gives an empty result. Columns other than the id, URL and HTML are not read. Ids are
+whole numbers, or texts of such; others are an error.
 """
 
 from __future__ import annotations
@@ -46,25 +51,27 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 # Words of class, id and role that mark what is no content.
 NO_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar side aside rail widget widgets related recommended recommendations more trending popular share sharing social follow "
-    "comment comments commentlist discussion disqus replies reply respond feedback "
+    "sidebar aside rail widget widgets related recommended recommendations share sharing social "
+    "comment comments commentlist disqus replies reply "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc masthead topbar footer footnav copyright complementary contentinfo search toolbar skip".split()
 )
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+MENU_LINKS = 4
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "content", "density", "factor", "heading", "kids", "link_chars", "link_tags", "mains", "name", "own", "parts", "tags", "up")
+    __slots__ = ("chars", "content", "density", "factor", "heading", "kids", "link_chars", "link_tags", "mains", "name", "own", "parts", "tag", "tags", "up")
 
     def __init__(self, name: str, up: Node | None, content: bool):
         self.name, self.up, self.content = name, up, content
         self.parts: list[str | Node] = []
         self.factor = 1.0
+        self.tag = name in BLOCK or name == "a"
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -100,26 +107,27 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             at = lt + 1
 
 
-def unwanted(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in NEVER or (name == "header" and not inside_main):
-        return True
-    for m in _ATTR.finditer(attributes) if attributes else ():
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of each; quoted values are whole, whatever is in them."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text) if text else ():
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def unwanted(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    return hidden or name in NEVER or (name == "header" and not inside_main)
 
 
-def by_name(name: str, attributes: str) -> float:
-    """What class, id and role leave of an element's density: 1 less the share of words that mark what is no content, of
-    the attribute where it is largest, and a tenth at least."""
-    least = 1.0
-    if name not in ("html", "body", "article", "main", "p", "h1"):
-        for m in _ATTR.finditer(attributes) if attributes else ():
-            if m[1].lower() in ("class", "id", "role"):
-                words = _NAME.findall(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower())
-                least = min(least, 1 - sum(w in NO_CONTENT for w in words) / max(1, len(words)))
-    return max(least, 0.1)
+def by_name(name: str, attributes: dict[str, str]) -> float:
+    """What class, id and role leave of an element's density: 1 less the largest share of words that mark what is no content
+    in one of their names, and a fiftieth at least."""
+    names = [n for key in ("class", "id", "role") for n in attributes.get(key, "").split()]
+    if not names or name in ("html", "body", "article", "main", "h1"):
+        return 1.0
+    words = [_NAME.findall(_CAMEL.sub("-", n).lower()) for n in names]
+    return max(0.02, 1 - max(sum(w in NO_CONTENT for w in ws) / max(1, len(ws)) for ws in words))
 
 
 def parse(page: str) -> Node:
@@ -158,8 +166,9 @@ def parse(page: str) -> Node:
                     x = x.up or root
                 if found:
                     close_to(found.up or root)
-            node = Node(name, here, here.content and not unwanted(name, attributes, mains > 0))
-            node.factor = by_name(name, attributes)
+            named = attributes_of(attributes)
+            node = Node(name, here, here.content and not unwanted(name, named, mains > 0))
+            node.factor = by_name(name, named)
             here.parts.append(node)
             if name not in VOID and not attributes.endswith("/"):
                 here = node
@@ -190,7 +199,7 @@ def measure(nodes: list[Node]) -> None:
         own = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
         x.own = own
         x.chars = own + sum(k.chars for k in x.kids)
-        x.tags = sum(k.tags + 1 for k in x.kids)
+        x.tags = sum(k.tags + k.tag for k in x.kids)
         linked = x.name == "a"
         x.link_chars = x.chars if linked else sum(k.link_chars for k in x.kids)
         x.mains = x.name in MAIN or any(k.mains for k in x.kids)
@@ -201,7 +210,7 @@ def measure(nodes: list[Node]) -> None:
     most = (body.chars - body.link_chars) / 2
     for x in nodes:
         plain = x.chars - x.link_chars
-        if x.mains or plain > most:
+        if x.mains or (not body.mains and plain > most):
             x.factor = 1.0
         if x.up:
             x.factor *= x.up.factor
@@ -213,10 +222,12 @@ def measure(nodes: list[Node]) -> None:
 
 def choose(nodes: list[Node]) -> tuple[list[Node], float, float]:
     """The nodes that hold the text, in page order; the threshold; and the density from which a subtree is text."""
-    total = {x: sum(k.density for k in x.kids) for x in nodes}
-    most: dict[Node, Node] = {}  # of every subtree, the node with the largest sum
+    total: dict[Node, float] = {}
+    most: dict[Node, Node] = {}  # of every subtree, the block with the largest sum
     for x in reversed(nodes):
-        most[x] = max([x, *(most[k] for k in x.kids)], key=total.__getitem__)
+        total[x] = sum(k.density if k.tag else total[k] for k in x.kids)
+        below = [most[k] for k in x.kids]
+        most[x] = max([x, *below] if x.name in BLOCK or not below else below, key=total.__getitem__)
     best = most[nodes[0]]
     path = []
     x: Node | None = best
@@ -226,8 +237,6 @@ def choose(nodes: list[Node]) -> tuple[list[Node], float, float]:
     threshold = min(p.density for p in path)
     usual = sum(k.density * k.density for k in best.kids) / total[best] if total[best] else 0.0
     limit = min(threshold, usual) / 2
-    if main := next((p for p in path if p.name in MAIN), None):
-        return [main], threshold, limit
     tops, above, todo = set(), set(), [nodes[0]]
     while todo:
         x = todo.pop()
@@ -289,7 +298,7 @@ def blocks(top: Node, threshold: float, limit: float) -> list[str]:
             continue
         elif x is not top and x.up and x.factor < x.up.factor and x.density < limit:
             continue
-        elif x is not top and x.name in ("ul", "ol", "div", "section", "table") and x.density < threshold and x.link_tags > 1 and 10 * x.link_chars >= 9 * x.chars:
+        elif x is not top and x.name in ("ul", "ol", "div", "section", "table") and x.density < threshold and x.link_tags >= MENU_LINKS and 10 * x.link_chars >= 9 * x.chars:
             continue
         elif x.name in ("br", "wbr", "img"):
             line.append(" " if x.name == "br" else "")

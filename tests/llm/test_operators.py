@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures with nulls, ties, repeats and clashing columns."""
 
+import math
 import os
 import random
 import re
@@ -521,6 +522,72 @@ def test_html_names_do_not_decide():
         assert html_extract.main_text(f"<div><div>{paras(0, 5)}</div><div class={name}>{paras(5, 8)}</div>{thin}</div>").split("\n") == said
 
 
+def test_html_attributes_and_lists():
+    """Words inside attribute values, compound class names and short link lists lose no text; whole names of adverts do."""
+    said = [f"{i} {'some words of prose ' * 5}".strip() for i in range(6)]
+    paras = "".join(f"<p title='the hidden truth' data-x=\"class=ad\">{x}</p>" for x in said)
+    assert html_extract.main_text(f"<body><article>{paras}</article>").split("\n") == said
+    assert html_extract.main_text(f"<body><div id='content-side-by-side'>{paras}</div>").split("\n") == said
+    assert html_extract.main_text(f"<article>{paras}<div class='more'><p>{said[0]}</p></div></article>").split("\n") == [*said, said[0]]
+    assert html_extract.main_text(f"<article>{paras}<p class='ad'>Buy now</p></article>").split("\n") == said
+    two = "<ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul>"
+    assert html_extract.main_text(f"<article>{paras}{two}</article>").split("\n") == [*said, "First source", "Second source"]
+    assert html_extract.attributes_of("a class='x y' hidden class=z id=\"q r\"") == {"a": "", "class": "x y", "hidden": "", "id": "q r"}
+
+
+def test_html_brute_force():
+    """Densities, sums and the chosen block of random trees, by plain recursion over what the page was made of."""
+    rng = random.Random(13)
+
+    def grow(depth):
+        name = rng.choice(["div", "div", "section", "p", "ul", "b", "a", "span", "article"])
+        if name == "p" or not depth:
+            return name, ["".join(rng.choice("abc ") for _ in range(rng.randrange(80)))]
+        return name, [grow(depth - 1) if rng.random() < 0.8 else "some text" for _ in range(rng.randrange(4))]
+
+    def page(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(page, t[1]))}</{t[0]}>"
+
+    def chars(t, linked=False):
+        if isinstance(t, str):
+            return 0 if linked else len("".join(t.split()))
+        return chars((0, t[1])) if linked and t[0] == "a" else sum(chars(k, linked) for k in t[1])
+
+    def tags(t, linked=False, inside=False):
+        own = sum(not isinstance(k, str) and (k[0] == "a" if linked else k[0] not in ("b", "span")) for k in t[1]) if not inside else 0
+        if linked and t[0] == "a":
+            return tags(t)
+        return own + sum(tags(k, linked) for k in t[1] if not isinstance(k, str))
+
+    def has_main(t):
+        return not isinstance(t, str) and (t[0] == "article" or any(map(has_main, t[1])))
+
+    for _ in range(300):
+        tree = ("body", [grow(4) for _ in range(3)])
+        nodes = html_extract.in_order(html_extract.parse(page(tree)))
+        html_extract.measure(nodes)
+        flat, stack = [], [tree]
+        while stack:
+            t = stack.pop()
+            flat.append(t)
+            stack.extend(reversed([k for k in t[1] if not isinstance(k, str)]))
+        if [x.name for x in nodes] != [t[0] for t in flat]:
+            continue  # blocks inside p or li: the page's tree is another
+        share = chars(tree, True) / max(1, chars(tree))
+        density = {}
+        for x, t in zip(nodes, flat, strict=True):
+            c, lc, g, lg = chars(t), chars(t, True), tags(t), tags(t, True)
+            ratio = max(c, 1) / max(1, lc) * max(1, g) / max(1, lg)
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            density[x] = c / max(1, g) * math.log(ratio) / math.log(max(base, math.e)) if ratio > 1 else 0.0
+            assert (x.chars, x.link_chars, x.tags, x.mains) == (c, lc, g, has_main(t)) and abs(x.density - density[x]) < 1e-9
+        total = lambda x: sum(density[k] if k.tag else total(k) for k in x.kids)  # noqa: E731, B023
+        best = max(total(x) for x in nodes if x.name in html_extract.BLOCK or x is nodes[0])
+        tops, _, _ = html_extract.choose(nodes)
+        inside = {x for top in tops for x in html_extract.in_order(top)}
+        assert best == 0 or any(abs(total(x) - best) < 1e-9 for x in inside)
+
+
 def test_toxicity(spark):
     assert toxicity.folded("1d10t stup!d! tr@sh 100 mоron") == ["idiot", "stupid", "trash", "100", "moron"]
     rng = random.Random(7)
