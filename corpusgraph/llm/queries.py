@@ -11,7 +11,8 @@ from corpusgraph.llm.common import read_table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(url_filters.page_captures(read_table(spark, sf_dir, "pages")), url_filters.sample_list(spark))
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.page_captures(pages), url_filters.page_list(pages))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ or `token` (a run of letters and digits in the URL). A capture is blocked if its
 
 Captures are first reduced to distinct (url, fetched) pairs, so thousands of captures of one URL cost one. A URL's
 keys are its domains, tokens and prefixes (only depths that the list has), and the join is on keys. The list is
-broadcast if it has at most `broadcast_rows` intervals; a longer one is joined by shuffle, where keys of popular
-hosts are split by adaptive execution.
+broadcast if it has at most `broadcast_rows` intervals. Of a longer one only the part is broadcast whose keys are hot,
+each in more than one of `hot_share` of all keys of the captures (so there are fewer than that many); the other keys are
+joined by shuffle, to which `https` and `www` no longer come.
 
 Edge cases. A null URL, an empty one, or one without `//host` has no host; tokens still count, and without a match it
 is not blocked. A null time matches no entry. Letters A-Z are lower-cased; user, port and fragment are left out of the
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import cut, hinted
+from corpusgraph.llm.common import cut, hinted, within
 
 KINDS = ("token", "domain", "host", "prefix")
 LIST_SCHEMA = "entry_id long, kind string, pattern string, verdict string, dated date, removed boolean"
@@ -53,6 +54,7 @@ SAMPLE_LIST = (
 @dataclass(frozen=True)
 class UrlParams:
     broadcast_rows: int = 200_000
+    hot_share: int = 20_000
 
 
 def sample_list(spark: SparkSession) -> DataFrame:
@@ -93,6 +95,17 @@ def keys_of(url: Column, depth: int) -> Column:
     return F.array_distinct(F.concat(of_host, tokens))
 
 
+def _matches(keyed: DataFrame, spans: DataFrame, p: UrlParams) -> DataFrame:
+    """The rows of keyed (key, ...) with each interval of their key."""
+    if within(spans, p.broadcast_rows):
+        return keyed.join(F.broadcast(spans), "key")
+    least = keyed.count() // p.hot_share
+    hot = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("key"))
+    hot_spans = cut(spans.join(F.broadcast(hot), "key", "left_semi"))
+    rest = keyed.join(F.broadcast(hot), "key", "left_anti").join(spans, "key")
+    return rest.unionByName(keyed.join(hinted(hot_spans, p.broadcast_rows), "key"))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", p: UrlParams | None = None) -> DataFrame:
     """The captures with host, n_active (entries in force that match), decided_by (entry_id or null) and blocked.
 
@@ -101,7 +114,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     spans = cut(intervals(entries))
     depth = spans.where("rank = 4").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 1
     pairs = captures.select(F.col(url).alias("u"), F.col(fetched).cast("timestamp").alias("at")).where("u is not null and at is not null").distinct()
-    found = pairs.withColumn("key", F.explode(keys_of(F.col("u"), depth))).join(hinted(spans, p.broadcast_rows), "key")
+    found = _matches(pairs.withColumn("key", F.explode(keys_of(F.col("u"), depth))), spans, p)
     found = found.where("starts <= at and (ends is null or at < ends)")
     best = F.max(F.struct("rank", "len", "allow", (-F.col("entry_id")).alias("minus_id")))
     verdict = found.groupBy("u", "at").agg(F.count("*").alias("n"), best.alias("best"))
@@ -112,6 +125,18 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     return out.select("row.*", host_of(F.col("cu")).alias("host"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"), F.col("id").alias("decided_by"), F.coalesce("no", F.lit(False)).alias("blocked"))
 
 
+def page_list(pages: DataFrame) -> DataFrame:
+    """The sample list and entries for the hosts of the pages themselves, so that the list grows with the table: from the
+    digest of a host it follows whether and when it is blocked, whether that ends, and whether it is allowed again."""
+    hosts = pages.select(host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
+    h = hosts.withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 12), 16, 10).cast("long"))
+    start = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.shiftright("h", 8), F.lit(200)).cast("int"))
+    entry = lambda i, kind, verdict, days, removed: F.struct((F.col("h") + 1000 + i).alias("entry_id"), F.lit(kind).alias("kind"), F.col("pattern"), F.lit(verdict).alias("verdict"), F.date_add(start, days).alias("dated"), F.lit(removed).alias("removed"))
+    steps = F.array(F.when(F.col("h") % 2 == 0, entry(0, "host", "block", 0, False)), F.when(F.col("h") % 4 == 0, entry(1, "host", "block", 60, True)), F.when(F.col("h") % 3 == 0, entry(2, "domain", "allow", 90, False)))
+    made = h.select(F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("e")).select("e.*")
+    return sample_list(pages.sparkSession).unionByName(made)
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
     """`pages` has no fetch time: each page counts as fetched on a day of 2024 that follows from its id."""
     day = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)) * 7, F.lit(366)).cast("int")
@@ -121,7 +146,14 @@ def page_captures(pages: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     rows = ", ".join(f"({i}, '{k}', '{x}', '{v}', DATE '{d}', {str(r).lower()})" for i, k, x, v, d, r in SAMPLE_LIST)
     return rf"""
-WITH e(entry_id, kind, pattern, verdict, dated, removed) AS (VALUES {rows}),
+WITH given(entry_id, kind, pattern, verdict, dated, removed) AS (VALUES {rows}),
+ph AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 12))::BIGINT AS h FROM (
+  SELECT DISTINCT regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*[^/?#:@.])', 1) AS pattern FROM pages) WHERE pattern <> ''),
+pd AS (SELECT *, DATE '2024-01-01' + ((h >> 8) % 200)::INTEGER AS starts FROM ph),
+e AS (SELECT * FROM given
+  UNION ALL SELECT h + 1000, 'host', pattern, 'block', starts, false FROM pd WHERE h % 2 = 0
+  UNION ALL SELECT h + 1001, 'host', pattern, 'block', starts + 60, true FROM pd WHERE h % 4 = 0
+  UNION ALL SELECT h + 1002, 'domain', pattern, 'allow', starts + 90, false FROM pd WHERE h % 3 = 0),
 s AS (SELECT *, CASE kind WHEN 'token' THEN 1 WHEN 'domain' THEN 2 WHEN 'host' THEN 3 ELSE 4 END AS rank,
   lead(dated) OVER (PARTITION BY kind, pattern ORDER BY dated) AS ends FROM e),
 c AS (SELECT row_number() OVER () AS r, page_id, url, DATE '2024-01-01' + ((coalesce(page_id, 0) * 7) % 366)::INTEGER AS fetched, lower(coalesce(url, '')) AS low FROM pages),
