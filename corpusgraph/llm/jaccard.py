@@ -409,9 +409,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Jacc
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = _profiles(own, p)
     key = ["print1", "print2", "n_shingles"]
-    reps = profiles.where("id is not null and n_shingles > 0").groupBy(*key).agg(F.min("id").alias("rep"))
-    # Rows of one id are one document: their sets are tied as well.
-    same_id = profiles.where("id is not null and n_shingles > 0").join(reps, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    sets = profiles.where("id is not null and n_shingles > 0")
+    reps = sets.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("far")).where("rep < far").drop("far")
+    # Copies are tied to their representative, and with them the sets of one id, as each of them is some group's.
+    same_id = sets.join(hinted(reps, p.broadcast_rows), key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     root = components(links(own, profiles, p).union(same_id))
     out = profiles.join(root, profiles["id"] == root["node"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
