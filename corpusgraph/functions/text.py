@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Headings of a bibliography, and articles that a key drops.
-REFERENCE_HEADINGS = ("references", "bibliography", "literature cited", "works cited", "reference list")
+REFERENCE_HEADINGS = ("references", "bibliography", "literature cited", "works cited", "cited works")
 ARTICLES = "the|a|an"
 ARXIV_ID = r"\b(\d{4}\.\d{4,5}(?:v\d+)?)\b"
+SENTENCE_END = r"(?<=[.!?])\s+"
 DOI = r"(10\.\d{4,9}/[^\s,;]+)"
 
 
@@ -19,7 +20,8 @@ def strip(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """Key of an entity text: lower case, runs of white space, hyphens and underscores one space, one leading article off."""
     spaced = F.regexp_replace(F.lower(strip(text)), r"[\s\-_]+", " ")
-    return strip(F.regexp_replace(spaced, rf"^({ARTICLES}) ", ""))
+    whole = strip(F.regexp_replace(spaced, rf"^({ARTICLES}) ", ""))
+    return F.when(text.rlike(r"[\s\-_]"), whole).otherwise(F.lower(text))  # most are one word
 
 
 def words(text: Column) -> Column:
@@ -31,10 +33,6 @@ def token_subset(short: Column, long: Column) -> Column:
     return F.size(F.array_except(words(short), words(long))) == 0
 
 
-def touches(a: Column, b: Column) -> Column:
-    return F.arrays_overlap(words(a), words(b))
-
-
 def entity_id(text: Column, kind: Column) -> Column:
     return F.substring(F.md5(F.concat(kind, F.lit(":"), F.lower(strip(text)))), 1, 12)
 
@@ -62,7 +60,7 @@ def heading_level(line: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.length(strip(s)) > 0)
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.length(strip(s)) > 0)
 
 
 def token_count(text: Column) -> Column:
@@ -86,10 +84,6 @@ def token_budget(max_tokens: int, model_max: int = 1024, reserve: int = 8) -> in
     return max(1, min(max_tokens, model_max) - reserve)
 
 
-def heading_prefix_tokens(headings: Column) -> Column:
-    return F.when(F.size(headings) > 0, token_count(F.array_join(headings, "\n"))).otherwise(F.lit(0))
-
-
 def is_reference_heading(heading: Column) -> Column:
     return F.lower(strip(heading)).isin(*REFERENCE_HEADINGS)
 
@@ -153,9 +147,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.floor(F.lit(100.0) * part / F.greatest(whole, F.lit(1)) + 0.5).cast("long")
 
 
-def source_class(docs: Column, main: Column) -> Column:
+def source_class(n_docs: Column, first_doc: Column, main: Column) -> Column:
     """shared, main or reference, from the documents that hold a node or an edge."""
-    return F.when(F.size(docs) > 1, "shared").when(F.array_contains(docs, main), "main").otherwise("reference")
+    return F.when(n_docs > 1, "shared").when(first_doc == main, "main").otherwise("reference")
 
 
 def iso_time(ts: Column) -> Column:

@@ -56,16 +56,17 @@ def adaptive_keywords(candidates: DataFrame, n_words: DataFrame, by: list[str],
 def triples_from_parses(parsed: DataFrame) -> DataFrame:
     """Subject-verb-object rules over parsed tokens (doc_id, sent_ix, i, text, lemma, pos, dep, head, ent_type, chunk).
 
-    Sentences with a verbal root only. Verbs: the root and its xcomp, ccomp and conj verbs; a verb without a subject has the
-    root's. Object: dobj, else attr. From the subject to the object (label: lemma), from the subject to the object's
-    prepositional nouns but `of` (lemma and preposition) and to the verb's named ones; unnamed ones only where there is neither.
-    A pronoun as subject moves the anchor to the object, for named prepositional objects only.
+    Sentences with a verb as root only. Verbs: the root and its xcomp, ccomp and conj verbs; a verb without a subject has the
+    root's. Object: dobj, else attr. From the subject to the object that is no pronoun (label: lemma), from the subject to such
+    an object's prepositional nouns but `of` (lemma and preposition), and to the verb's named ones; the verb's unnamed ones only
+    where it has no object and no named one. A pronoun as subject moves the anchor to the object that is none, for named
+    prepositional objects only.
     """
     key = ["doc_id", "sent_ix"]
     side = lambda prefix: parsed.select(*key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("i", "text", "lemma", "pos", "dep", "head", "ent_type", "chunk")])
     phrase = lambda p: fn.without_determiner(F.coalesce(F.col(f"{p}_chunk"), F.col(f"{p}_text")))
-    root = side("r").where("r_dep = 'ROOT' and r_pos in ('VERB', 'AUX')")
-    verbs = root.join(side("v"), key).where("v_i = r_i or (v_head = r_i and v_dep in ('xcomp', 'ccomp', 'conj') and v_pos in ('VERB', 'AUX'))")
+    root = side("r").where("r_dep = 'ROOT' and r_pos = 'VERB'")
+    verbs = root.join(side("v"), key).where("v_i = r_i or (v_head = r_i and v_dep in ('xcomp', 'ccomp', 'conj') and v_pos = 'VERB')")
     first = lambda df, p: df.groupBy(*key, f"{p}_head").agg(F.min_by(F.struct(phrase(p).alias("text"), F.col(f"{p}_pos").alias("pos"), F.col(f"{p}_i").alias("i")), f"{p}_i").alias(p))
     subj = first(side("s").where("s_dep in ('nsubj', 'nsubjpass')"), "s")
     own = subj.select(*key, F.col("s_head").alias("v_i"), F.col("s").alias("own"))
@@ -73,16 +74,17 @@ def triples_from_parses(parsed: DataFrame) -> DataFrame:
     v = verbs.join(own, [*key, "v_i"], "left").join(up, [*key, "r_i"], "left").withColumn("subject", F.coalesce("own", "up")).where("subject is not null")
     objects = side("o").where("o_dep in ('dobj', 'attr')").groupBy(*key, F.col("o_head").alias("v_i")).agg(F.min_by(F.struct(phrase("o").alias("text"), F.col("o_pos").alias("pos"), F.col("o_i").alias("i")), F.struct(F.col("o_dep") != "dobj", "o_i")).alias("object"))
     v = v.join(objects, [*key, "v_i"], "left").select(*key, "v_i", "v_lemma", "subject", "object")
-    prep = side("p").where("p_dep = 'prep'").join(side("q").where("q_dep = 'pobj' and q_pos <> 'PRON'"), key).where("q_head = p_i")
-    prep = prep.select(*key, F.col("p_head").alias("below"), F.lower("p_text").alias("prep"), phrase("q").alias("target"), "q_i", ((F.col("q_pos") == "PROPN") | (F.coalesce("q_ent_type", F.lit("")) != "")).alias("named"))
-    of_verb = v.join(prep.withColumnRenamed("below", "v_i"), [*key, "v_i"])
+    prep = side("p").where("p_dep = 'prep'").join(side("q").where("q_dep = 'pobj'"), key).where("q_head = p_i")
+    prep = prep.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "p_i").orderBy("q_i"))).where("nth = 1")
+    prep = prep.select(*key, F.col("p_head").alias("below"), F.lower("p_text").alias("prep"), phrase("q").alias("target"), "q_i", (F.col("q_pos") == "PRON").alias("q_pronoun"), ((F.col("q_pos") == "PROPN") | (F.coalesce("q_ent_type", F.lit("")) != "")).alias("named"))
+    of_verb = v.join(prep.where("not q_pronoun").withColumnRenamed("below", "v_i"), [*key, "v_i"])
     of_object = v.where("object is not null").join(prep, key).where("below = object.i and prep <> 'of'")
     plain, pronoun = F.col("subject.pos") != "PRON", F.col("subject.pos") == "PRON"
     with_prep = F.concat_ws(" ", "v_lemma", "prep")
     any_named = of_verb.groupBy(*key, "v_i").agg(F.max("named").alias("any_named"))
     parts = [
-        v.where(plain & F.col("object").isNotNull()).select(*key, "v_i", F.lit(0).alias("at"), F.col("subject.text").alias("source"), F.col("v_lemma").alias("relation"), F.col("object.text").alias("target")),
-        of_object.where(plain).select(*key, "v_i", F.col("q_i").alias("at"), F.col("subject.text").alias("source"), with_prep.alias("relation"), "target"),
+        v.where(plain & F.col("object").isNotNull() & (F.col("object.pos") != "PRON")).select(*key, "v_i", F.lit(0).alias("at"), F.col("subject.text").alias("source"), F.col("v_lemma").alias("relation"), F.col("object.text").alias("target")),
+        of_object.where(plain & (F.col("object.pos") != "PRON")).select(*key, "v_i", F.col("q_i").alias("at"), F.col("subject.text").alias("source"), with_prep.alias("relation"), "target"),
         of_verb.join(any_named, [*key, "v_i"]).where(plain & (F.col("named") | (F.col("object").isNull() & ~F.col("any_named")))).select(*key, "v_i", F.col("q_i").alias("at"), F.col("subject.text").alias("source"), with_prep.alias("relation"), "target"),
         of_verb.where(pronoun & F.col("named") & F.col("object").isNotNull() & (F.col("object.pos") != "PRON")).select(*key, "v_i", F.col("q_i").alias("at"), F.col("object.text").alias("source"), with_prep.alias("relation"), "target"),
     ]
@@ -110,17 +112,17 @@ def lexicon_mentions(segments: DataFrame, labels: DataFrame, floor: float = 0.5)
     return out.where(F.col("score") >= floor)
 
 
+def adjacent_in_row(rows: DataFrame, words: str, kind: Column, score: Column) -> DataFrame:
+    """Relations between each word and the next of an array of words, made inside the row without a shuffle. rows: (doc_id,
+    doc_ord, segment_ix, words); kind and score may use text and next_text."""
+    pairs = F.transform(F.slice(F.col(words), 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("text"), F.get(F.col(words), i + 1).alias("next_text")))
+    p = rows.select("doc_id", "doc_ord", "segment_ix", F.explode(pairs).alias("p")).select("doc_id", "doc_ord", "segment_ix", "p.*")
+    return p.select("doc_id", "doc_ord", "segment_ix", "pos", F.col("text").alias("head_text"), kind.alias("relation_type"), F.col("next_text").alias("tail_text"), score.alias("score"))
+
+
 def adjacent_relations(mentions: DataFrame, kind: Column, score: Column) -> DataFrame:
     """Relations between each mention and the next of its segment. kind and score may use text, label, next_text, next_label."""
     w = Window.partitionBy("doc_id", "segment_ix").orderBy("pos")
     m = mentions.withColumns({"next_text": F.lead("text").over(w), "next_label": F.lead("label").over(w)}).where("next_text is not null")
     keep = [c for c in ("doc_id", "doc_ord", "segment_ix", "pos") if c in m.columns]
     return m.select(*keep, F.col("text").alias("head_text"), kind.alias("relation_type"), F.col("next_text").alias("tail_text"), score.alias("score"))
-
-
-def hashed_vectors(df: DataFrame, by: list[str], text: str = "text", size: int = 64) -> DataFrame:
-    """(by, vector): counts of words and word pairs hashed to `size` places, of length one."""
-    t = tokens(df, by, text).select(*by, F.pmod(F.xxhash64("token"), F.lit(size)).alias("slot"))
-    c = t.groupBy(*by, "slot").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), F.col("n").cast("double")))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return c.withColumn("raw", v).select(*by, F.transform("raw", lambda x: x / fn.norm(F.col("raw"))).alias("vector"))

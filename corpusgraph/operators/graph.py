@@ -19,13 +19,13 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, relation_typ
 
     starts: (start). One join for a hop; what was reached is taken out before the next."""
     e = edges if relation_types is None else edges.where(F.col("relation_type").isin(relation_types))
-    step = both_ways(e)
+    step = cut(both_ways(e)) if depth > 1 else both_ways(e)
     seen = starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hops"))
     front = seen
     for hop in range(1, depth + 1):
         new = front.join(step, F.col("node_id") == F.col("a")).select("start", F.col("b").alias("node_id")).distinct()
         front = new.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("hops", F.lit(hop))
-        front = cut(front) if depth > 2 else front
+        front = cut(front) if hop < depth else front
         seen = seen.union(front)
     return seen.where("hops > 0")
 
@@ -63,24 +63,23 @@ def entity_context(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFr
     return out.union(into)
 
 
-def pagerank(edges: DataFrame, iterations: int = 5, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 5, damping: float = 0.85) -> DataFrame:
     """(node_id, rank) after a fixed number of iterations over directed links; edges (source, target). The mass of nodes
-    without out-links is spread over all."""
-    links = cut(edges.select("source", "target").distinct())
+    without out-links is spread over all: it is what a round does not pass on."""
+    links = edges.select("source", "target").distinct()
+    out = F.count(F.lit(1)).over(Window.partitionBy("source"))
+    links = cut(links.withColumn("n_out", out))
     ids = cut(links.select(F.col("source").alias("node_id")).union(links.select("target")).distinct())
-    out = links.groupBy("source").agg(F.count(F.lit(1)).alias("n_out"))
-    links = cut(links.join(out, "source"))
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
+    for _ in range(iterations):
         given = links.join(ranks, F.col("source") == F.col("node_id")).groupBy("target").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        loose = ranks.join(out, F.col("node_id") == F.col("source"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        ranks = ids.join(given, F.col("node_id") == F.col("target"), "left").crossJoin(F.broadcast(loose))
-        ranks = ranks.select("node_id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if (i + 1) % cut_every == 0 or i + 1 == iterations:
-            ranks = cut(ranks)
+        given = cut(given)
+        loose = 1.0 - (given.agg(F.sum("got")).first()[0] or 0.0)
+        got = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
+        ranks = ids.join(given, F.col("node_id") == F.col("target"), "left").select("node_id", (F.lit((1 - damping) / n) + got).alias("rank"))
     return ranks
 
 
@@ -88,12 +87,11 @@ def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(node_id, value): power iteration on the undirected graph (shifted by one, so it also settles on bipartite ones)."""
     pairs = cut(both_ways(edges))
     value = pairs.select(F.col("a").alias("node_id")).distinct().withColumn("value", F.lit(1.0))
-    for i in range(iterations):
+    for _ in range(iterations):
         got = pairs.join(value, F.col("b") == F.col("node_id")).groupBy("a").agg(F.sum("value").alias("got"))
-        value = value.join(got, F.col("node_id") == F.col("a")).select("node_id", (F.col("value") + F.col("got")).alias("value"))
-        size = value.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
-        value = value.crossJoin(F.broadcast(size)).select("node_id", (F.col("value") / F.col("size")).alias("value"))
-        value = cut(value) if (i + 1) % 5 == 0 else value
+        value = cut(value.join(got, F.col("node_id") == F.col("a")).select("node_id", (F.col("value") + F.col("got")).alias("value")))
+        size = value.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 1.0
+        value = value.withColumn("value", F.col("value") / F.lit(size))
     return value
 
 
@@ -138,8 +136,9 @@ def wl_similarity(histogram: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def per_graph(edges: DataFrame, measure: str) -> DataFrame:
-    """Measures of single graphs (doc_id, source, target), one graph in memory at a time: `betweenness` (Brandes) or
-    `communities` (greedy modularity moves, nodes in order)."""
+    """Measures of single graphs (doc_id, source, target), undirected, one graph in a task's memory at a time, as shortest paths
+    and communities need the whole of it: `betweenness` (Brandes) or `communities` (Louvain). For graphs of documents, not
+    of corpora."""
 
     def brandes(adj: dict) -> dict:
         score = dict.fromkeys(adj, 0.0)
@@ -164,35 +163,95 @@ def per_graph(edges: DataFrame, measure: str) -> DataFrame:
         n = len(adj)
         return {v: x / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, x in score.items()}
 
-    def moves(adj: dict) -> dict:
-        home = {v: i for i, v in enumerate(sorted(adj))}
-        total = dict.fromkeys(home.values(), 0)
-        for v in adj:
-            total[home[v]] += len(adj[v])
-        twice = sum(map(len, adj.values())) or 1
-        for _ in range(50):
-            moved = False
-            for v in sorted(adj):
-                links: dict = {}
-                for w in adj[v]:
-                    links[home[w]] = links.get(home[w], 0) + 1
-                total[home[v]] -= len(adj[v])
-                gain = lambda c, v=v, links=links: links.get(c, 0) - total[c] * len(adj[v]) / twice
-                best = max(sorted({*links, home[v]}), key=lambda c: (gain(c), c == home[v]))
-                total[best] += len(adj[v])
-                moved |= best != home[v]
-                home[v] = best
-            if not moved:
-                break
-        return {v: float(c) for v, c in home.items()}
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         adj: dict = {}
         for a, b in zip(pdf["source"], pdf["target"], strict=True):
             if a != b:
                 adj.setdefault(a, set()).add(b)
                 adj.setdefault(b, set()).add(a)
-        got = (brandes if measure == "betweenness" else moves)({v: sorted(x) for v, x in sorted(adj.items())})
+        got = (brandes if measure == "betweenness" else louvain)({v: sorted(x) for v, x in sorted(adj.items())})
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(got), "node_id": list(got), "value": list(got.values())})
 
     return edges.select("doc_id", "source", "target").where("source <> target").groupBy("doc_id").applyInPandas(run, f"doc_id {dict(edges.dtypes)['doc_id']}, node_id string, value double")
+
+
+def louvain(adj: dict) -> dict:
+    """Node -> community: moves to the neighbouring community that gains most modularity, nodes in order, until none gains;
+    then each community becomes a node, and again, until nothing moves. Communities are numbered by their first node."""
+    weights = {v: dict.fromkeys(near, 1) for v, near in adj.items()}
+    home = {v: v for v in adj}
+    twice = sum(map(len, adj.values())) or 1
+    while True:
+        at = {v: i for i, v in enumerate(weights)}
+        degree = {v: sum(w.values()) for v, w in weights.items()}
+        total = {at[v]: d for v, d in degree.items()}
+        moved = moving = True
+        rounds = 0
+        while moving:
+            moving = False
+            for v, near in weights.items():
+                links: dict = {}
+                for w, n in near.items():
+                    if w != v:
+                        links[at[w]] = links.get(at[w], 0) + n
+                total[at[v]] -= degree[v]
+                gain = {c: links.get(c, 0) - total[c] * degree[v] / twice for c in {*links, at[v]}}
+                best = max(sorted(gain), key=lambda c, v=v, gain=gain: (round(gain[c], 9), c == at[v]))
+                total[best] += degree[v]
+                moving |= best != at[v]
+                at[v] = best
+            rounds += 1
+        moved = rounds > 1
+        home = {v: at[h] for v, h in home.items()}
+        if not moved:
+            break
+        joined: dict = {}
+        for v, near in weights.items():
+            row = joined.setdefault(at[v], {})
+            for w, n in near.items():
+                row[at[w]] = row.get(at[w], 0) + n
+        weights = joined
+    number: dict = {}
+    return {v: float(number.setdefault(h, len(number))) for v, h in home.items()}
+
+
+#: Weights of the measures in the combined index.
+CENTRALITY = {"degree": 0.2, "betweenness": 0.3, "eigenvector": 0.2, "pagerank": 0.3}
+
+
+def multi_centrality(edges: DataFrame, iterations: int = 100) -> DataFrame:
+    """(doc_id, node_id, value): for each graph (doc_id, source, target) the four measures of its nodes, each scaled to 0..1 by
+    its range in the graph, in one weighted sum."""
+    between = per_graph(edges, "betweenness").withColumnRenamed("value", "betweenness")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["source"], *pdf["target"]})
+        at = {v: i for i, v in enumerate(names)}
+        out: list = [set() for _ in names]
+        near: list = [set() for _ in names]
+        for a, b in zip(pdf["source"], pdf["target"], strict=True):
+            if a != b:
+                out[at[a]].add(at[b])
+                near[at[a]].add(at[b])
+                near[at[b]].add(at[a])
+        n = len(names)
+        rank, value = [1 / n] * n, [1.0] * n
+        for _ in range(iterations):
+            given, loose = [0.0] * n, 0.0
+            for i, to in enumerate(out):
+                for j in to:
+                    given[j] += rank[i] / len(to)
+                loose += 0 if to else rank[i]
+            rank = [0.15 / n + 0.85 * (g + loose / n) for g in given]
+            value = [v + sum(value[j] for j in near[i]) for i, v in enumerate(value)]
+            size = sum(v * v for v in value) ** 0.5
+            value = [v / size for v in value]
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * n, "node_id": names, "degree": [float(len(x)) for x in near], "eigenvector": value, "pagerank": rank})
+
+    kind = dict(edges.dtypes)["doc_id"]
+    rest = edges.select("doc_id", "source", "target").where("source <> target").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, node_id string, degree double, eigenvector double, pagerank double")
+    every = rest.join(between, ["doc_id", "node_id"])
+    w = Window.partitionBy("doc_id")
+    span = lambda c: F.max(c).over(w) - F.min(c).over(w)
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(w), span(c)), F.lit(0.0))
+    return every.select("doc_id", "node_id", sum(F.lit(x) * scaled(c) for c, x in CENTRALITY.items()).alias("value"))

@@ -1,14 +1,19 @@
 """Provenance merge: mentions of many documents to one graph whose nodes and edges know their documents.
 
 Mentions carry their order (doc_ord, segment_ix, pos); "first" always means first in it, never in order of arrival.
-Tables: entity mentions (doc_id, doc_ord, segment_ix, pos, text, label, score), relation mentions (doc_id, doc_ord,
-segment_ix, pos, head_text, relation_type, tail_text, score), nodes (node_id, canonical, text, entity_type, score,
-n_mentions, docs, first_ord), edges (source, target, relation_type, score, n_seen, docs). Documents of a node are also
-kept as a bridge table (`node_docs`), which grows by rows and not inside one value.
+Tables: entity mentions (doc_id, doc_ord, segment_ix, pos, text, label, score) and relation mentions (doc_id, doc_ord,
+segment_ix, pos, head_text, relation_type, tail_text, score). They are reduced at once to one row for each key and
+document, the observations, which tasks combine before the shuffle; all that follows comes from those. A graph has nodes
+(node_id, canonical, text, entity_type, score, n_mentions, n_docs, first_doc, first_ord), edges (source, target,
+relation_type, score, n_seen, n_docs, first_doc, first_at), and for the documents of each the tables node_docs (node_id, canonical,
+doc_id) and edge_docs (source, target, relation_type, doc_id). A concept of all documents has as many rows there, spread by
+document; no value and no task holds them together.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +21,16 @@ from corpusgraph.functions import text as fn
 from corpusgraph.operators.state import cut
 
 
-def order() -> Column:
-    return F.struct("doc_ord", "segment_ix", "pos")
+@dataclass
+class Graph:
+    nodes: DataFrame
+    edges: DataFrame
+    node_docs: DataFrame
+    edge_docs: DataFrame
 
 
-def doc_set(c: str = "doc_id") -> Column:
-    return F.sort_array(F.collect_set(c))
+def order() -> Column:
+    return F.struct("doc_ord", "segment_ix", "pos")
 
 
 def keyed(mentions: DataFrame) -> DataFrame:
@@ -29,21 +38,33 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("canonical", fn.canonical(F.col("text"))).where("canonical <> ''")
 
 
-def merge_nodes(mentions: DataFrame, type_policy: str = "first", key: str = "canonical") -> DataFrame:
-    """One node for each key. The first mention gives text and id; type_policy `first` or `best` (highest score) the type."""
+def node_observations(mentions: DataFrame, key: str = "canonical") -> DataFrame:
+    """(canonical, doc_id, first, at, best, score, n_mentions): one row for each key of a document."""
     m = mentions if key in mentions.columns else keyed(mentions)
-    first = F.min_by(F.struct("text", "label"), order())
-    kind = F.col("first.label") if type_policy == "first" else F.col("best")
-    agg = m.groupBy(F.col(key).alias("canonical")).agg(
-        first.alias("first"), F.max_by("label", F.struct(F.col("score"), -F.col("doc_ord"), -F.col("segment_ix"), -F.col("pos"))).alias("best"),
-        F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"), doc_set().alias("docs"), F.min("doc_ord").alias("first_ord"),
+    best = F.max(F.struct("score", (-F.col("doc_ord")).alias("o"), (-F.col("segment_ix")).alias("s"), (-F.col("pos")).alias("p"), "label"))
+    return m.groupBy(F.col(key).alias("canonical"), "doc_id").agg(F.min_by(F.struct("text", "label"), order()).alias("first"), F.min(order()).alias("at"), best.alias("best"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"))
+
+
+def nodes_of(observations: DataFrame, type_policy: str = "first") -> DataFrame:
+    """One node for each key. The first mention gives text and id; type_policy `first` or `best` (highest score) the type."""
+    agg = observations.groupBy("canonical").agg(
+        F.min_by("first", "at").alias("first"), F.max("best").alias("best"), F.max("score").alias("score"), F.sum("n_mentions").alias("n_mentions"),
+        F.count(F.lit(1)).alias("n_docs"), F.min_by("doc_id", "at").alias("first_doc"), F.min("at.doc_ord").alias("first_ord"),
     )
-    return agg.select(fn.entity_id(F.col("first.text"), F.col("first.label")).alias("node_id"), "canonical", F.col("first.text").alias("text"), kind.alias("entity_type"), "score", "n_mentions", "docs", "first_ord")
+    kind = F.col("first.label") if type_policy == "first" else F.col("best.label")
+    return agg.select(fn.entity_id(F.col("first.text"), F.col("first.label")).alias("node_id"), "canonical", F.col("first.text").alias("text"), kind.alias("entity_type"), "score", "n_mentions", "n_docs", "first_doc", "first_ord")
 
 
-def resolve(relations: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Relations with both ends resolved to nodes first seen in their own or an earlier document; others are dropped."""
+def edge_observations(relations: DataFrame) -> DataFrame:
+    """(head_key, tail_key, relation_type, doc_id, doc_ord, at, score, n_seen): one row for each relation of a document."""
     r = relations.withColumns({"head_key": fn.canonical(F.col("head_text")), "tail_key": fn.canonical(F.col("tail_text"))})
+    return r.groupBy("head_key", "tail_key", "relation_type", "doc_id", "doc_ord").agg(F.min(order()).alias("at"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_seen"))
+
+
+def resolve(observations: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Edge observations with both ends resolved to nodes first seen in their own or an earlier document; others are dropped.
+    Ends that are aliases may make several rows of one edge and document, which become one."""
+    r = observations
     if aliases is not None:
         for end in ("head", "tail"):
             a = aliases.select(F.col("canonical").alias("__k"), F.col("leader").alias("__l"))
@@ -51,25 +72,35 @@ def resolve(relations: DataFrame, nodes: DataFrame, aliases: DataFrame | None =
     for end, name in (("head", "source"), ("tail", "target")):
         n = nodes.select(F.col("canonical").alias("__k"), F.col("node_id").alias(name), F.col("first_ord").alias("__o"))
         r = r.join(n, (F.col(f"{end}_key") == F.col("__k")) & (F.col("__o") <= F.col("doc_ord"))).drop("__k", "__o")
+    r = r.select("source", "target", "relation_type", "doc_id", "at", "score", "n_seen")
+    if aliases is not None:
+        r = r.groupBy("source", "target", "relation_type", "doc_id").agg(F.min("at").alias("at"), F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"))
     return r
 
 
-def merge_edges(resolved: DataFrame) -> DataFrame:
-    first = F.min_by("doc_id", order())
-    return resolved.groupBy("source", "target", "relation_type").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_seen"), doc_set().alias("docs"), first.alias("first_doc"))
+def edges_of(resolved: DataFrame) -> DataFrame:
+    return resolved.groupBy("source", "target", "relation_type").agg(F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"), F.count(F.lit(1)).alias("n_docs"), F.min_by("doc_id", "at").alias("first_doc"), F.min("at").alias("first_at"))
+
 
+def with_docs(rows: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes or edges with `docs`, all their documents in one sorted value, as exports have them."""
+    lists = docs.groupBy(*by).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    return rows.join(lists, by)
 
-def merge_graph(entities: DataFrame, relations: DataFrame, merge: str = "canonical", type_policy: str = "first") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges); merge `containment` first joins keys that contain one another."""
+
+def merge_graph(entities: DataFrame, relations: DataFrame, merge: str = "canonical", type_policy: str = "first") -> Graph:
+    """The graph of mentions; merge `containment` first joins keys that contain one another. Observations and nodes are
+    tables in the shared folder, as all parts of the graph come from them."""
     m = keyed(entities)
-    aliases = None
+    aliases, key = None, "canonical"
     if merge == "containment":
         aliases = cut(alias_leaders(m))
-        m = m.join(aliases.select(F.col("canonical").alias("__k"), "leader"), F.col("canonical") == F.col("__k")).drop("__k")
-        nodes = merge_nodes(m, type_policy, "leader")
-    else:
-        nodes = merge_nodes(m, type_policy)
-    return nodes, merge_edges(resolve(relations, nodes, aliases))
+        m, key = m.join(aliases.select(F.col("canonical").alias("__k"), "leader"), F.col("canonical") == F.col("__k")).drop("__k"), "leader"
+    seen = cut(node_observations(m, key))
+    nodes = cut(nodes_of(seen, type_policy))
+    found = cut(resolve(edge_observations(relations), nodes, aliases))
+    node_docs = seen.select("canonical", "doc_id").join(nodes.select("canonical", "node_id"), "canonical").select("node_id", "canonical", "doc_id")
+    return Graph(nodes, edges_of(found), node_docs, found.select("source", "target", "relation_type", "doc_id"))
 
 
 def contained_pairs(keys: DataFrame) -> DataFrame:
@@ -116,7 +147,3 @@ def entity_index(mentions: DataFrame) -> DataFrame:
     m = mentions.withColumn("entity_id", fn.entity_id(F.col("text"), F.col("label")))
     first = F.min_by(F.struct("text", "label", "score"), order())
     return m.groupBy("entity_id").agg(first.alias("f"), F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs")).select("entity_id", F.col("f.text").alias("text"), F.col("f.label").alias("entity_type"), F.col("f.score").alias("score"), "n_mentions", "n_docs")
-
-
-def node_docs(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", F.explode("docs").alias("doc_id"))

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusgraph.functions.text import SENTENCE_END, token_budget
+
 SCHEMA = "doc_id {id}, segment_ix int, text string, headings array<string>, n_tokens int"
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(SENTENCE_END)
 
 
 def count_words(text: str) -> int:
@@ -80,9 +82,9 @@ def segments_of(blocks: list[tuple[str, list[str]]], budget: int, overlap: int,
         yield out()
 
 
-def segments(blocks: DataFrame, max_tokens: int = 1024, overlap: int = 64, reserve: int = 8) -> DataFrame:
+def segments(blocks: DataFrame, max_tokens: int = 1024, overlap: int = 64, model_max: int = 1024, reserve: int = 8) -> DataFrame:
     """(doc_id, block_ix, text, headings) -> (doc_id, segment_ix, text, headings, n_tokens)."""
-    budget = max(1, max_tokens - reserve)
+    budget = token_budget(max_tokens, model_max, reserve)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_ix", kind="stable")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
 
-ENTRY = r"^(?:-\s*)?(?:\[\d{1,3}\]\.?\s+|\d{1,3}[.)]\s+)"
+# Fixed value: how an entry of a reference list begins.
+ENTRY = r"^(?:-\s*)?\[(\d{1,3})\]\s+|^\d{1,3}[\.\)]\s+"
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -68,6 +69,19 @@ def without_boilerplate(sections_: DataFrame, skip: list[str]) -> DataFrame:
     return df.withColumn("any_kept", any_kept).where("kept or not any_kept").drop("kept", "any_kept")
 
 
+def abstracts(sections_: DataFrame, first: int = 5) -> DataFrame:
+    """(doc_id, section_ix, text): of each document the first section under a heading with `abstract` in it; else, of its first
+    sections, the first that begins with `abstract` or says `this paper` in its first 200 characters; else all its text."""
+    low = F.lower("text")
+    named = F.exists("headings", lambda h: F.contains(F.lower(h), F.lit("abstract")))
+    told = (F.col("section_ix") < first) & (F.startswith(low, F.lit("abstract")) | F.contains(F.substring(low, 1, 200), F.lit("this paper")))
+    rank = F.when(named, 0).when(told, 1)
+    best = sections_.where(rank.isNotNull()).groupBy("doc_id").agg(F.min_by(F.struct("section_ix", "text"), F.struct(rank, "section_ix")).alias("x")).select("doc_id", "x.*")
+    rest = sections_.join(best.select("doc_id"), "doc_id", "left_anti")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_ix", "text"))), lambda x: x["text"]), "\n\n")
+    return best.unionByName(rest.groupBy("doc_id").agg(F.min("section_ix").alias("section_ix"), whole.alias("text")))
+
+
 def reference_lines(documents: DataFrame) -> DataFrame:
     """Lines under the first reference heading up to the next heading that is none."""
     w = Window.partitionBy("doc_id").orderBy("line_ix")

@@ -15,6 +15,8 @@ from corpusgraph.functions import text as fn
 from corpusgraph.operators import discovery, extract, graph, merge, originality, retrieve, segment, structure, summary
 from corpusgraph.operators.state import cut
 from corpusgraph.plans.config import Discovery
+from corpusgraph.plans import jobs
+from corpusgraph.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pair(g: merge.Graph) -> tuple[DataFrame, DataFrame]:
+    return g.nodes, g.edges
+
+
 def joined(c: str = "docs"):
     return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), "|")
 
@@ -41,35 +47,41 @@ def joined(c: str = "docs"):
 # --- the graph of documents ----------------------------------------------------------------------------------------
 
 
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, doc_ord, segment_ix, lang, w): each document's words of five letters or more, in order."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}{5,})"), 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("doc_ord"), F.lit(0).alias("segment_ix"), "lang", words.alias("w"))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}{5,})"), 1)).alias("pos", "text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), found)
-    return docs.select("doc_id", F.col("doc_id").alias("doc_ord"), F.lit(0).alias("segment_ix"), "pos", "text", "label", (F.length("text") % 10 / 10).alias("score"))
+    docs = word_rows(spark, sf_dir).select("doc_id", "doc_ord", "segment_ix", F.col("lang").alias("label"), F.posexplode("w").alias("pos", "text"))
+    return docs.select("doc_id", "doc_ord", "segment_ix", "pos", "text", "label", (F.length("text") % 10 / 10).alias("score"))
 
 
-def relations(m: DataFrame) -> DataFrame:
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.length("text") >= F.length("next_text"), "broader").otherwise("narrower")
-    return extract.adjacent_relations(m, kind, (F.length("text") + F.length("next_text")) % 10 / 10)
+    return extract.adjacent_in_row(word_rows(spark, sf_dir), "w", kind, (F.length("text") + F.length("next_text")) % 10 / 10)
 
 
-def corpus(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    m = mentions(spark, sf_dir)
-    nodes, edges = merge.merge_graph(m, relations(m))
-    return (cut(nodes), cut(edges)) if keep else (nodes, edges)
+def corpus(spark: SparkSession, sf_dir: str, keep: bool = False) -> merge.Graph:
+    g = merge.merge_graph(mentions(spark, sf_dir), relations(spark, sf_dir))
+    if keep:
+        g.edges = cut(g.edges)
+    return g
 
 
 GRAPH = r"""
-m AS (SELECT doc_id, pos, text, label, (length(text) % 10) / 10.0 AS score, lower(text) AS canonical FROM (
+m AS MATERIALIZED (SELECT doc_id, pos, text, label, (length(text) % 10) / 10.0 AS score, lower(text) AS canonical FROM (
   SELECT doc_id, lang AS label, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '\p{L}{5,}') AS w FROM documents))),
-nodes AS (SELECT substr(md5(label || ':' || lower(text)), 1, 12) AS node_id, canonical, text, label AS entity_type, score, n_mentions, docs, first_ord FROM (
+nodes AS MATERIALIZED (SELECT substr(md5(label || ':' || lower(text)), 1, 12) AS node_id, canonical, text, label AS entity_type, score, n_mentions, docs, first_ord FROM (
   SELECT canonical, arg_min(text, (doc_id, pos)) AS text, arg_min(label, (doc_id, pos)) AS label, max(score) AS score, count(*) AS n_mentions, list_sort(list(DISTINCT doc_id)) AS docs, min(doc_id) AS first_ord FROM m GROUP BY canonical)),
-rel AS (SELECT doc_id, pos, canonical AS head, lead(canonical) OVER w AS tail, CASE WHEN length(text) >= length(lead(text) OVER w) THEN 'broader' ELSE 'narrower' END AS relation_type,
+rel AS MATERIALIZED (SELECT doc_id, pos, canonical AS head, lead(canonical) OVER w AS tail, CASE WHEN length(text) >= length(lead(text) OVER w) THEN 'broader' ELSE 'narrower' END AS relation_type,
   ((length(text) + length(lead(text) OVER w)) % 10) / 10.0 AS score FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-edges AS (SELECT h.node_id AS source, t.node_id AS target, relation_type, max(r.score) AS score, count(*) AS n_seen, list_sort(list(DISTINCT doc_id)) AS docs
+edges AS MATERIALIZED (SELECT h.node_id AS source, t.node_id AS target, relation_type, max(r.score) AS score, count(*) AS n_seen, list_sort(list(DISTINCT doc_id)) AS docs
   FROM rel r JOIN nodes h ON r.head = h.canonical JOIN nodes t ON r.tail = t.canonical WHERE r.tail IS NOT NULL GROUP BY ALL),
 ends AS (SELECT source AS node_id FROM edges UNION ALL SELECT target FROM edges),
-both_ways AS (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges) WHERE a <> b),
-starts AS (SELECT node_id FROM nodes WHERE canonical IN ('thing', 'thble', 'thtion', 'nicht', 'ering'))"""
+both_ways AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges) WHERE a <> b),
+starts AS MATERIALIZED (SELECT node_id FROM nodes WHERE canonical IN ('thing', 'thble', 'thtion', 'nicht', 'ering'))"""
 
 
 def with_graph(sql: str) -> str:
@@ -82,17 +94,19 @@ def starts(nodes: DataFrame) -> DataFrame:
 
 @query(with_graph("SELECT node_id, canonical, text, entity_type, score::DOUBLE AS score, n_mentions, array_to_string(docs, '|') AS docs, first_ord FROM nodes"))
 def corpus_nodes(spark, sf_dir):
-    return corpus(spark, sf_dir)[0].withColumn("docs", joined())
+    g = corpus(spark, sf_dir)
+    return merge.with_docs(g.nodes, g.node_docs, ["node_id"]).select("node_id", "canonical", "text", "entity_type", "score", "n_mentions", joined().alias("docs"), "first_ord")
 
 
 @query(with_graph("SELECT source, target, relation_type, score::DOUBLE AS score, n_seen, array_to_string(docs, '|') AS docs, docs[1] AS first_doc FROM edges"))
 def corpus_edges(spark, sf_dir):
-    return corpus(spark, sf_dir)[1].withColumn("docs", joined())
+    g = corpus(spark, sf_dir)
+    return merge.with_docs(g.edges, g.edge_docs, sinks.EDGE).select(*sinks.EDGE, "score", "n_seen", joined().alias("docs"), "first_doc")
 
 
 @query(with_graph("SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM nodes WHERE len(docs) > 1) AS common_nodes, (SELECT count(*) FROM nodes WHERE len(docs) < 2) AS unique_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM edges WHERE len(docs) > 1) AS common_edges, (SELECT count(*) FROM edges WHERE len(docs) < 2) AS unique_edges"))
 def corpus_summary(spark, sf_dir):
-    return summary.corpus_summary(*corpus(spark, sf_dir))
+    return summary.corpus_summary(*pair(corpus(spark, sf_dir)))
 
 
 NOVELTY = """, n AS (SELECT d, count(*) AS nodes_in_doc, count(*) FILTER (u) AS unique_nodes FROM (SELECT unnest(docs) AS d, len(docs) = 1 AS u FROM nodes) GROUP BY d),
@@ -101,7 +115,7 @@ e AS (SELECT docs[1] AS d, count(*) AS unique_edges FROM edges WHERE len(docs) =
 
 @query(f"WITH {GRAPH}{NOVELTY} SELECT doc_id, coalesce(nodes_in_doc, 0) AS nodes_in_doc, coalesce(unique_nodes, 0) AS unique_nodes, coalesce(unique_edges, 0) AS unique_edges, coalesce(round(unique_nodes / nodes_in_doc, 3), 0)::DOUBLE AS novelty FROM documents LEFT JOIN n ON doc_id = n.d LEFT JOIN e ON doc_id = e.d")
 def doc_novelty(spark, sf_dir):
-    return summary.doc_novelty(table(spark, sf_dir, "documents"), *corpus(spark, sf_dir))
+    return summary.doc_novelty(table(spark, sf_dir, "documents"), corpus(spark, sf_dir))
 
 
 @query(f"WITH {GRAPH}{NOVELTY} SELECT doc_id, n_chars, (len(string_split(text, chr(10))))::BIGINT AS n_lines, (SELECT count(*) FROM m WHERE m.doc_id = documents.doc_id) AS n_mentions, coalesce(round(unique_nodes / nodes_in_doc, 3), 0)::DOUBLE AS novelty FROM documents LEFT JOIN n ON doc_id = n.d")
@@ -115,22 +129,22 @@ def doc_breakdown(spark, sf_dir):
 
 @query(with_graph("SELECT e AS entities, r AS relations, round(2 * r / greatest(e, 1), 6)::DOUBLE AS avg_degree FROM (SELECT count(*) AS e FROM nodes), (SELECT count(*) AS r FROM edges)"))
 def graph_stats(spark, sf_dir):
-    return summary.graph_stats(*corpus(spark, sf_dir))
+    return summary.graph_stats(*pair(corpus(spark, sf_dir)))
 
 
 @query(with_graph("SELECT coalesce(entity_type, 'unknown') AS entity_type, count(*) AS n_nodes FROM nodes GROUP BY 1"))
 def type_counts(spark, sf_dir):
-    return summary.type_counts(corpus(spark, sf_dir)[0])
+    return summary.type_counts(corpus(spark, sf_dir).nodes)
 
 
 @query(with_graph("SELECT source, target, relation_type, round(1 + 3 * score::DOUBLE / top, 6) AS width, round(0.35 + 0.65 * (score::DOUBLE / top), 6) AS opacity FROM edges, (SELECT greatest(coalesce(max(score), 0), 0.01)::DOUBLE AS top FROM edges)"))
 def edge_weights(spark, sf_dir):
-    return summary.edge_weights(corpus(spark, sf_dir)[1])
+    return summary.edge_weights(corpus(spark, sf_dir).edges)
 
 
 @query(with_graph("SELECT node_id, canonical FROM nodes WHERE node_id IN (SELECT node_id FROM ends)"))
 def orphan_filter(spark, sf_dir):
-    n, e = corpus(spark, sf_dir)
+    n, e = pair(corpus(spark, sf_dir))
     return summary.without_orphans(n, e).select("node_id", "canonical")
 
 
@@ -139,43 +153,43 @@ CLASS = "CASE WHEN len(docs) > 1 THEN 'shared' WHEN list_contains(docs, 0) THEN
 
 @query(with_graph(f"SELECT node_id, {CLASS} AS source_class, round(score::DOUBLE * 10, 1) AS importance FROM nodes"))
 def source_class(spark, sf_dir):
-    n = summary.with_source_class(corpus(spark, sf_dir)[0], F.lit(0).cast("long"))
+    n = summary.with_source_class(corpus(spark, sf_dir).nodes, F.lit(0).cast("long"))
     return n.select("node_id", "source_class", F.round(F.col("score") * 10, 1).alias("importance"))
 
 
 @query(with_graph(f"SELECT source, target, relation_type FROM edges WHERE source IN (SELECT node_id FROM nodes WHERE {CLASS} = 'shared') AND target IN (SELECT node_id FROM nodes WHERE {CLASS} = 'shared')"))
 def source_filter(spark, sf_dir):
-    n, e = corpus(spark, sf_dir)
+    n, e = pair(corpus(spark, sf_dir))
     n = summary.with_source_class(n, F.lit(0).cast("long"))
     return summary.keep_nodes(n, e, F.col("source_class") == "shared")[1].select("source", "target", "relation_type")
 
 
 @query(with_graph("SELECT node_id, text FROM nodes WHERE len(docs) > 1 OR list_contains(docs, 7)"))
 def doc_filter(spark, sf_dir):
-    n, e = corpus(spark, sf_dir)
-    return summary.keep_nodes(n, e, (F.size("docs") > 1) | F.array_contains("docs", 7))[0].select("node_id", "text")
+    g = corpus(spark, sf_dir)
+    return g.nodes.where("n_docs > 1").union(g.nodes.where("n_docs = 1").join(originality.nodes_in(g, F.lit(7)), "node_id", "left_semi").select(g.nodes.columns)).select("node_id", "text")
 
 
 @query(with_graph("SELECT node_id, degree FROM (SELECT node_id, count(*) AS degree FROM ends GROUP BY 1)"))
 def degree_centrality(spark, sf_dir):
-    return summary.degrees(corpus(spark, sf_dir)[1])
+    return summary.degrees(corpus(spark, sf_dir).edges)
 
 
 @query(with_graph("SELECT item_id, node_id FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}{5,}'))) AS k FROM benchmark) JOIN nodes ON k = canonical"))
 def find_by_text(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{5,})"), 1))).alias("query"))
-    hit = retrieve.match(corpus(spark, sf_dir)[0], q.select("query"), "text")
+    hit = retrieve.match(corpus(spark, sf_dir).nodes, q.select("query"), "text")
     return q.join(hit, "query").select("item_id", "node_id")
 
 
 @query(with_graph("SELECT 'FR' AS query, node_id FROM nodes WHERE entity_type = 'fr'"))
 def find_by_type(spark, sf_dir):
-    return retrieve.match(corpus(spark, sf_dir)[0], spark.range(1).select(F.lit("FR").alias("query")), "type")
+    return retrieve.match(corpus(spark, sf_dir).nodes, spark.range(1).select(F.lit("FR").alias("query")), "type")
 
 
 @query(with_graph("SELECT a AS start, b AS node_id, 1 AS hops FROM both_ways WHERE a IN (SELECT node_id FROM starts)"))
 def neighbors_1(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
+    n, e = pair(corpus(spark, sf_dir, True))
     return graph.neighbours(e, starts(n).withColumnRenamed("node_id", "start"), 1)
 
 
@@ -186,27 +200,33 @@ near AS (SELECT start, node_id, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM
 
 @query(f"WITH {GRAPH}{K_HOP} SELECT start, node_id, hops FROM near")
 def neighbors_k(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
+    n, e = pair(corpus(spark, sf_dir, True))
     return graph.neighbours(e, starts(n).withColumnRenamed("node_id", "start"), 2)
 
 
 @query(f"WITH {GRAPH}{K_HOP}, ids AS (SELECT node_id FROM near WHERE hops = 1 UNION SELECT node_id FROM starts) SELECT source, target, relation_type, n_seen FROM edges WHERE source IN (SELECT node_id FROM ids) AND target IN (SELECT node_id FROM ids)")
 def subgraph(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
+    n, e = pair(corpus(spark, sf_dir, True))
     s = starts(n)
     ids = graph.neighbours(e, s.withColumnRenamed("node_id", "start"), 1).select("node_id").union(s).distinct()
     return graph.subgraph(n, e, ids)[1].select("source", "target", "relation_type", "n_seen")
 
 
-@query(with_graph("SELECT p AS path, length FROM (SELECT x.source || '>' || x.target AS p, x.target AS t, 1 AS length FROM edges x WHERE x.source IN (SELECT node_id FROM starts) AND x.source <> x.target UNION ALL SELECT x.source || '>' || x.target || '>' || y.target, y.target, 2 FROM edges x JOIN edges y ON x.target = y.source WHERE x.source IN (SELECT node_id FROM starts) AND x.source <> x.target AND y.source <> y.target AND y.target <> x.source) WHERE t IN (SELECT node_id FROM starts)"))
+PATHS = """, x AS MATERIALIZED (SELECT source AS s, target AS t FROM edges WHERE source <> target),
+p1 AS MATERIALIZED (SELECT [s, t] AS p FROM x WHERE s IN (SELECT node_id FROM starts)),
+p2 AS MATERIALIZED (SELECT list_append(p, t) AS p FROM p1 JOIN x ON p[2] = s WHERE NOT list_contains(p, t)),
+p3 AS MATERIALIZED (SELECT list_append(p, t) AS p FROM p2 JOIN (SELECT x.* FROM x JOIN starts ON t = node_id) y ON p[3] = y.s WHERE NOT list_contains(p, y.t))"""
+
+
+@query(f"WITH {GRAPH}{PATHS} SELECT array_to_string(p, '>') AS path, (len(p) - 1)::INTEGER AS length FROM (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3) WHERE p[-1] IN (SELECT node_id FROM starts)")
 def find_paths(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
-    return graph.paths(e, starts(n), starts(n), 2).select(F.array_join("path", ">").alias("path"), "length")
+    n, e = pair(corpus(spark, sf_dir, True))
+    return graph.paths(e, starts(n), starts(n)).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query(with_graph("SELECT s.node_id, 'out' AS direction, relation_type, n.text AS other_text, n.entity_type AS other_type, e.score::DOUBLE AS score FROM starts s JOIN edges e ON e.source = s.node_id JOIN nodes n ON n.node_id = e.target UNION ALL SELECT s.node_id, 'in', relation_type, n.text, n.entity_type, e.score::DOUBLE FROM starts s JOIN edges e ON e.target = s.node_id JOIN nodes n ON n.node_id = e.source"))
 def entity_context(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
+    n, e = pair(corpus(spark, sf_dir, True))
     return graph.entity_context(n, e, starts(n))
 
 
@@ -217,24 +237,29 @@ g AS (SELECT query, node_id, bool_or(is_match) AS is_match FROM f GROUP BY 1, 2)
 r AS (SELECT g.*, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY query ORDER BY is_match DESC, coalesce(degree, 0) DESC, node_id) AS rank FROM g LEFT JOIN dg USING (node_id))"""
 
 
-def retrieval(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
-    return retrieve.retrieve(n, e, spark.createDataFrame([(w,) for w in WANTED], "query string"), 5, 2, "text")
+def retrieval(spark, sf_dir, depth=2):
+    g = corpus(spark, sf_dir, True)
+    return g, retrieve.retrieve(g, spark.createDataFrame([(w,) for w in WANTED], "query string"), 5, depth, "text")
 
 
 @query(f"WITH {GRAPH}{FOUND} SELECT query, node_id, is_match, degree, rank::INTEGER AS rank FROM r WHERE rank <= 5")
 def retrieve_ranked(spark, sf_dir):
-    return retrieval(spark, sf_dir).expanded.select("query", "node_id", "is_match", "degree", "rank")
+    return retrieval(spark, sf_dir)[1].expanded.select("query", "node_id", "is_match", "degree", "rank")
 
 
 @query(f"WITH {GRAPH}{FOUND} SELECT DISTINCT query, unnest(docs) AS doc_id FROM g JOIN nodes USING (node_id)")
 def context_docs(spark, sf_dir):
-    return retrieval(spark, sf_dir).documents
+    return retrieval(spark, sf_dir)[1].documents
 
 
-@query(f"WITH {GRAPH}{FOUND} SELECT query, '## Entities' || chr(10) || string_agg('- ' || text || ' (' || coalesce(entity_type, 'unknown') || ')', chr(10) ORDER BY rank) AS context FROM r JOIN nodes USING (node_id) WHERE rank <= 5 GROUP BY query")
+@query(f"""WITH {GRAPH}{FOUND.replace('near.node_id, false FROM near JOIN', 'near.node_id, false FROM (SELECT * FROM near WHERE hops = 1) near JOIN')},
+ent AS (SELECT query, string_agg(CASE WHEN is_match THEN '-> ' ELSE '   ' END || '**' || text || '** (' || coalesce(entity_type, 'unknown') || ')', chr(10) ORDER BY rank) AS t FROM r JOIN nodes USING (node_id) WHERE rank <= 5 GROUP BY query),
+rl AS (SELECT a.query, string_agg('- ' || x.text || ' --[' || relation_type || ']--> ' || y.text, chr(10) ORDER BY x.text, relation_type, y.text) AS t
+  FROM edges JOIN g a ON a.node_id = source JOIN g b ON b.node_id = target AND b.query = a.query JOIN nodes x ON x.node_id = source JOIN nodes y ON y.node_id = target GROUP BY a.query)
+SELECT ent.query, '## Relevant Entities' || chr(10) || chr(10) || ent.t || coalesce(chr(10) || chr(10) || '## Known Relationships' || chr(10) || chr(10) || rl.t, '') AS context FROM ent LEFT JOIN rl ON rl.query = ent.query""")
 def format_context(spark, sf_dir):
-    return retrieve.format_context(retrieval(spark, sf_dir).expanded)
+    g, found = retrieval(spark, sf_dir, 1)
+    return retrieve.format_context(found, g.nodes)
 
 
 def _pagerank_sql(links: str, rounds: int) -> str:
@@ -246,19 +271,19 @@ def _pagerank_sql(links: str, rounds: int) -> str:
 
 @query(_pagerank_sql("SELECT DISTINCT source AS s, target AS t FROM edges", 5))
 def pagerank_5(spark, sf_dir):
-    return graph.pagerank(corpus(spark, sf_dir, True)[1], 5).withColumn("rank", F.round(F.col("rank") * 1e4, 6))
+    return graph.pagerank(corpus(spark, sf_dir, True).edges, 5).withColumn("rank", F.round(F.col("rank") * 1e4, 6))
 
 
 @query(_pagerank_sql("SELECT a AS s, b AS t FROM both_ways", 3))
 def textrank_words(spark, sf_dir):
-    pairs = graph.both_ways(corpus(spark, sf_dir, True)[1]).toDF("source", "target")
+    pairs = graph.both_ways(corpus(spark, sf_dir, True).edges).toDF("source", "target")
     return graph.pagerank(pairs, 3).withColumn("rank", F.round(F.col("rank") * 1e4, 6))
 
 
 def measures(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
+    n, e = pair(corpus(spark, sf_dir, True))
     d = summary.degrees(e)
-    return cut(n.join(d, "node_id").select("node_id", F.col("degree").cast("double").alias("degree"), F.col("n_mentions").cast("double").alias("n_mentions"), F.size("docs").cast("double").alias("n_docs")))
+    return cut(n.join(d, "node_id").select("node_id", F.col("degree").cast("double").alias("degree"), F.col("n_mentions").cast("double").alias("n_mentions"), F.col("n_docs").cast("double").alias("n_docs")))
 
 
 MEASURES = "x AS (SELECT node_id, degree::DOUBLE AS degree, n_mentions::DOUBLE AS n_mentions, len(docs)::DOUBLE AS n_docs FROM nodes JOIN (SELECT node_id, count(*) AS degree FROM ends GROUP BY 1) USING (node_id))"
@@ -287,45 +312,54 @@ def set_overlap(spark, sf_dir):
     return top("degree", "a").join(top("n_docs", "b"), F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("node_id"), side.alias("side"))
 
 
-@query(with_graph("SELECT node_id, text, len(docs)::INTEGER AS n_docs FROM nodes WHERE len(docs) > 1"))
+@query(with_graph("SELECT node_id, text, len(docs)::BIGINT AS n_docs FROM nodes WHERE len(docs) > 1"))
 def shared_topics(spark, sf_dir):
-    return originality.shared(corpus(spark, sf_dir)[0]).select("node_id", "text", "n_docs")
+    return originality.shared(corpus(spark, sf_dir).nodes).select("node_id", "text", "n_docs")
 
 
-@query(with_graph("SELECT source, target, relation_type, len(docs)::INTEGER AS n_docs FROM edges WHERE len(docs) > 1"))
+@query(with_graph("SELECT source, target, relation_type, len(docs)::BIGINT AS n_docs FROM edges WHERE len(docs) > 1"))
 def shared_relations(spark, sf_dir):
-    return originality.shared(corpus(spark, sf_dir)[1]).select("source", "target", "relation_type", "n_docs")
+    return originality.shared(corpus(spark, sf_dir).edges).select("source", "target", "relation_type", "n_docs")
+
 
+FIRST_OWN = "(SELECT min(docs[1]) FROM nodes WHERE len(docs) = 1)"
 
-@query(with_graph("SELECT node_id, text, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM nodes WHERE len(docs) = 1 AND docs[1] = 1"))
+
+@query(with_graph(f"SELECT node_id, text, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM nodes WHERE len(docs) = 1 AND docs[1] = {FIRST_OWN}"))
 def unique_topics(spark, sf_dir):
-    return originality.unique_to(corpus(spark, sf_dir)[0], F.lit(1).cast("long")).select("node_id", "text", originality.band(F.col("score")).alias("band"))
+    """For the first document that has any."""
+    n = corpus(spark, sf_dir).nodes
+    first = n.where("n_docs = 1").agg(F.min("first_doc")).first()[0]
+    return originality.unique_to(n, F.lit(first)).select("node_id", "text", originality.band(F.col("score")).alias("band"))
 
 
-MAIN = ", inside AS (SELECT node_id FROM nodes WHERE list_contains(docs, 1))"
+MAIN = ", inside AS MATERIALIZED (SELECT node_id FROM nodes WHERE list_contains(docs, 1))"
 
 
-@query(f"WITH {GRAPH}{MAIN} SELECT node_id, text FROM nodes WHERE NOT list_contains(docs, 1) AND node_id NOT IN (SELECT target FROM edges WHERE source IN (SELECT node_id FROM inside) UNION SELECT source FROM edges WHERE target IN (SELECT node_id FROM inside))")
+@query(f"WITH {GRAPH}{MAIN}, near AS (SELECT target AS node_id FROM edges JOIN inside ON source = node_id UNION SELECT source FROM edges JOIN inside ON target = node_id) SELECT n.node_id, text FROM nodes n ANTI JOIN near USING (node_id) WHERE NOT list_contains(docs, 1)")
 def missing_topics(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
-    return originality.missing_topics(n, e, F.lit(1).cast("long")).select("node_id", "text")
+    return originality.missing_topics(corpus(spark, sf_dir, True), F.lit(1)).select("node_id", "text")
 
 
-@query(f"WITH {GRAPH}{MAIN} SELECT source, target, relation_type FROM edges WHERE NOT list_contains(docs, 1) AND source IN (SELECT node_id FROM inside) AND target IN (SELECT node_id FROM inside)")
+@query(f"WITH {GRAPH}{MAIN} SELECT source, target, relation_type FROM edges SEMI JOIN inside a ON source = a.node_id SEMI JOIN inside b ON target = b.node_id WHERE NOT list_contains(docs, 1)")
 def missing_relations(spark, sf_dir):
-    n, e = corpus(spark, sf_dir, True)
-    return originality.missing_relations(n, e, F.lit(1).cast("long")).select("source", "target", "relation_type")
+    return originality.missing_relations(corpus(spark, sf_dir, True), F.lit(1)).select("source", "target", "relation_type")
+
+
+@query(f"WITH {GRAPH}{MAIN}, near AS (SELECT id, sum(n) AS n FROM (SELECT target AS id, len(docs) AS n FROM edges JOIN inside ON source = node_id UNION ALL SELECT source, len(docs) FROM edges JOIN inside ON target = node_id) GROUP BY id) SELECT node_id, text, CASE WHEN coalesce(n, 0) > 0 THEN 'weak' ELSE 'none' END AS evidence FROM nodes LEFT JOIN near ON node_id = id WHERE len(docs) > 1 AND NOT list_contains(docs, 1)")
+def topic_gaps(spark, sf_dir):
+    return originality.topic_gaps(corpus(spark, sf_dir, True), F.lit(1))
 
 
 @query(with_graph("SELECT least(source, target) AS a, greatest(source, target) AS b, sum(n_seen)::BIGINT AS n_seen FROM edges WHERE source <> target AND source IN (SELECT node_id FROM nodes WHERE len(docs) > 1) AND target IN (SELECT node_id FROM nodes WHERE len(docs) > 1) GROUP BY 1, 2 HAVING sum(n_seen) <= 1"))
 def underexplored(spark, sf_dir):
-    return originality.underexplored(*corpus(spark, sf_dir, True))
+    return originality.underexplored(corpus(spark, sf_dir, True))
 
 
 @query(with_graph("SELECT i.w AS idea, i.w AS canonical, CASE WHEN n.canonical IS NULL THEN 'not_found' ELSE 'found' END AS status FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}{5,}')) AS w FROM benchmark) i LEFT JOIN nodes n ON n.canonical = i.w"))
 def idea_check(spark, sf_dir):
     ideas = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{5,})"), 1)).alias("idea")).distinct()
-    return originality.idea_status(ideas, corpus(spark, sf_dir)[0].select("canonical"))
+    return originality.idea_status(ideas, corpus(spark, sf_dir).nodes.select("canonical"))
 
 
 HALF = "(SELECT max(doc_id) / 2 FROM documents)"
@@ -335,7 +369,7 @@ HALF = "(SELECT max(doc_id) / 2 FROM documents)"
 def originality_class(spark, sf_dir):
     half = table(spark, sf_dir, "documents").agg(F.max("doc_id") / 2).first()[0]
     m = merge.keyed(mentions(spark, sf_dir))
-    r = relations(m).select("doc_id", fn.canonical(F.col("head_text")).alias("head"), fn.canonical(F.col("tail_text")).alias("tail"), "relation_type").distinct()
+    r = relations(spark, sf_dir).select("doc_id", fn.canonical(F.col("head_text")).alias("head"), fn.canonical(F.col("tail_text")).alias("tail"), "relation_type").distinct()
     return originality.classify(r.where(F.col("doc_id") >= half), m.where(F.col("doc_id") < half).select("canonical").distinct(), r.where(F.col("doc_id") < half))
 
 
@@ -350,8 +384,9 @@ def author_originality(spark, sf_dir):
 
 @query(r"""WITH t AS (SELECT conv_id, turn, lower(text) AS w FROM conversations), l AS (SELECT DISTINCT conv_id, turn, role FROM conversations),
 a AS (SELECT x.conv_id, x.turn AS a, y.turn AS b FROM l x JOIN l y ON x.conv_id = y.conv_id AND abs(x.turn - y.turn) = 1),
-r1 AS (SELECT l.conv_id, l.turn, md5(l.role || '|' || coalesce((SELECT string_agg(o.role, ',' ORDER BY o.role) FROM a JOIN l o ON o.conv_id = a.conv_id AND o.turn = a.b WHERE a.conv_id = l.conv_id AND a.a = l.turn), '')) AS lab FROM l),
-h AS (SELECT conv_id, lab, count(*) AS n FROM (SELECT conv_id, role AS lab FROM l UNION ALL SELECT conv_id, lab FROM r1) GROUP BY 1, 2),
+r1 AS MATERIALIZED (SELECT l.conv_id, l.turn, md5(l.role || '|' || coalesce((SELECT string_agg(o.role, ',' ORDER BY o.role) FROM a JOIN l o ON o.conv_id = a.conv_id AND o.turn = a.b WHERE a.conv_id = l.conv_id AND a.a = l.turn), '')) AS lab FROM l),
+r2 AS (SELECT r1.conv_id, r1.turn, md5(r1.lab || '|' || coalesce((SELECT string_agg(o.lab, ',' ORDER BY o.lab) FROM a JOIN r1 o ON o.conv_id = a.conv_id AND o.turn = a.b WHERE a.conv_id = r1.conv_id AND a.a = r1.turn), '')) AS lab FROM r1),
+h AS (SELECT conv_id, lab, count(*) AS n FROM (SELECT conv_id, role AS lab FROM l UNION ALL SELECT conv_id, lab FROM r1 UNION ALL SELECT conv_id, lab FROM r2) GROUP BY 1, 2),
 s AS (SELECT conv_id, sqrt(sum(n * n)::DOUBLE) AS z FROM h GROUP BY 1),
 p AS (SELECT conv_id AS left_doc, lead(conv_id) OVER (ORDER BY conv_id) AS right_doc FROM (SELECT DISTINCT conv_id FROM l)),
 d AS (SELECT left_doc, right_doc, sum(x.n * y.n) AS dot FROM p JOIN h x ON x.conv_id = left_doc JOIN h y ON y.conv_id = right_doc AND y.lab = x.lab GROUP BY 1, 2)
@@ -362,7 +397,100 @@ def wl_similarity(spark, sf_dir):
     near = near.join(l.select("doc_id", F.col("node").alias("b")), ["doc_id", "b"], "left_semi")
     ids = l.select("doc_id").distinct()
     nxt = ids.withColumn("right_doc", F.lead("doc_id").over(Window.orderBy("doc_id"))).where("right_doc is not null").withColumnRenamed("doc_id", "left_doc")
-    return graph.wl_similarity(graph.wl_histogram(l, near, 1), nxt)
+    return graph.wl_similarity(graph.wl_histogram(l, near), nxt)
+
+
+@query(f"WITH {GRAPH}, w AS (SELECT doc_id, canonical FROM m WHERE pos = 0) SELECT h.node_id AS source, t.node_id AS target, count(*) AS n_seen, min(a.doc_id) AS first_doc FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 JOIN nodes h ON h.canonical = a.canonical AND h.first_ord <= a.doc_id JOIN nodes t ON t.canonical = b.canonical AND t.first_ord <= a.doc_id GROUP BY 1, 2")
+def asof_edges(spark, sf_dir):
+    """Each document names the first word of the next one: only words that some document had by then resolve."""
+    w = word_rows(spark, sf_dir).where(F.size("w") > 0).select("doc_id", F.col("w")[0].alias("text"))
+    r = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("tail_text")), "doc_id")
+    r = r.select("doc_id", F.col("doc_id").alias("doc_ord"), F.lit(0).alias("segment_ix"), F.lit(0).alias("pos"), F.col("text").alias("head_text"), F.lit("next").alias("relation_type"), "tail_text", F.lit(1.0).alias("score"))
+    nodes = merge.nodes_of(merge.node_observations(mentions(spark, sf_dir)))
+    return merge.edges_of(merge.resolve(merge.edge_observations(r), cut(nodes))).select("source", "target", "n_seen", "first_doc")
+
+
+@query(with_graph("SELECT a AS start, b AS node_id, 1 AS hops FROM (SELECT source AS a, target AS b FROM edges WHERE relation_type = 'broader' UNION SELECT target, source FROM edges WHERE relation_type = 'broader') JOIN starts ON a = node_id WHERE a <> b"))
+def neighbors_typed(spark, sf_dir):
+    n, e = pair(corpus(spark, sf_dir))
+    return graph.neighbours(e, starts(n).withColumnRenamed("node_id", "start"), 1, ["broader"])
+
+
+@query(with_graph("SELECT node_id, text FROM nodes WHERE contains(lower(text), 'tion')"))
+def name_search(spark, sf_dir):
+    return summary.name_search(corpus(spark, sf_dir).nodes, "TION").select("node_id", "text")
+
+
+@query(f"WITH {GRAPH}, b AS MATERIALIZED (SELECT node_id FROM (SELECT node_id, count(*) AS n FROM ends GROUP BY 1) ORDER BY n DESC, node_id LIMIT 10) SELECT source, target, relation_type FROM edges SEMI JOIN b x ON source = x.node_id SEMI JOIN b y ON target = y.node_id")
+def important_edges(spark, sf_dir):
+    e = corpus(spark, sf_dir, True).edges
+    return summary.important_edges(e, summary.degrees(e).withColumnRenamed("degree", "score")).select("source", "target", "relation_type")
+
+
+@query(with_graph("SELECT relation_type, count(*) AS n FROM edges GROUP BY 1"))
+def relation_type_counts(spark, sf_dir):
+    return summary.relation_type_counts(corpus(spark, sf_dir).edges)
+
+
+@query(with_graph(f"SELECT source, target, relation_type FROM edges SEMI JOIN (SELECT node_id FROM nodes WHERE {CLASS} = 'shared' AND contains(lower(text), 'ing')) x ON source = x.node_id SEMI JOIN (SELECT node_id FROM nodes WHERE {CLASS} = 'shared' AND contains(lower(text), 'ing')) y ON target = y.node_id"))
+def subgraph_by_topic(spark, sf_dir):
+    n, e = pair(corpus(spark, sf_dir, True))
+    return summary.sub_graph(summary.with_source_class(n, F.lit(0)), e, "ing", "shared")[1].select("source", "target", "relation_type")
+
+
+@query(with_graph("SELECT node_id AS id, text, coalesce(entity_type, 'unknown') AS entity_type, score::DOUBLE AS score, array_to_string(docs, '|') AS docs, len(docs) < 2 AS unique FROM nodes"))
+def export_nodes(spark, sf_dir):
+    return sinks.node_rows(corpus(spark, sf_dir)).withColumn("docs", joined())
+
+
+@query(with_graph("SELECT source, target, relation_type, score::DOUBLE AS score, n_seen AS count, array_to_string(docs, '|') AS docs, len(docs) < 2 AS unique FROM edges"))
+def export_edges(spark, sf_dir):
+    return sinks.edge_rows(corpus(spark, sf_dir)).withColumn("docs", joined())
+
+
+@query(with_graph(f"SELECT node_id AS id, text AS name, coalesce(entity_type, 'concept') AS type, round(score::DOUBLE * 10, 1) AS importance, {CLASS} AS source, array_to_string(docs, '|') AS documents FROM nodes SEMI JOIN ends USING (node_id)"))
+def result_topics(spark, sf_dir):
+    return sinks.result_topics(corpus(spark, sf_dir, True), F.lit(0)).withColumn("documents", joined("documents"))
+
+
+@query(f"WITH {GRAPH}, o AS (SELECT h.node_id AS source, t.node_id AS target, relation_type, min((doc_id, pos)) AS first_at FROM rel JOIN nodes h ON head = h.canonical JOIN nodes t ON tail = t.canonical GROUP BY ALL) SELECT source || '_' || target || '_' || (row_number() OVER (PARTITION BY source, target ORDER BY first_at, relation_type) - 1) AS id, source, target, relation_type AS relation, round(score::DOUBLE, 2) AS confidence, array_to_string(docs, '|') AS documents FROM edges JOIN o USING (source, target, relation_type)")
+def result_relationships(spark, sf_dir):
+    return sinks.result_relationships(corpus(spark, sf_dir)).withColumn("documents", joined("documents"))
+
+
+@query(f"WITH {GRAPH}, x AS (SELECT 'analysis_' || (d % 7) AS analysis_id, d, node_id, len(docs) AS n FROM (SELECT node_id, docs, unnest(docs) AS d FROM nodes)) SELECT analysis_id, count(DISTINCT node_id) AS topics, count(DISTINCT d) AS \"references\", count(DISTINCT node_id) FILTER (n = 1) AS unique_topics FROM x GROUP BY 1")
+def saved_analyses(spark, sf_dir):
+    g = corpus(spark, sf_dir)
+    rows = g.node_docs.join(g.nodes.select("node_id", "n_docs"), "node_id")
+    return jobs.saved_analyses(rows.select(fn.analysis_id((F.col("doc_id") % 7).cast("string")).alias("analysis_id"), "doc_id", "node_id", "n_docs"))
+
+
+def _eigenvector_sql(rounds: int) -> str:
+    ctes = ["v0 AS (SELECT DISTINCT a AS id, 1.0::DOUBLE AS v FROM both_ways)"]
+    for i in range(rounds):
+        ctes.append(f"u{i} AS (SELECT p.id, p.v + g.got AS v FROM v{i} p JOIN (SELECT a, sum(v) AS got FROM both_ways JOIN v{i} ON b = id GROUP BY a) g ON g.a = p.id)")
+        ctes.append(f"v{i + 1} AS (SELECT id, v / z AS v FROM u{i}, (SELECT sqrt(sum(v * v)) AS z FROM u{i}))")
+    return f"WITH {GRAPH}, " + ", ".join(ctes) + f" SELECT id AS node_id, round(v, 6) AS value FROM v{rounds}"
+
+
+@query(_eigenvector_sql(3))
+def eigenvector_3(spark, sf_dir):
+    return graph.eigenvector(corpus(spark, sf_dir, True).edges, 3).withColumn("value", F.round("value", 6))
+
+
+def document_edges(spark, sf_dir):
+    """(doc_id, source, target): the relations inside each document."""
+    return triples(spark, sf_dir).select("doc_id", fn.topic_key(F.col("source")).alias("source"), fn.topic_key(F.col("target")).alias("target")).distinct()
+
+
+@query()
+def communities(spark, sf_dir):
+    return graph.per_graph(document_edges(spark, sf_dir), "communities").withColumn("value", F.col("value").cast("long"))
+
+
+@query()
+def multi_centrality(spark, sf_dir):
+    return graph.multi_centrality(document_edges(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 # --- functions, structure and topics -------------------------------------------------------------------------------
@@ -489,6 +617,29 @@ def kept_sections(spark, sf_dir):
     return s.select("doc_id", F.col("section_ix").cast("long").alias("section_ix"), F.array_join("headings", ">").alias("path"))
 
 
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END::BIGINT AS section_ix, CASE doc_id % 3 WHEN 0 THEN 'A ' || doc_id WHEN 1 THEN 'In this paper we ' || doc_id ELSE 'plain ' || doc_id || chr(10) || chr(10) || 'more' END AS text FROM documents")
+def abstract_sections(spark, sf_dir):
+    kinds = [F.concat(F.lit(a), F.col("doc_id").cast("string"), F.lit(b)) for a, b in (("Intro words\n\n# 1 Abstract\nA ", "\n# Body\nText"), ("# One\nIn this paper we ", "\n# Two\nmore"), ("# One\nplain ", "\n# Two\nmore"))]
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, kinds[0]).when(F.col("doc_id") % 3 == 1, kinds[1]).otherwise(kinds[2]).alias("content"))
+    return structure.abstracts(structure.sections(structure.markdown_blocks(d))).withColumn("section_ix", F.col("section_ix").cast("long"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS section_ix, 'References' AS path, md5(text) AS digest FROM (SELECT doc_id, 'only ' || doc_id AS text FROM documents)")
+def skip_fallback(spark, sf_dir):
+    """Documents of which the skip list would leave nothing keep all they have."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# References\nonly "), F.col("doc_id").cast("string")).alias("content"))
+    s = structure.without_boilerplate(structure.sections(structure.markdown_blocks(d)), Discovery().skip_headings)
+    return s.select("doc_id", F.col("section_ix").cast("long").alias("section_ix"), F.array_join("headings", ">").alias("path"), F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, i::INTEGER AS ref_ix, '2401.' || lpad(((doc_id + i) % 100000)::VARCHAR, 5, '0') AS source_id FROM documents, range(15) t(i)")
+def cited_limit(spark, sf_dir):
+    """Forty references each, of which the configured number count."""
+    refs = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] arXiv:2401."), F.lpad(((F.col("doc_id") + i) % 100000).cast("string"), 5, "0")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Works Cited\n"), F.array_join(refs, "\n")).alias("content"))
+    return structure.cited_ids(structure.reference_entries(d), "arxiv")
+
+
 REFS = f"""WITH {BUILT_SQL}, e AS (
 SELECT doc_id, 0 AS ref_ix, 'One arXiv:24' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad((doc_id % 50)::VARCHAR, 5, '0') || 'v2 continued doi 10.5555/x' || (doc_id % 30) AS raw_text FROM documents UNION ALL
 SELECT doc_id, 1, 'Two 2301.00001, 2301.00001 and 10.5555/y' FROM documents UNION ALL SELECT doc_id, 2, 'Three http://arxiv.org/abs/2402.0000' || (doc_id % 10) FROM documents)"""
@@ -533,7 +684,7 @@ def top_seeds(spark, sf_dir):
 
 
 def triples(spark, sf_dir):
-    r = relations(mentions(spark, sf_dir))
+    r = relations(spark, sf_dir)
     return r.select("doc_id", F.col("pos").alias("ord"), F.col("head_text").alias("source"), F.col("relation_type").alias("relation"), F.col("tail_text").alias("target"), F.lit("").alias("evidence"))
 
 
@@ -600,5 +751,47 @@ def keywords(spark, sf_dir):
 
 @query()
 def betweenness(spark, sf_dir):
-    r = triples(spark, sf_dir).select("doc_id", fn.topic_key(F.col("source")).alias("source"), fn.topic_key(F.col("target")).alias("target")).distinct()
-    return graph.per_graph(r, "betweenness").withColumn("value", F.round("value", 6))
+    return graph.per_graph(document_edges(spark, sf_dir), "betweenness").withColumn("value", F.round("value", 6))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id < 100")
+def first_documents(spark, sf_dir):
+    return summary.first_documents(table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id")), 100).select("doc_id", "lang")
+
+
+@query("SELECT phase, seconds, round(CASE WHEN total > 0 THEN 100 * seconds / total ELSE 0 END, 1) AS share FROM (SELECT *, sum(seconds) OVER () AS total FROM (SELECT event_type AS phase, round(sum(value), 3) AS seconds FROM events GROUP BY 1))")
+def phase_shares(spark, sf_dir):
+    return sinks.phase_shares(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phase")).agg(F.round(F.sum("value"), 3).alias("seconds")))
+
+
+STEP_SQL = ", ".join(f"({i}, '{k}', '{a}', '{b}', {s}, {d})" for i, (k, a, b, s, d) in enumerate(jobs.STEPS))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT event_type AS topic, NULL AS seed_url, 'quick' AS mode FROM events UNION ALL SELECT DISTINCT NULL, 'https://arxiv.org/abs/' || event_type, 'deep' FROM events),
+s(i, key, quick, deep, of_seed, of_deep) AS (VALUES {STEP_SQL}),
+x AS (SELECT 'analysis_' || lower(translate(coalesce(seed_url, topic), '/: ', '___')) AS id, (row_number() OVER (PARTITION BY coalesce(seed_url, topic) ORDER BY i) - 1)::INTEGER AS ord, key, CASE WHEN mode = 'deep' THEN deep ELSE quick END AS label FROM r, s WHERE (NOT of_seed OR seed_url IS NOT NULL) AND (NOT of_deep OR mode = 'deep'))
+SELECT x.id, x.ord, x.key, label, CASE WHEN x.ord < c.ord THEN 'done' WHEN x.ord = c.ord THEN 'running' ELSE 'pending' END AS status FROM x JOIN (SELECT id, ord FROM x WHERE key = 'extract') c ON c.id = x.id""")
+def analysis_steps(spark, sf_dir):
+    """The steps of an analysis for each type of events, as a topic and as a seed, at its extraction."""
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("t")).distinct()
+    none = F.lit(None).cast("string")
+    requests = kinds.select(F.col("t").alias("topic"), none.alias("seed_url"), F.lit("quick").alias("mode")).union(kinds.select(none, F.concat(F.lit("https://arxiv.org/abs/"), "t"), F.lit("deep")))
+    return jobs.advance(jobs.step_rows(jobs.analysis_rows(requests)), "extract")
+
+
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc_id, 0 AS triple_ix, name AS source, 'report' AS relation, 'missed payments' AS target FROM c WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1, name, 'report to', nation FROM c WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 0, 'loan', 'obtain from', nation FROM c WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 0, name, 'charge', 'late fee' FROM c WHERE doc_id % 3 = 2""")
+def parsed_triples(spark, sf_dir):
+    """A parsed sentence for each customer: `N reported the missed payments to L`, `I obtained a loan from L`, or `N began
+    charging me a late fee`."""
+    who, where, d = F.col("c_name"), F.col("n_name"), F.col("doc_id")
+    tok = lambda i, text, lemma, pos, dep, head, ent="", chunk=None: F.struct(F.lit(i).alias("i"), text.alias("text"), F.lit(lemma).alias("lemma"), F.lit(pos).alias("pos"), F.lit(dep).alias("dep"), F.lit(head).alias("head"), F.lit(ent).alias("ent_type"), (F.lit(chunk) if chunk is None or isinstance(chunk, str) else chunk).cast("string").alias("chunk"))
+    lit = F.lit
+    one = F.array(tok(0, who, "n", "PROPN", "nsubj", 1, "ORG", who), tok(1, lit("reported"), "report", "VERB", "ROOT", 1), tok(2, lit("payments"), "payment", "NOUN", "dobj", 1, "", "the missed payments"), tok(3, lit("to"), "to", "ADP", "prep", 2), tok(4, where, "l", "PROPN", "pobj", 3, "GPE", where))
+    two = F.array(tok(0, lit("I"), "I", "PRON", "nsubj", 1), tok(1, lit("obtained"), "obtain", "VERB", "ROOT", 1), tok(2, lit("loan"), "loan", "NOUN", "dobj", 1, "", "a loan"), tok(3, lit("from"), "from", "ADP", "prep", 1), tok(4, where, "l", "PROPN", "pobj", 3, "GPE", where))
+    three = F.array(tok(0, who, "n", "PROPN", "nsubj", 1, "ORG", who), tok(1, lit("began"), "begin", "VERB", "ROOT", 1), tok(2, lit("charging"), "charge", "VERB", "xcomp", 1), tok(3, lit("me"), "I", "PRON", "dative", 2), tok(4, lit("fee"), "fee", "NOUN", "dobj", 2, "", "a late fee"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("doc_id", F.col("c_custkey"))
+    parsed = c.select("doc_id", F.lit(0).alias("sent_ix"), F.explode(F.when(d % 3 == 0, one).when(d % 3 == 1, two).otherwise(three)).alias("t")).select("doc_id", "sent_ix", "t.*")
+    return extract.triples_from_parses(parsed).select("doc_id", "triple_ix", "source", "relation", "target")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
@@ -56,11 +56,13 @@ class LocalFiles:
     def fetch(self, spark: SparkSession) -> DataFrame:
         pattern = f"{self.folder}/*.{self.kind}"
         if self.kind == "csv":
-            parsed = spark.read.option("header", True).csv(pattern).withColumn("path", F.col("_metadata.file_path"))
+            place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+            parsed = spark.read.option("header", True).csv(pattern).withColumns({"path": F.col("_metadata.file_path"), "__at": place})
             if "text" not in parsed.columns:
                 raise ValueError("a csv source needs a column `text`")
-            rest = [c for c in parsed.columns if c not in ("text", "path")]
-            parsed = parsed.select("path", F.coalesce("text", F.lit("")).alias("content"), (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("metadata"))
+            rest = [c for c in parsed.columns if c not in ("text", "path", "__at")]
+            within_file = F.row_number().over(Window.partitionBy("path").orderBy("__at")) - 1
+            parsed = parsed.select("path", within_file.alias("row"), F.coalesce("text", F.lit("")).alias("content"), (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("metadata"))
         elif self.kind == "pdf":
             raw = spark.read.format("binaryFile").load(pattern).select("path", F.col("content").alias("body"))
             parsed = self.convert(raw)
@@ -71,8 +73,13 @@ class LocalFiles:
             raw = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
             parsed = parse_whole(raw, self.kind)
         stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-        order = F.row_number().over(Window.orderBy("path")) - 1
-        return parsed.select(stem.alias("doc_id"), order.alias("ord"), "content", F.lit(f"local_{self.kind}").alias("source"), "metadata")
+        if self.kind != "csv":
+            parsed = parsed.withColumn("row", F.lit(0))
+        # Files are put in order over their paths and numbers of rows alone, not over their contents.
+        files = parsed.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parsed = parsed.join(files.select("path", before.alias("before")), "path")
+        return parsed.select(stem.alias("doc_id"), (F.col("before") + F.col("row")).cast("int").alias("ord"), "content", F.lit(f"local_{self.kind}").alias("source"), "metadata")
 
     fetch_fulltext = fetch
 
@@ -96,13 +103,38 @@ class StoredPapers:
         return found.orderBy(F.desc(self.SORT[self.sort_by]), "arxiv_id").limit(self.max_results)
 
     def fetch(self, spark: SparkSession | None = None) -> DataFrame:
+        """One document of its summary for each paper found."""
         return as_documents(self.search())
 
+    def fetch_fulltext(self, cache_path: str | None = None, parse=None) -> DataFrame:
+        """One document of its full text for each paper found; papers without one are left out. Texts come from the column
+        fulltext or, with a cache and a parser (a function from papers to (doc_id, content)), from what is parsed and
+        kept there: a text is parsed once."""
+        found = self.search()
+        docs = as_documents(found, "fulltext", "arxiv_fulltext")
+        if cache_path:
+            docs = parse_missing(docs, cache_path, parse or (lambda d: d))
+        return docs.where("content is not null").select(DOCUMENT)
 
-def as_documents(papers: DataFrame) -> DataFrame:
-    """Papers as documents: the summary is the content, all columns the metadata."""
-    order = F.row_number().over(Window.orderBy("arxiv_id")) - 1
-    return papers.select(F.concat(F.lit("arxiv:"), "arxiv_id").alias("doc_id"), order.alias("ord"), F.col("summary").alias("content"), F.lit("arxiv").alias("source"), F.to_json(F.struct(*[c for c in papers.columns if c != "hits"])).alias("metadata"))
+
+def pdf_path(arxiv_id: Column, folder: str) -> Column:
+    """Where a paper's PDF is kept."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), fn.file_id(arxiv_id), F.lit(".pdf"))
+
+
+def to_download(papers: DataFrame, folder: str, have: DataFrame) -> DataFrame:
+    """(arxiv_id, pdf_url, path) of the papers with an address whose file is not among those there are; have: (path).
+    Fetching them is for whatever has a network: the engine has none."""
+    wanted = papers.where("pdf_url is not null and pdf_url <> ''").select("arxiv_id", "pdf_url", pdf_path(F.col("arxiv_id"), folder).alias("path"))
+    return wanted.join(have.select("path"), "path", "left_anti").select("arxiv_id", "pdf_url", "path")
+
+
+def as_documents(papers: DataFrame, content: str = "summary", source: str = "arxiv") -> DataFrame:
+    """Papers as documents: one column is the content, all but the texts the metadata. (A search's papers are few, so their
+    order is numbered in one task, over ids alone.)"""
+    order = papers.select("arxiv_id").withColumn("ord", F.row_number().over(Window.orderBy("arxiv_id")) - 1)
+    rest = [c for c in papers.columns if c not in ("hits", "fulltext")]
+    return papers.join(F.broadcast(order), "arxiv_id").select(F.concat(F.lit("arxiv:"), "arxiv_id").alias("doc_id"), "ord", F.col(content).alias("content"), F.lit(source).alias("source"), F.to_json(F.struct(*rest)).alias("metadata"))
 
 
 class SeedPaper:
@@ -114,17 +146,26 @@ class SeedPaper:
         self.papers, self.seed_url, self.max_references = papers, seed_url, max_references
 
     def fetch(self, spark: SparkSession) -> DataFrame:
+        """The seed and what it cites, all in full text; a paper without one is left out."""
+        return self._documents(spark, F.col("fulltext")).where("content is not null")
+
+    def fetch_abstracts(self, spark: SparkSession) -> DataFrame:
+        """The seed in full text, or its summary where it has none, and the summaries of what it cites."""
+        return self._documents(spark, F.col("summary"))
+
+    def _documents(self, spark: SparkSession, cited_content: Column) -> DataFrame:
         seed_id = spark.range(1).select(fn.arxiv_id_of(F.lit(self.seed_url)).alias("id")).first()["id"]
         if not seed_id:
             raise ValueError(f"no arXiv id in {self.seed_url!r}")
         seed = self.papers.where(F.col("arxiv_id") == seed_id)
-        entries = structure.reference_entries(seed.select(F.col("arxiv_id").alias("doc_id"), F.col("fulltext").alias("content")))
+        text = F.coalesce("fulltext", "summary")
+        entries = structure.reference_entries(seed.select(F.col("arxiv_id").alias("doc_id"), text.alias("content")))
         cited = structure.cited_ids(entries, "arxiv", self.max_references)
         refs = cited.join(self.papers, cited["source_id"] == self.papers["arxiv_id"]).where(F.col("arxiv_id") != seed_id)
-        first = seed.select("arxiv_id", F.col("fulltext").alias("content"), F.lit(-1).alias("ref_ix"))
-        every = first.unionByName(refs.select("arxiv_id", F.col("summary").alias("content"), "ref_ix"))
-        order = F.row_number().over(Window.orderBy("ref_ix", "arxiv_id")) - 1
-        return every.select(F.concat(F.lit("arxiv:"), "arxiv_id").alias("doc_id"), order.alias("ord"), "content", F.lit("arxiv").alias("source"), F.lit("{}").alias("metadata"))
+        first = seed.select("arxiv_id", text.alias("content"), F.lit(-1).alias("ref_ix"), F.lit("arxiv_seed").alias("source"))
+        every = first.unionByName(refs.select("arxiv_id", cited_content.alias("content"), "ref_ix", F.lit("arxiv").alias("source")))
+        order = F.row_number().over(Window.orderBy("ref_ix", "arxiv_id")) - 1  # a seed and at most max_references
+        return every.select(F.concat(F.lit("arxiv:"), "arxiv_id").alias("doc_id"), order.alias("ord"), "content", "source", F.lit("{}").alias("metadata"))
 
 
 def build_source(config: dict, papers: DataFrame | None = None):

@@ -48,7 +48,7 @@ def test_structure(spark):
     assert cumulative[-1]["headings"] == ["A", "B", "C", "References", "Appendix"]
     s = structure.sections(blocks).orderBy("section_ix").collect()
     assert s[1]["text"] == "one\ntwo\n\nthree"
-    assert [r["raw_text"] for r in structure.reference_entries(docs).orderBy("ref_ix").collect()] == ["X y more", "Z 2401.00001", "W", "V", "U 1234. T"]
+    assert [r["raw_text"] for r in structure.reference_entries(docs).orderBy("ref_ix").collect()] == ["X y more [2]. Z 2401.00001", "W", "V", "U 1234. T"]
     assert [r["source_id"] for r in structure.cited_ids(structure.reference_entries(docs)).collect()] == ["2401.00001"]
     only = spark.createDataFrame([(9, 0, "x", ["References"])], "doc_id long, section_ix int, text string, headings array<string>")
     assert structure.without_boilerplate(only, ["references"]).count() == 1
@@ -94,7 +94,8 @@ def test_merge_equals_sequential(spark):
     for _ in range(3):
         rows = mention_rows(rng)
         m = spark.createDataFrame(rows, MENTION).repartition(5)
-        n, e = merge.merge_graph(m, extract.adjacent_relations(m, F.lit("r"), F.lit(0.5)))
+        g = merge.merge_graph(m, extract.adjacent_relations(m, F.lit("r"), F.lit(0.5)))
+        n, e = merge.with_docs(g.nodes, g.node_docs, ["node_id"]), merge.with_docs(g.edges, g.edge_docs, ["source", "target", "relation_type"])
         nodes, edges = sequential_merge(rows)
         assert {r["canonical"]: (r["text"], r["entity_type"], r["score"], set(r["docs"])) for r in n.collect()} == {k: (v[0], v[1], v[2], v[3]) for k, v in nodes.items()}
         key = {r["node_id"]: r["canonical"] for r in n.collect()}
@@ -104,8 +105,8 @@ def test_merge_equals_sequential(spark):
 def test_relation_needs_known_ends(spark):
     m = spark.createDataFrame([(1, 1, 0, 0, "a b", "x", 0.5), (2, 2, 0, 0, "c d", "x", 0.5)], MENTION)
     r = spark.createDataFrame([(1, 1, 0, 0, "a b", "r", "c d", 0.9), (2, 2, 0, 0, "a b", "r", "c d", 0.8)], "doc_id long, doc_ord long, segment_ix int, pos int, head_text string, relation_type string, tail_text string, score double")
-    _, e = merge.merge_graph(m, r)
-    assert [(x["n_seen"], x["docs"]) for x in e.collect()] == [(1, [2])]
+    g = merge.merge_graph(m, r)
+    assert [(x["n_seen"], x["n_docs"], x["first_doc"]) for x in g.edges.collect()] == [(1, 1, 2)] and [x["doc_id"] for x in g.edge_docs.collect()] == [2]
 
 
 def test_alias_leaders_equal_greedy(spark):
@@ -248,13 +249,18 @@ def test_pipeline_and_views(spark, tmp_path):
     assert s["c"]["novelty"] == 0.0 and s["c"]["nodes_in_doc"] == 0
     total = g.corpus_summary.first()
     assert total["total_nodes"] == total["common_nodes"] + total["unique_nodes"] and sum(r["unique_nodes"] for r in s.values()) == total["unique_nodes"]
-    sinks.write_graph_json(g.nodes, g.edges, g.corpus_summary, str(tmp_path / "json"))
+    sinks.write_graph_json(docs, g.graph, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json/nodes")).count() == total["total_nodes"]
-    assert "Corpus graph" in sinks.graph_html(g.nodes, g.edges)
-    r = retrieve.retrieve(g.nodes, g.edges, spark.createDataFrame([("graph",), ("nothing",)], "query string"))
-    assert r.matched.count() >= 0 and retrieve.format_context(r.expanded).count() <= 1
-    ideas = spark.createDataFrame([("zebra",)], "idea string")
-    assert originality.idea_status(ideas, g.nodes).first()["status"] == "not_found"
+    whole = json.loads(spark.read.text(str(tmp_path / "json/graph")).first()["value"])
+    assert len(whole["nodes"]) == total["total_nodes"] and len(whole["edges"]) == total["total_edges"] and whole["summary"]["documents"] == ["a", "b", "c"]
+    assert whole["summary"]["per_document"]["c"]["novelty"] == 0.0 and all(n["unique"] == (len(n["docs"]) < 2) for n in whole["nodes"])
+    page = sinks.graph_html(g.graph, "a")
+    assert "Corpus graph" in page and "<option>b</option>" in page
+    r = retrieve.retrieve(g.graph, spark.createDataFrame([("graph models",), ("nothing",)], "query string"), match_on="text")
+    context = retrieve.format_context(r, g.graph.nodes).collect()
+    assert len(context) == r.matched.select("query").distinct().count() and all(c["context"].startswith("## Relevant Entities\n\n-> **") for c in context)
+    ideas = spark.createDataFrame([("zebra",), ("graph models deep",)], "idea string")
+    assert {x["idea"]: x["status"] for x in originality.idea_status(ideas, g.graph.nodes).collect()} == {"zebra": "not_found", "graph models deep": "partial"}
     with pytest.raises(ValueError):
         build_corpus_graph(docs.limit(0))
     with pytest.raises(ValueError):
@@ -262,15 +268,99 @@ def test_pipeline_and_views(spark, tmp_path):
 
 
 def test_jobs(spark):
-    a, steps = jobs.start(spark, topic="Graph nets")
+    a, steps = jobs.start(spark, topic="Graph nets", mode="deep")
     assert a.first()["id"] == "analysis_graph_nets"
     now = {r["key"]: r["status"] for r in jobs.advance(steps, "segment").collect()}
-    assert now == {"search": "done", "taxonomy": "done", "segment": "running", "extract": "pending", "merge": "pending"}
-    assert {r["status"] for r in jobs.advance(steps, "unknown").collect()} == {"pending"}
+    assert now == {"parse": "done", "taxonomy": "done", "segment": "running", "extract": "pending", "merge": "pending", "done": "pending"}
+    assert {r["status"] for r in jobs.advance(steps, "unknown").collect()} == {"pending"} and {r["status"] for r in jobs.advance(steps, "done").collect()} == {"done"}
+    assert [r["key"] for r in jobs.start(spark, seed_url="x")[1].orderBy("ord").collect()] == ["fetch_seed", "references", "fetch_refs", "taxonomy", "extract", "merge", "done"]
     with pytest.raises(ValueError):
         jobs.start(spark)
 
 
+def paper_table(spark):
+    text = "# Intro\nGraph models learn graph models from data. Data feeds graph models.\n# References\n[1] 2401.00002\n[2] 2401.09999\n"
+    rows = [("2401.00001", "Graph", "about graph models and graph models", text, "2024", "2024", "http://x/1"), ("2401.00002", "Other", "cited graph models", "cited text of graph models", "2023", "2025", "http://x/2"), ("2401.00003", "Third", "no topic", None, "2022", "2022", None)]
+    return spark.createDataFrame(rows, "arxiv_id string, title string, summary string, fulltext string, published string, updated string, pdf_url string")
+
+
+def test_analyses(spark):
+    """Topic and seed runs, quick and deep, to their results; unknown, failed and unfinished ones are errors."""
+    runs = jobs.Analyses(spark, paper_table(spark), config.load({"adaptive": {"score_floor": 0.05}}))
+    deep = runs.start(seed_url="https://arxiv.org/abs/2401.00001", mode="deep")
+    assert deep.status == "completed" and deep.error is None and {s["status"] for s in deep.steps} == {"done"} and deep.progress == 1.0
+    result = runs.result(deep.id)
+    assert [p["id"] for p in result["papers"]] == ["arxiv:2401.00001", "arxiv:2401.00002"] and result["papers"][0]["title"] == "Graph"
+    topics, links = result["topics"].collect(), result["relationships"].collect()
+    assert topics and {t["id"] for t in topics} == {x for r in links for x in (r["source"], r["target"])} and {t["source"] for t in topics} <= {"main", "shared", "reference"}
+    assert len({r["id"] for r in links}) == len(links) and result["stats"]["total_edges"] == len(links)
+    assert runs.subgraph(deep.id, "graph")[0].count() >= 1 and runs.subgraph(deep.id, source="nowhere")[0].count() == 0
+    quick = runs.start(topic="graph models")
+    assert quick.status == "completed" and len(quick.papers) == 2 and runs.status(quick.id) is quick and [s["key"] for s in quick.steps] == ["taxonomy", "extract", "merge", "done"]
+    failed = runs.start(topic="zebra")
+    assert failed.status == "error" and "No papers found" in failed.error
+    with pytest.raises(ValueError):
+        runs.result(failed.id)
+    with pytest.raises(LookupError):
+        runs.status("analysis_none")
+
+
+def test_fulltext(spark, tmp_path):
+    papers = paper_table(spark)
+    source = readers.StoredPapers(papers, "graph no", 10)
+    assert [r["doc_id"] for r in source.fetch_fulltext().orderBy("ord").collect()] == ["arxiv:2401.00001", "arxiv:2401.00002"]
+    parsed = []
+
+    def parse(d):
+        parsed.append(d.count())
+        return d.select("doc_id", F.upper("content").alias("content"))
+
+    for _ in range(2):  # the second time all texts are there but the one that can't be parsed
+        got = source.fetch_fulltext(str(tmp_path / "cache"), parse).orderBy("doc_id").collect()
+        assert len(got) == 2 and got[1]["content"] == "CITED TEXT OF GRAPH MODELS"
+    assert parsed == [3, 1]
+    have = spark.createDataFrame([("pdfs/2401.00001.pdf",)], "path string")
+    assert [r["path"] for r in readers.to_download(papers, "pdfs/", have).collect()] == ["pdfs/2401.00002.pdf"]
+    quick = readers.SeedPaper(papers, "https://arxiv.org/abs/2401.00001").fetch_abstracts(spark).orderBy("ord").collect()
+    assert quick[0]["content"].startswith("# Intro") and quick[1]["content"] == "cited graph models"
+
+
+def test_topics_from_parses(spark):
+    """A parser's triples grow topics from the seeds, and what they reach becomes labels."""
+    docs = spark.createDataFrame([("a", 0, "Payments to banks. Payments to banks matter.")], "doc_id string, ord int, content string")
+
+    def parser(sections):
+        rows = [("a", 0, 0, "Payments", "payment", "NOUN", "nsubj", 1, "", "Payments"), ("a", 0, 1, "reached", "reach", "VERB", "ROOT", 1, "", None), ("a", 0, 2, "Equifax", "Equifax", "PROPN", "dobj", 1, "ORG", "Equifax")]
+        return spark.createDataFrame(rows, "doc_id string, sent_ix int, i int, text string, lemma string, pos string, dep string, head int, ent_type string, chunk string")
+
+    g = build_corpus_graph(docs, config.load({"adaptive": {"score_floor": 0.05}}), parser=parser)
+    assert {(r["src"], r["relation"], r["dst"]) for r in g.topics[1].collect()} == {("payments", "reach", "equifax")}
+    labels = {(r["kind"], r["label"]) for r in g.labels.collect()}
+    assert ("entity", "equifax") in labels and ("relation", "reach") in labels
+    start = g.topics[0].where("depth = 0").select("doc_id", "key", "pos")
+    topic = json.loads(sinks.topic_json(g.topics[0], g.topics[1], start).first()["value"])
+    assert "payments" in topic["seeds"] and topic["edges"][0]["target"] == "equifax"
+
+
+def test_louvain():
+    clique = lambda names: {a: [b for b in names if b != a] for a in names}
+    adj = clique("abcd") | clique("efgh") | clique("ijkl")
+    for x, y in (("d", "e"), ("h", "i")):
+        adj[x].append(y)
+        adj[y].append(x)
+    got = graph.louvain(adj)
+    assert got == {v: float(i) for i, group in enumerate(("abcd", "efgh", "ijkl")) for v in group}
+    ring = {i: [(i - 1) % 30, (i + 1) % 30] for i in range(30)}  # single moves make pairs, whole communities join further
+    assert len(set(graph.louvain(ring).values())) < 10 and graph.louvain({}) == {}
+
+
+def test_multi_centrality(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (2, "x", "y")], "doc_id int, source string, target string")
+    got = {(r["doc_id"], r["node_id"]): r["value"] for r in graph.multi_centrality(e).collect()}
+    assert got[1, "a"] < got[1, "b"] and got[1, "a"] < got[1, "c"] and 0 <= min(got.values()) and max(got.values()) <= 1 + 1e-9
+    assert abs(got[2, "x"]) < 1e-9 and abs(got[2, "y"] - 0.3) < 1e-6  # only the ranks of two differ
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_text("bee")
     (tmp_path / "a.txt").write_text("ay\nay")
@@ -297,8 +387,8 @@ def test_accumulated_equals_rebuild(spark, tmp_path):
     for b in range(3):
         acc.add(m.where(F.col("doc_id") % 3 == b), b)
     acc.add(m.where(F.col("doc_id") % 3 == 1), 1)  # a replayed batch
-    key = lambda df: {(r["node_id"], r["canonical"], r["score"], r["n_mentions"], tuple(r["docs"])) for r in df.collect()}
-    assert key(acc.nodes()) == key(merge.merge_nodes(merge.keyed(m)))
+    key = lambda df: {(r["node_id"], r["canonical"], r["score"], r["n_mentions"], r["n_docs"], r["first_doc"]) for r in df.collect()}
+    assert key(acc.nodes()) == key(merge.nodes_of(merge.node_observations(m)))
     src = str(tmp_path / "in")
     m.write.parquet(src)
     live = AccumulatedGraph(spark, str(tmp_path / "live"))
@@ -309,14 +399,17 @@ def test_accumulated_equals_rebuild(spark, tmp_path):
 def test_accumulated_edges_equal_rebuild(spark, tmp_path):
     m = spark.createDataFrame(mention_rows(random.Random(5)), MENTION)
     relate = lambda df: extract.adjacent_relations(df, F.when(F.col("score") > 0.5, "r").otherwise("s"), F.col("score"))
-    nodes, edges = merge.merge_graph(m, relate(m))
-    key = lambda df: {(r["source"], r["target"], r["relation_type"], r["score"], r["n_seen"], tuple(r["docs"]), r["first_doc"]) for r in df.collect()}
+    whole = merge.merge_graph(m, relate(m))
+    nodes, edges = whole.nodes, whole.edges
+    key = lambda df: {(r["source"], r["target"], r["relation_type"], r["score"], r["n_seen"], r["n_docs"], r["first_doc"]) for r in df.collect()}
     acc = AccumulatedGraph(spark, str(tmp_path / "acc"))
     for b in (2, 0, 1, 0):  # later documents first, and a replayed batch
         part = m.where(F.col("doc_id") % 3 == b)
         acc.add(part, b, relate(part))
     assert key(acc.edges()) == key(edges) and len(key(edges)) > 5
     assert {r["node_id"] for r in acc.nodes().collect()} == {r["node_id"] for r in nodes.collect()}
+    for a, b in ((acc.graph().node_docs, whole.node_docs), (acc.graph().edge_docs, whole.edge_docs)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     src = str(tmp_path / "in")
     m.coalesce(1).write.parquet(src)
     live = AccumulatedGraph(spark, str(tmp_path / "live"))
@@ -325,7 +418,18 @@ def test_accumulated_edges_equal_rebuild(spark, tmp_path):
 
 
 def test_summary_rounding(spark):
-    nodes = spark.createDataFrame([(str(i), [1] if i == 0 else [1, 2]) for i in range(16)], "node_id string, docs array<long>")
-    edges = spark.createDataFrame([], "source string, target string, docs array<long>")
+    rows = [(str(i), 1 if i == 0 else 2, 1) for i in range(16)]
+    nodes = spark.createDataFrame(rows, "node_id string, n_docs long, first_doc long")
+    edges = spark.createDataFrame([], "source string, target string, n_docs long, first_doc long")
+    node_docs = spark.createDataFrame([(i, d) for i, n, _ in rows for d in range(1, n + 1)], "node_id string, doc_id long")
     docs = spark.createDataFrame([(1,), (3,)], "doc_id long")
-    assert {r["doc_id"]: r["novelty"] for r in summary.doc_novelty(docs, nodes, edges).collect()} == {1: 0.063, 3: 0.0}
+    assert {r["doc_id"]: r["novelty"] for r in summary.doc_novelty(docs, merge.Graph(nodes, edges, node_docs, edges)).collect()} == {1: 0.063, 3: 0.0}
+
+
+def test_adjacent_in_row_equals_mentions(spark):
+    """Neighbours made inside a row are those that a window over the mentions finds."""
+    rows = spark.createDataFrame([(1, 1, 0, ["a", "bb", "c"]), (2, 2, 0, ["x"]), (3, 3, 0, [])], "doc_id long, doc_ord long, segment_ix int, w array<string>")
+    m = rows.select("doc_id", "doc_ord", "segment_ix", F.posexplode("w").alias("pos", "text")).withColumn("label", F.lit("l"))
+    kind, score = F.length("text").cast("string"), F.length("next_text").cast("double")
+    one, two = (sorted(map(tuple, x.collect())) for x in (extract.adjacent_in_row(rows, "w", kind, score), extract.adjacent_relations(m, kind, score)))
+    assert one == two and len(one) == 2
