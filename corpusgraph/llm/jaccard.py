@@ -425,3 +425,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Jac
     gone = classes(docs, id_col, text, p).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
     gone = hinted(cut(gone), (p or JaccardParams()).broadcast_rows)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def oracle_sql(p: JaccardParams) -> str:
+    """DuckDB SQL of `classes`: all pairs that share a shingle, and the closure of the links. For small tables."""
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + {p.shingle - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {p.shingle - 2}, least(len(w), 1) + 1))) AS i FROM d)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS MATERIALIZED (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT dx.doc_id AS x, dy.doc_id AS y FROM i JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y JOIN d dx ON dx.r = x JOIN d dy ON dy.r = y
+  WHERE 100 * k >= {p.percent} * (nx.n + ny.n - k) AND dx.doc_id IS NOT NULL AND dy.doc_id IS NOT NULL),
+e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+m AS (SELECT x, min(y) AS root FROM c GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN m ON m.x = doc_id"""

@@ -20,8 +20,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP3 = jaccard.JaccardParams(shingle=3, percent=90, light=3, spread=1.3)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(read_table(spark, sf_dir, "documents"), p=jaccard.JaccardParams(shingle=3, percent=90, light=3, spread=1.3))
+    return jaccard.classes(read_table(spark, sf_dir, "documents"), p=OP3)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filters.oracle_sql(),
         "op2_quality_rules": quality.oracle_sql(),
+        "op3_jaccard_join": jaccard.oracle_sql(OP3),
         "op5_source_mix": mixing.oracle_sql(),
         "op6_sharding": sharding.oracle_sql(),
         "op10_decontaminate": decontaminate.oracle_sql(),

@@ -129,7 +129,7 @@ def page_list(pages: DataFrame) -> DataFrame:
     """The sample list and entries for the hosts of the pages themselves, so that the list grows with the table: from the
     digest of a host it follows whether and when it is blocked, whether that ends, and whether it is allowed again."""
     hosts = pages.select(host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
-    h = hosts.withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 12), 16, 10).cast("long"))
+    h = hosts.withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 7), 16, 10).cast("long"))
     start = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.shiftright("h", 8), F.lit(200)).cast("int"))
     entry = lambda i, kind, verdict, days, removed: F.struct((F.col("h") + 1000 + i).alias("entry_id"), F.lit(kind).alias("kind"), F.col("pattern"), F.lit(verdict).alias("verdict"), F.date_add(start, days).alias("dated"), F.lit(removed).alias("removed"))
     steps = F.array(F.when(F.col("h") % 2 == 0, entry(0, "host", "block", 0, False)), F.when(F.col("h") % 4 == 0, entry(1, "host", "block", 60, True)), F.when(F.col("h") % 3 == 0, entry(2, "domain", "allow", 90, False)))
@@ -147,7 +147,7 @@ def oracle_sql() -> str:
     rows = ", ".join(f"({i}, '{k}', '{x}', '{v}', DATE '{d}', {str(r).lower()})" for i, k, x, v, d, r in SAMPLE_LIST)
     return rf"""
 WITH given(entry_id, kind, pattern, verdict, dated, removed) AS (VALUES {rows}),
-ph AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 12))::BIGINT AS h FROM (
+ph AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS h FROM (
   SELECT DISTINCT regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*[^/?#:@.])', 1) AS pattern FROM pages) WHERE pattern <> ''),
 pd AS (SELECT *, DATE '2024-01-01' + ((h >> 8) % 200)::INTEGER AS starts FROM ph),
 e AS (SELECT * FROM given

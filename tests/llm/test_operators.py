@@ -130,6 +130,8 @@ def test_jaccard(spark, p):
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_classes(rows, p)
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    against_sql(spark.createDataFrame(got), jaccard.oracle_sql(p), documents=pdf)
     kept = jaccard.keep_one(docs, p=p)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {None, *brute_classes(rows, p).values()}
