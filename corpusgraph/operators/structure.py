@@ -16,22 +16,24 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r?\n")).alias("line_ix", "line"))
 
 
-def _path(mode: str) -> Column:
-    """The headings above a line: all so far (cumulative), or those of the levels that still hold (levels)."""
-    seen = F.filter(F.col("seen"), lambda x: x["h"].isNotNull())
+def _path(mode: str, w: Window) -> Column:
+    """The headings above a line, by a window over the document's heading lines: all so far (cumulative; such a path is as long
+    as the list of headings before it), or those of the levels that still hold: of each level the last heading, unless one
+    of a higher level came after it."""
     if mode == "cumulative":
-        return F.transform(seen, lambda x: x["h"])
-    held = F.filter(seen, lambda x, i: ~F.exists(F.slice(seen, i + 2, F.greatest(F.size(seen) - i - 1, F.lit(0))), lambda y: y["v"] <= x["v"]))
-    return F.transform(held, lambda x: x["h"])
+        return F.collect_list("h").over(w)
+    last = [F.last(F.when(F.col("level") == v, F.struct("line_ix", "h")), ignorenulls=True).over(w) for v in range(1, 7)]
+    held = [last[0]] + [F.when(F.coalesce(F.greatest(*[x["line_ix"] for x in last[:v]], F.lit(-1)), F.lit(-1)) < last[v]["line_ix"], last[v]) for v in range(1, 6)]
+    return F.transform(F.filter(F.array(*held), lambda x: x.isNotNull()), lambda x: x["h"])
 
 
 def markdown_blocks(documents: DataFrame, heading_mode: str = "levels") -> DataFrame:
     """(doc_id, block_ix, text, headings): runs of lines between headings and blank lines. A heading may be long-lived,
-    so its path is collected over heading lines only, not over all lines."""
+    so its path is made for heading lines only, not for all lines."""
     w = Window.partitionBy("doc_id").orderBy("line_ix")
     df = lines(documents).withColumn("h", fn.heading_text(F.col("line"))).withColumn("blank", fn.strip(F.col("line")) == "")
     df = df.withColumn("part", F.sum((F.col("h").isNotNull() | F.col("blank")).cast("int")).over(w)).withColumn("h_ix", F.sum(F.col("h").isNotNull().cast("int")).over(w))
-    heads = df.where("h is not null").withColumn("seen", F.collect_list(F.struct("h", fn.heading_level(F.col("line")).alias("v"))).over(w)).select(F.col("doc_id").alias("d"), F.col("h_ix").alias("hx"), _path(heading_mode).alias("headings"))
+    heads = df.where("h is not null").withColumn("level", fn.heading_level(F.col("line"))).select(F.col("doc_id").alias("d"), F.col("h_ix").alias("hx"), _path(heading_mode, w).alias("headings"))
     body = df.where("h is null and not blank").groupBy("doc_id", "part", "h_ix").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_ix", "line"))), lambda x: x["line"]), "\n").alias("text"))
     body = body.join(heads, (F.col("doc_id") == F.col("d")) & (F.col("h_ix") == F.col("hx")), "left")
     ix = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1

@@ -723,10 +723,7 @@ COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (great
 def label_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     labels = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
-    # All labels of the set in one value, as a label filter has them: one row, whatever the number of vectors.
-    one = labels.agg(F.collect_list(F.struct("label", "vector")).alias("labels"))
-    s = e.crossJoin(F.broadcast(one)).select("vec_id", "embedding", F.explode("labels").alias("l"))
-    s = s.select("vec_id", F.col("l.label").alias("label"), fn.cosine(F.col("embedding"), F.col("l.vector")).alias("score"))
+    s = discovery.score_labels(e.select("vec_id", F.col("embedding").alias("vector")), labels, ["vec_id"])
     return discovery.label_top_k(s, ["vec_id"]).withColumn("score", F.round("score", 6))
 
 

@@ -46,6 +46,14 @@ def test_structure(spark):
     assert got[:4] == [("intro", []), ("one\ntwo", ["A", "B"]), ("three", ["A", "B"]), ("four", ["A", "C"])] and got[-1] == ("last", ["Appendix"])
     cumulative = structure.markdown_blocks(docs, "cumulative").orderBy("block_ix").collect()
     assert cumulative[-1]["headings"] == ["A", "B", "C", "References", "Appendix"]
+    rng = random.Random(6)
+    for _ in range(5):  # paths by level against a stack
+        heads, path, want = [(rng.randrange(1, 7), f"h{i}") for i in range(12)], [], []
+        for level, h in heads:
+            path = [x for x in path if x[0] < level] + [(level, h)]
+            want.append([x[1] for x in path])
+        made = spark.createDataFrame([(1, "\n".join("#" * v + f" {h}\ntext" for v, h in heads))], "doc_id long, content string")
+        assert [r["headings"] for r in structure.markdown_blocks(made).orderBy("block_ix").collect()] == want
     s = structure.sections(blocks).orderBy("section_ix").collect()
     assert s[1]["text"] == "one\ntwo\n\nthree"
     assert [r["raw_text"] for r in structure.reference_entries(docs).orderBy("ref_ix").collect()] == ["X y more [2]. Z 2401.00001", "W", "V", "U 1234. T"]
