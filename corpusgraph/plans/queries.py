@@ -518,9 +518,15 @@ def token_subset_pairs(spark, sf_dir):
     return merge.contained_pairs(part_keys(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {KEYS}, o AS MATERIALIZED (SELECT c, string_split(c, ' ') AS t, row_number() OVER (ORDER BY substr(md5(c), 1, 12), c) AS i FROM k),
+r AS (SELECT 0::BIGINT AS i, '' AS c, '' AS leader, []::VARCHAR[] AS leaders UNION ALL
+  SELECT i, c, coalesce(f, c), CASE WHEN f IS NULL THEN list_append(leaders, c) ELSE leaders END FROM (
+    SELECT o.i, o.c, r.leaders, list_filter(r.leaders, lambda x: list_has_all(string_split(x, ' '), o.t) OR list_has_all(o.t, string_split(x, ' ')))[1] AS f FROM r JOIN o ON o.i = r.i + 1))
+SELECT c AS canonical, leader FROM r WHERE i > 0""")
 def alias_leaders(spark, sf_dir):
-    k = part_keys(spark, sf_dir).select("canonical", F.xxhash64("canonical").alias("doc_ord"), F.lit(0).alias("segment_ix"), F.lit(0).alias("pos"))
+    """In the order of the keys' digests, as the table has none."""
+    at = F.conv(F.substring(F.md5("canonical"), 1, 12), 16, 10).cast("long")
+    k = part_keys(spark, sf_dir).select("canonical", at.alias("doc_ord"), F.lit(0).alias("segment_ix"), F.lit(0).alias("pos"))
     return merge.alias_leaders(k)
 
 
@@ -706,12 +712,33 @@ def topics(spark, sf_dir):
     return discovery.expand_topics(cut(s), cut(t), c.max_depth, c.max_relations)
 
 
-@query()
+def _topics_sql() -> str:
+    """Two levels of expansion, written out; keys are single words, so touching is being equal."""
+    c = Discovery()
+    seeds = f"seed AS MATERIALIZED (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord, key) AS pos FROM u QUALIFY pos <= {c.max_seeds})"
+    triples = "t AS MATERIALIZED (SELECT doc_id, head AS src, tail AS dst, min(pos) AS ord FROM rel WHERE tail IS NOT NULL AND head <> tail GROUP BY doc_id, head, tail, relation_type)"
+    ctes, had, known = [seeds, triples, "front0 AS (SELECT doc_id, key, pos FROM seed)"], "SELECT doc_id, ord FROM t WHERE false", "SELECT doc_id, key FROM seed"
+    for d in range(c.max_depth):
+        ctes += [
+            f"had{d} AS MATERIALIZED ({had})",
+            f"cand{d} AS (SELECT t.doc_id, t.ord, min(f.pos) AS p FROM t JOIN front{d} f ON f.doc_id = t.doc_id AND f.key IN (t.src, t.dst) ANTI JOIN had{d} h ON h.doc_id = t.doc_id AND h.ord = t.ord GROUP BY ALL)",
+            f"n{d} AS (SELECT doc_id, count(*) AS n FROM had{d} GROUP BY 1)",
+            f"lev{d} AS MATERIALIZED (SELECT * FROM (SELECT x.*, coalesce(count(*) OVER (PARTITION BY x.doc_id ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(n, 0) AS before FROM cand{d} x LEFT JOIN n{d} ON n{d}.doc_id = x.doc_id) WHERE before < {c.max_relations})",
+            f"end{d} AS (SELECT doc_id, key, min((p, ord, side)) AS place FROM (SELECT l.doc_id, l.p, l.ord, unnest([src, dst]) AS key, unnest([0, 1]) AS side FROM lev{d} l JOIN t ON t.doc_id = l.doc_id AND t.ord = l.ord) GROUP BY ALL)",
+            f"known{d} AS MATERIALIZED ({known})",
+            f"front{d + 1} AS MATERIALIZED (SELECT e.doc_id, e.key, row_number() OVER (PARTITION BY e.doc_id ORDER BY place, e.key) AS pos FROM end{d} e ANTI JOIN known{d} k ON k.doc_id = e.doc_id AND k.key = e.key)",
+        ]
+        had, known = f"SELECT doc_id, ord FROM had{d} UNION ALL SELECT doc_id, ord FROM lev{d}", f"SELECT * FROM known{d} UNION ALL SELECT doc_id, key FROM front{d + 1}"
+    every = " UNION ALL ".join(f"SELECT doc_id, key, {d} AS depth, pos::INTEGER AS pos FROM front{d}" for d in range(c.max_depth + 1))
+    return f"WITH {GRAPH}, {SEEDS}, {', '.join(ctes)}, topic AS ({every})"
+
+
+@query(_topics_sql() + " SELECT * FROM topic")
 def topic_bfs(spark, sf_dir):
     return topics(spark, sf_dir)[0]
 
 
-@query()
+@query(_topics_sql() + " SELECT doc_id, depth, count(*) AS n_topics FROM topic GROUP BY 1, 2")
 def depth_histogram(spark, sf_dir):
     return topics(spark, sf_dir)[0].groupBy("doc_id", "depth").agg(F.count(F.lit(1)).alias("n_topics"))
 
@@ -738,7 +765,22 @@ def segments(spark, sf_dir):
     return segment.segments(b, 128, 16).withColumn("headings", F.array_join("headings", ">"))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in extract.STOP_WORDS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {WORDS.replace('T', 'text')} AS w FROM documents),
+t AS (SELECT doc_id, pos, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM (SELECT doc_id, unnest(a) AS tok, unnest(range(len(a))) AS pos FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(array_to_string(w[1:250], ' ')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS a FROM d))),
+g AS (SELECT *, tok NOT IN ({_STOPS}) AND length(tok) > 2 AS ok, nxt IS NOT NULL AND nxt NOT IN ({_STOPS}) AND length(nxt) > 2 AS ok2 FROM t),
+f AS (SELECT doc_id, keyword, count(*) AS n, min(pos) AS first_pos FROM (SELECT doc_id, tok AS keyword, pos FROM g WHERE ok UNION ALL SELECT doc_id, tok || ' ' || nxt, pos FROM g WHERE ok AND ok2) GROUP BY 1, 2),
+s AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS score FROM f),
+b AS (SELECT doc_id, greatest(2, least(20, est)) AS hi, greatest(greatest(2, least(20, est)), least(25, est)) AS pool FROM (SELECT doc_id, round_even(least(len(w), 250) / 40, 0)::INTEGER AS est FROM d)),
+c AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first_pos, keyword) AS rank FROM s WHERE score >= 0.05),
+p AS MATERIALIZED (SELECT c.*, hi, count(*) OVER (PARTITION BY c.doc_id) AS n_all FROM c JOIN b USING (doc_id) WHERE rank <= pool),
+w AS (SELECT doc_id, rank, score, min(rank) OVER x AS r0, count(*) OVER x AS m, first_value(score) OVER (PARTITION BY doc_id ORDER BY rank) AS top, last_value(score) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS low FROM p WHERE rank BETWEEN 2 AND hi WINDOW x AS (PARTITION BY doc_id)),
+q AS (SELECT doc_id, m, row_number() OVER (PARTITION BY doc_id ORDER BY (top - (top - low) * (rank - r0) / greatest(m - 1, 1)) - score DESC, rank) AS nth, rank - r0 + 1 AS knee FROM w),
+k AS (SELECT DISTINCT p.doc_id, CASE WHEN n_all <= 2 THEN n_all WHEN coalesce(m, 0) < 2 THEN 2 ELSE least(greatest(2 + knee - 1, 2), hi) END AS k FROM p LEFT JOIN (SELECT * FROM q WHERE nth = 1) q USING (doc_id))
+SELECT doc_id, keyword, round(score, 6) AS score, rank::INTEGER AS rank FROM p JOIN k USING (doc_id) WHERE rank <= k""")
 def keywords(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = d.select("doc_id", F.least(fn.token_count(F.col("text")), F.lit(250)).alias("n_words"))
