@@ -33,6 +33,11 @@ def token_subset(short: Column, long: Column) -> Column:
     return F.size(F.array_except(words(short), words(long))) == 0
 
 
+def touches(a: Column, b: Column) -> Column:
+    """Whether two texts share a token."""
+    return F.arrays_overlap(words(a), words(b))
+
+
 def entity_id(text: Column, kind: Column) -> Column:
     return F.substring(F.md5(F.concat(kind, F.lit(":"), F.lower(strip(text)))), 1, 12)
 
@@ -84,6 +89,11 @@ def token_budget(max_tokens: int, model_max: int = 1024, reserve: int = 8) -> in
     return max(1, min(max_tokens, model_max) - reserve)
 
 
+def heading_prefix_tokens(headings: Column) -> Column:
+    """Tokens that a heading path takes at the head of a segment."""
+    return F.when(F.size(headings) > 0, token_count(F.array_join(headings, "\n"))).otherwise(F.lit(0))
+
+
 def is_reference_heading(heading: Column) -> Column:
     return F.lower(strip(heading)).isin(*REFERENCE_HEADINGS)
 

@@ -53,6 +53,18 @@ def adaptive_keywords(candidates: DataFrame, n_words: DataFrame, by: list[str],
     return c.join(k.select(*by, "k"), by).where("rank <= k").select(*by, "keyword", "score", "rank")
 
 
+def parse_structured(responses: DataFrame, schema: str, column: str = "response") -> DataFrame:
+    """Answers of a language model as rows of a schema: (…, response) -> with `parsed`, null where the answer is no such JSON."""
+    return responses.withColumn("parsed", F.from_json(F.col(column), schema))
+
+
+def dependency_edges(parsed: DataFrame) -> DataFrame:
+    """(doc_id, source, target, dep): from each token's head to the token, lower-cased; punctuation and roots make none."""
+    t = parsed.where("pos not in ('PUNCT', 'SPACE')")
+    heads = t.select("doc_id", "sent_ix", F.col("i").alias("head"), F.lower("text").alias("source"))
+    return t.where("dep <> 'ROOT'").join(heads, ["doc_id", "sent_ix", "head"]).select("doc_id", "source", F.lower("text").alias("target"), "dep")
+
+
 def triples_from_parses(parsed: DataFrame) -> DataFrame:
     """Subject-verb-object rules over parsed tokens (doc_id, sent_ix, i, text, lemma, pos, dep, head, ent_type, chunk).
 

@@ -16,7 +16,7 @@ from corpusgraph.operators import discovery, extract, graph, merge, originality,
 from corpusgraph.operators.state import cut
 from corpusgraph.plans.config import Discovery
 from corpusgraph.plans import jobs
-from corpusgraph.sources import sinks
+from corpusgraph.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -533,7 +533,8 @@ def alias_leaders(spark, sf_dir):
 @query("WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part) SELECT a.c AS a, b.c AS b FROM k a, k b WHERE a.c < b.c AND list_has_any(string_split(a.c, ' '), string_split(b.c, ' '))")
 def touches_pairs(spark, sf_dir):
     k = table(spark, sf_dir, "part").select(F.lower("p_name").alias("c")).distinct().select("c", F.explode(fn.words(F.col("c"))).alias("token")).distinct()
-    return k.toDF("a", "token").join(k.toDF("b", "token"), "token").where("a < b").select("a", "b").distinct()
+    pairs = k.toDF("a", "token").join(k.toDF("b", "token"), "token").where("a < b").select("a", "b").distinct()
+    return pairs.where(fn.touches(F.col("a"), F.col("b")))
 
 
 @query(r"SELECT doc_id, len(s)::INTEGER AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0) AS s FROM documents)")
@@ -565,9 +566,17 @@ def names_and_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", fn.analysis_id(name).alias("analysis_id"), fn.file_id(name).alias("file_id"), fn.iso_time(F.col("ts")).alias("at"), fn.percent(F.col("user_id") % 7, F.lit(7)).alias("share"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.text') AS text, len(json_keys(props))::INTEGER AS n_keys FROM events")
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.text'), '') AS content, len(list_filter(json_keys(props), lambda k: k <> 'text'))::INTEGER AS n_metadata FROM events")
 def json_docs(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.text").alias("text"), F.size(F.json_object_keys("props")).alias("n_keys"))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("props").alias("value"))
+    return readers.parse_whole(raw, "json").select(F.col("path").alias("event_id"), "content", F.size(F.json_object_keys("metadata")).alias("n_metadata"))
+
+
+@query("SELECT event_id, json_type(props) = 'OBJECT' AS parsed, json_extract_string(props, '$.k') AS k FROM events")
+def structured_answers(spark, sf_dir):
+    """The events' JSON as answers of a schema."""
+    out = extract.parse_structured(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("response")), "k string")
+    return out.select("event_id", F.col("parsed").isNotNull().alias("parsed"), F.col("parsed.k").alias("k"))
 
 
 BUILT_SQL = """built AS (SELECT doc_id, 'Preface' || chr(10) || chr(10) || '# Part one' || chr(10) || '## Introduction' || chr(10) || text || chr(10) || chr(10) || '## Results' || chr(10) || 'See 10.1234/abc.' || doc_id || ' and more' || chr(10) || '# References' || chr(10)
@@ -646,6 +655,12 @@ def cited_limit(spark, sf_dir):
     return structure.cited_ids(structure.reference_entries(d), "arxiv")
 
 
+@query(f"{SECTIONS_SQL} SELECT doc_id, ix::BIGINT AS section_ix, len(list_filter(regexp_split_to_array(replace(path, '>', chr(10)), '\\s+'), lambda w: w <> ''))::INTEGER AS prefix_tokens FROM s")
+def heading_tokens(spark, sf_dir):
+    s = structure.sections(structure.markdown_blocks(built(spark, sf_dir)))
+    return s.select("doc_id", F.col("section_ix").cast("long").alias("section_ix"), fn.heading_prefix_tokens(F.col("headings")).alias("prefix_tokens"))
+
+
 REFS = f"""WITH {BUILT_SQL}, e AS (
 SELECT doc_id, 0 AS ref_ix, 'One arXiv:24' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad((doc_id % 50)::VARCHAR, 5, '0') || 'v2 continued doi 10.5555/x' || (doc_id % 30) AS raw_text FROM documents UNION ALL
 SELECT doc_id, 1, 'Two 2301.00001, 2301.00001 and 10.5555/y' FROM documents UNION ALL SELECT doc_id, 2, 'Three http://arxiv.org/abs/2402.0000' || (doc_id % 10) FROM documents)"""
@@ -716,7 +731,7 @@ def _topics_sql() -> str:
     """Two levels of expansion, written out; keys are single words, so touching is being equal."""
     c = Discovery()
     seeds = f"seed AS MATERIALIZED (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord, key) AS pos FROM u QUALIFY pos <= {c.max_seeds})"
-    triples = "t AS MATERIALIZED (SELECT doc_id, head AS src, tail AS dst, min(pos) AS ord FROM rel WHERE tail IS NOT NULL AND head <> tail GROUP BY doc_id, head, tail, relation_type)"
+    triples = "t AS MATERIALIZED (SELECT doc_id, head AS src, tail AS dst, relation_type AS relation, min(pos) AS ord FROM rel WHERE tail IS NOT NULL AND head <> tail GROUP BY doc_id, head, tail, relation_type)"
     ctes, had, known = [seeds, triples, "front0 AS (SELECT doc_id, key, pos FROM seed)"], "SELECT doc_id, ord FROM t WHERE false", "SELECT doc_id, key FROM seed"
     for d in range(c.max_depth):
         ctes += [
@@ -733,6 +748,14 @@ def _topics_sql() -> str:
     return f"WITH {GRAPH}, {SEEDS}, {', '.join(ctes)}, topic AS ({every})"
 
 
+_LEVELS = " UNION ALL ".join(f"SELECT t.doc_id, src, dst, relation, t.ord, {d} AS depth FROM lev{d} l JOIN t ON t.doc_id = l.doc_id AND t.ord = l.ord" for d in range(Discovery().max_depth))
+
+
+@query(f"{_topics_sql()} {_LEVELS}")
+def topic_edges(spark, sf_dir):
+    return topics(spark, sf_dir)[1]
+
+
 @query(_topics_sql() + " SELECT * FROM topic")
 def topic_bfs(spark, sf_dir):
     return topics(spark, sf_dir)[0]
@@ -818,11 +841,7 @@ def analysis_steps(spark, sf_dir):
     return jobs.advance(jobs.step_rows(jobs.analysis_rows(requests)), "extract")
 
 
-@query("""WITH c AS (SELECT c_custkey AS doc_id, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT doc_id, 0 AS triple_ix, name AS source, 'report' AS relation, 'missed payments' AS target FROM c WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1, name, 'report to', nation FROM c WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id, 0, 'loan', 'obtain from', nation FROM c WHERE doc_id % 3 = 1
-UNION ALL SELECT doc_id, 0, name, 'charge', 'late fee' FROM c WHERE doc_id % 3 = 2""")
-def parsed_triples(spark, sf_dir):
+def parses(spark, sf_dir):
     """A parsed sentence for each customer: `N reported the missed payments to L`, `I obtained a loan from L`, or `N began
     charging me a late fee`."""
     who, where, d = F.col("c_name"), F.col("n_name"), F.col("doc_id")
@@ -832,5 +851,18 @@ def parsed_triples(spark, sf_dir):
     two = F.array(tok(0, lit("I"), "I", "PRON", "nsubj", 1), tok(1, lit("obtained"), "obtain", "VERB", "ROOT", 1), tok(2, lit("loan"), "loan", "NOUN", "dobj", 1, "", "a loan"), tok(3, lit("from"), "from", "ADP", "prep", 1), tok(4, where, "l", "PROPN", "pobj", 3, "GPE", where))
     three = F.array(tok(0, who, "n", "PROPN", "nsubj", 1, "ORG", who), tok(1, lit("began"), "begin", "VERB", "ROOT", 1), tok(2, lit("charging"), "charge", "VERB", "xcomp", 1), tok(3, lit("me"), "I", "PRON", "dative", 2), tok(4, lit("fee"), "fee", "NOUN", "dobj", 2, "", "a late fee"))
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("doc_id", F.col("c_custkey"))
-    parsed = c.select("doc_id", F.lit(0).alias("sent_ix"), F.explode(F.when(d % 3 == 0, one).when(d % 3 == 1, two).otherwise(three)).alias("t")).select("doc_id", "sent_ix", "t.*")
-    return extract.triples_from_parses(parsed).select("doc_id", "triple_ix", "source", "relation", "target")
+    return c.select("doc_id", F.lit(0).alias("sent_ix"), F.explode(F.when(d % 3 == 0, one).when(d % 3 == 1, two).otherwise(three)).alias("t")).select("doc_id", "sent_ix", "t.*")
+
+
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc_id, 0 AS triple_ix, name AS source, 'report' AS relation, 'missed payments' AS target FROM c WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1, name, 'report to', nation FROM c WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 0, 'loan', 'obtain from', nation FROM c WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 0, name, 'charge', 'late fee' FROM c WHERE doc_id % 3 = 2""")
+def parsed_triples(spark, sf_dir):
+    return extract.triples_from_parses(parses(spark, sf_dir)).select("doc_id", "triple_ix", "source", "relation", "target")
+
+
+@query("SELECT dep, sum(n)::BIGINT AS n FROM (SELECT unnest(CASE c_custkey % 3 WHEN 0 THEN ['nsubj', 'dobj', 'prep', 'pobj'] WHEN 1 THEN ['nsubj', 'dobj', 'prep', 'pobj'] ELSE ['nsubj', 'xcomp', 'dative', 'dobj'] END) AS dep, 1 AS n FROM customer) GROUP BY 1")
+def dependency_counts(spark, sf_dir):
+    """How often each dependency stands in the dependency graphs of the parsed sentences."""
+    return summary.relation_type_counts(extract.dependency_edges(parses(spark, sf_dir)).withColumnRenamed("dep", "relation_type")).withColumnRenamed("relation_type", "dep")

@@ -3,8 +3,12 @@ documents(doc_id, ord, content, source, metadata) where metadata is JSON text.""
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,9 @@ from corpusgraph.functions import text as fn
 from corpusgraph.operators import structure
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class SourceCapabilities:
     can_search: bool = False
@@ -21,6 +28,14 @@ class SourceCapabilities:
     reference_format: str | None = None
 
 
+class DataSource(Protocol):
+    """What every source is: it says what it can do, and gives documents."""
+
+    capabilities: SourceCapabilities
+
+    def fetch(self, spark: SparkSession) -> DataFrame: ...
+
+
 DOCUMENT = ["doc_id", "ord", "content", "source", "metadata"]
 
 
@@ -41,6 +56,35 @@ def without_text(column: str):
 PARSERS = {"txt": True, "md": True, "json": True, "csv": False, "pdf": False}
 
 
+_built: dict = {}
+
+
+def once(make: Callable):
+    """What make builds, built once in a worker process and then reused."""
+    key = f"{make.__module__}.{make.__qualname__}"
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def convert_with(make: Callable) -> Callable[[DataFrame], DataFrame]:
+    """A converter for LocalFiles of (path, body): make builds, once in a worker, a function from bytes to (text, pages). A file
+    that it can't convert is left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        convert = once(make)
+        for pdf in frames:
+            rows = []
+            for path, body in zip(pdf["path"], pdf["body"], strict=True):
+                try:
+                    rows.append((path, *convert(bytes(body))))
+                except Exception as e:  # noqa: BLE001 - one broken file does not stop the others
+                    log.warning("not converted: %s: %s", path, e)
+            yield pd.DataFrame(rows, columns=["path", "content", "n_pages"])
+
+    return lambda raw: raw.mapInPandas(run, "path string, content string, n_pages int")
+
+
 class LocalFiles:
     """Files `*.kind` of a folder, not below it, in order of path; the id is the file's stem."""
 

@@ -333,6 +333,33 @@ def test_fulltext(spark, tmp_path):
     assert quick[0]["content"].startswith("# Intro") and quick[1]["content"] == "cited graph models"
 
 
+def make_reader():
+    made.append(1)
+    return lambda body: (body.decode(), body.count(b"page"))
+
+
+made: list = []
+
+
+def test_converters(spark, tmp_path):
+    """A converter is built once, files beyond the page limit and broken ones are left out."""
+    for name, body in (("a", b"page one page two"), ("b", b"page " * 9), ("c", b"\xff\xfe")):
+        (tmp_path / f"{name}.pdf").write_bytes(body)
+    source = readers.LocalFiles(str(tmp_path), "pdf", 5, readers.convert_with(make_reader))
+    assert [(r["doc_id"], r["content"]) for r in source.fetch(spark).collect()] == [("a", "page one page two")]
+    assert readers.once(make_reader) is readers.once(make_reader) and made == [1]
+    with pytest.raises(ValueError):
+        readers.LocalFiles(str(tmp_path), "pdf")
+
+
+def test_reports(spark):
+    phases = spark.createDataFrame([("parse", 1.0), ("merge", 3.0)], "phase string, seconds double")
+    report = json.loads(sinks.timing_report(phases, {"cpus": 8}, spark.range(1).withColumn("total_nodes", F.lit(5))).first()["value"])
+    assert report["phases"][0] == {"phase": "merge", "seconds": 3.0, "share": 75.0} and report["environment"] == {"cpus": "8"} and report["summary"]["total_nodes"] == 5
+    answers = spark.createDataFrame([(1, '{"name": "x"}'), (2, "no json")], "id int, response string")
+    assert [r["parsed"] and r["parsed"]["name"] for r in extract.parse_structured(answers, "name string").orderBy("id").collect()] == ["x", None]
+
+
 def test_topics_from_parses(spark):
     """A parser's triples grow topics from the seeds, and what they reach becomes labels."""
     docs = spark.createDataFrame([("a", 0, "Payments to banks. Payments to banks matter.")], "doc_id string, ord int, content string")
