@@ -110,7 +110,9 @@ def triples_from_parses(parsed: DataFrame) -> DataFrame:
 
 def lexicon_mentions(segments: DataFrame, labels: DataFrame, floor: float = 0.5) -> DataFrame:
     """Entity mentions (doc_id, segment_ix, pos, text, label, score): labels of a document's taxonomy found as word
-    sequences. segments (doc_id, segment_ix, text); labels (doc_id, label). The score is a fixed formula of the length."""
+    sequences. segments (doc_id, segment_ix, text); labels (doc_id, label), or for each segment its own (doc_id, segment_ix,
+    label). The score is a fixed formula of the length."""
+    by = [c for c in ("doc_id", "segment_ix") if c in labels.columns]
     t = tokens(segments, ["doc_id", "segment_ix"])
     lab = labels.where(F.col("label") != "").withColumn("words", F.split(F.lower("label"), "[_ ]+")).withColumn("n", F.size("words"))
     lens = sorted(r[0] for r in lab.select("n").distinct().collect())  # lengths of labels: a few numbers
@@ -118,7 +120,7 @@ def lexicon_mentions(segments: DataFrame, labels: DataFrame, floor: float = 0.5)
     for n in lens or [1]:
         w = Window.partitionBy("doc_id", "segment_ix").orderBy("pos")
         gram = t.select("doc_id", "segment_ix", "pos", F.concat_ws(" ", "token", *[F.lead("token", k).over(w) for k in range(1, n)]).alias("text"))
-        hit = gram.join(lab.where(F.col("n") == n).select("doc_id", "label", F.array_join("words", " ").alias("text")).distinct(), ["doc_id", "text"])
+        hit = gram.join(lab.where(F.col("n") == n).select(*by, "label", F.array_join("words", " ").alias("text")).distinct(), [*by, "text"])
         hit = hit.select("doc_id", "segment_ix", "pos", "text", "label", F.lit(round(1 - 0.5 / (n + 1), 6)).alias("score"))
         out = hit if out is None else out.union(hit)
     return out.where(F.col("score") >= floor)
@@ -138,3 +140,12 @@ def adjacent_relations(mentions: DataFrame, kind: Column, score: Column) -> Data
     m = mentions.withColumns({"next_text": F.lead("text").over(w), "next_label": F.lead("label").over(w)}).where("next_text is not null")
     keep = [c for c in ("doc_id", "doc_ord", "segment_ix", "pos") if c in m.columns]
     return m.select(*keep, F.col("text").alias("head_text"), kind.alias("relation_type"), F.col("next_text").alias("tail_text"), score.alias("score"))
+
+
+def hashed_vectors(df: DataFrame, by: list[str], text: str = "text", size: int = 64) -> DataFrame:
+    """(by, vector): counts of words hashed to `size` places, of length one. Texts without words have no row."""
+    slot = F.pmod(F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("long"), F.lit(size)).cast("int")
+    c = tokens(df, by, text).groupBy(*by, slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    c = c.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    return c.select(*by, raw.alias("raw")).select(*by, F.transform("raw", lambda x: x / fn.norm(F.col("raw"))).alias("vector"))

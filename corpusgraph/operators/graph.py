@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.order import running
 from corpusgraph.operators.state import cut
 
 
@@ -104,12 +105,12 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rank_sum(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sum over the columns of the descending average rank. A column's ranks come from counts of its values."""
+    """Sum over the columns of the descending average rank. A column's ranks come from running counts of its values."""
     out = df.withColumn("rank_sum", F.lit(0.0))
     for c in columns:
         n = df.groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(F.desc("__v")))
-        ranks = n.select("__v", (upto - (F.col("__n") - 1) / 2).alias("__r"))
+        n = running(n, [F.desc("__v")], {"__above": F.col("__n")})
+        ranks = n.select("__v", (F.col("__above") + (F.col("__n") + 1) / 2).alias("__r"))
         out = out.join(ranks, F.col(c) == F.col("__v")).withColumn("rank_sum", F.col("rank_sum") + F.col("__r")).drop("__v", "__r")
     return out
 

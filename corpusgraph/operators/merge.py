@@ -38,21 +38,23 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("canonical", fn.canonical(F.col("text"))).where("canonical <> ''")
 
 
-def node_observations(mentions: DataFrame, key: str = "canonical") -> DataFrame:
-    """(canonical, doc_id, first, at, best, score, n_mentions): one row for each key of a document."""
+def node_observations(mentions: DataFrame, key: str = "canonical", best: bool = True) -> DataFrame:
+    """(canonical, doc_id, first, best, score, n_mentions): one row for each key of a document. `first` has the order, text and
+    label of the first mention, `best` those of the one with the highest score, where that is wanted."""
     m = mentions if key in mentions.columns else keyed(mentions)
-    best = F.max(F.struct("score", (-F.col("doc_ord")).alias("o"), (-F.col("segment_ix")).alias("s"), (-F.col("pos")).alias("p"), "label"))
-    return m.groupBy(F.col(key).alias("canonical"), "doc_id").agg(F.min_by(F.struct("text", "label"), order()).alias("first"), F.min(order()).alias("at"), best.alias("best"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"))
+    top = F.max(F.struct("score", (-F.col("doc_ord")).alias("o"), (-F.col("segment_ix")).alias("s"), (-F.col("pos")).alias("p"), "label"))
+    first = F.min(F.struct("doc_ord", "segment_ix", "pos", "text", "label"))
+    return m.groupBy(F.col(key).alias("canonical"), "doc_id").agg(first.alias("first"), *([top.alias("best")] if best else []), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_mentions"))
 
 
 def nodes_of(observations: DataFrame, type_policy: str = "first") -> DataFrame:
     """One node for each key. The first mention gives text and id; type_policy `first` or `best` (highest score) the type."""
     agg = observations.groupBy("canonical").agg(
-        F.min_by("first", "at").alias("first"), F.max("best").alias("best"), F.max("score").alias("score"), F.sum("n_mentions").alias("n_mentions"),
-        F.count(F.lit(1)).alias("n_docs"), F.min_by("doc_id", "at").alias("first_doc"), F.min("at.doc_ord").alias("first_ord"),
+        F.min(F.struct("first.*", "doc_id")).alias("first"), *([F.max("best").alias("best")] if type_policy == "best" else []),
+        F.max("score").alias("score"), F.sum("n_mentions").alias("n_mentions"), F.count(F.lit(1)).alias("n_docs"),
     )
     kind = F.col("first.label") if type_policy == "first" else F.col("best.label")
-    return agg.select(fn.entity_id(F.col("first.text"), F.col("first.label")).alias("node_id"), "canonical", F.col("first.text").alias("text"), kind.alias("entity_type"), "score", "n_mentions", "n_docs", "first_doc", "first_ord")
+    return agg.select(fn.entity_id(F.col("first.text"), F.col("first.label")).alias("node_id"), "canonical", F.col("first.text").alias("text"), kind.alias("entity_type"), "score", "n_mentions", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_ord").alias("first_ord"))
 
 
 def edge_observations(relations: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def merge_graph(entities: DataFrame, relations: DataFrame, merge: str = "canonic
     if merge == "containment":
         aliases = cut(alias_leaders(m))
         m, key = m.join(aliases.select(F.col("canonical").alias("__k"), "leader"), F.col("canonical") == F.col("__k")).drop("__k"), "leader"
-    seen = cut(node_observations(m, key))
+    seen = cut(node_observations(m, key, type_policy == "best"))
     nodes = cut(nodes_of(seen, type_policy))
     found = cut(resolve(edge_observations(relations), nodes, aliases))
     node_docs = seen.select("canonical", "doc_id").join(nodes.select("canonical", "node_id"), "canonical").select("node_id", "canonical", "doc_id")

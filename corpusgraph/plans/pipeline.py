@@ -60,7 +60,8 @@ def build_corpus_graph(documents: DataFrame, config: PipelineConfig | None = Non
     else:
         segments = documents.select("doc_id", F.lit(0).alias("segment_ix"), F.col("content").alias("text"), F.array().cast("array<string>").alias("headings"), fn.token_count(F.col("content")).alias("n_tokens"))
     segments = cut(segments)
-    mentions = extractor(segments, labels.where("kind = 'entity'"), c.thresholds.entity)
+    wanted = labels.where("kind = 'entity'").select("doc_id", "label")
+    mentions = extractor(segments, discovery.filter_labels(segments, wanted) if c.filter_labels else wanted, c.thresholds.entity)
     mentions = cut(mentions.join(documents.select("doc_id", F.col("ord").alias("doc_ord")), "doc_id"))
     relations = extract.adjacent_relations(mentions, F.lit("related_to"), F.lit(0.5)).where(F.col("score") >= c.thresholds.relation)
     g = merge.merge_graph(mentions, relations, c.merge, c.type_policy)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
 from corpusgraph.operators import discovery, extract, graph, merge, originality, retrieve, segment, structure, summary
+from corpusgraph.operators.order import running
 from corpusgraph.operators.state import cut
 from corpusgraph.plans.config import Discovery
 from corpusgraph.plans import jobs
@@ -396,7 +397,8 @@ def wl_similarity(spark, sf_dir):
     near = l.select("doc_id", F.col("node").alias("a"), F.explode(F.array(F.col("node") - 1, F.col("node") + 1)).alias("b"))
     near = near.join(l.select("doc_id", F.col("node").alias("b")), ["doc_id", "b"], "left_semi")
     ids = l.select("doc_id").distinct()
-    nxt = ids.withColumn("right_doc", F.lead("doc_id").over(Window.orderBy("doc_id"))).where("right_doc is not null").withColumnRenamed("doc_id", "left_doc")
+    at = running(ids, [F.col("doc_id")], {"at": F.lit(1)})
+    nxt = at.toDF("left_doc", "at").join(at.select(F.col("doc_id").alias("right_doc"), (F.col("at") - 1).alias("at")), "at").drop("at")
     return graph.wl_similarity(graph.wl_histogram(l, near), nxt)
 
 
@@ -777,6 +779,21 @@ def label_topk(spark, sf_dir):
     return discovery.label_top_k(s, ["vec_id"]).withColumn("score", F.round("score", 6))
 
 
+@query(rf"""WITH {SEEDS}, l AS (SELECT doc_id, keyword AS label, key FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) <= 12),
+t AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 7))::BIGINT % 64 AS slot, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS tok FROM documents) GROUP BY 1, 2),
+z AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM t GROUP BY 1),
+sc AS (SELECT l.doc_id, label, coalesce(n, 0) / z AS score FROM l JOIN z USING (doc_id) LEFT JOIN t ON t.doc_id = l.doc_id AND t.slot = ('0x' || substr(md5(l.key), 1, 7))::BIGINT % 64),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, label) AS rank FROM sc)
+SELECT doc_id, 0 AS segment_ix, label, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10 AND (score >= 0.3 OR rank <= 5)""")
+def segment_labels(spark, sf_dir):
+    """Of each document's first twelve long words the nearest to its text."""
+    u = discovery.seed_union(seeds(spark, sf_dir), 0.2)
+    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("ord", "keyword"))), 1, 12), lambda x: x["keyword"])
+    labels = u.groupBy("doc_id").agg(first.alias("l")).select("doc_id", F.explode("l").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("segment_ix"), "text")
+    return discovery.filter_labels(docs, labels).withColumn("score", F.round("score", 6))
+
+
 @query(with_graph("SELECT substr(md5(label || ':' || lower(text)), 1, 12) AS entity_id, arg_min(text, (doc_id, pos)) AS text, arg_min(label, (doc_id, pos)) AS entity_type, arg_min(score, (doc_id, pos))::DOUBLE AS score, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1"))
 def entity_index(spark, sf_dir):
     return merge.entity_index(mentions(spark, sf_dir))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
 from corpusgraph.operators import structure
+from corpusgraph.operators.order import running
 
 
 log = logging.getLogger(__name__)
@@ -121,8 +122,7 @@ class LocalFiles:
             parsed = parsed.withColumn("row", F.lit(0))
         # Files are put in order over their paths and numbers of rows alone, not over their contents.
         files = parsed.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-        before = F.coalesce(F.sum("rows").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        parsed = parsed.join(files.select("path", before.alias("before")), "path")
+        parsed = parsed.join(running(files, [F.col("path")], {"before": F.col("rows")}).drop("rows"), "path")
         return parsed.select(stem.alias("doc_id"), (F.col("before") + F.col("row")).cast("int").alias("ord"), "content", F.lit(f"local_{self.kind}").alias("source"), "metadata")
 
     fetch_fulltext = fetch

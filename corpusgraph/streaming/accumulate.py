@@ -34,7 +34,7 @@ class AccumulatedGraph:
     def _merged(self, name: str, by: list[str], *counts: str) -> DataFrame:
         """Observations with those of one key and document, from several batches, made one."""
         every = self.spark.read.parquet(f"{self.path}/{name}")
-        least = [F.min("at").alias("at")] + ([F.min_by("first", "at").alias("first"), F.max("best").alias("best")] if name == "nodes" else [])
+        least = [F.min("first").alias("first"), F.max("best").alias("best")] if name == "nodes" else [F.min("at").alias("at")]
         return every.groupBy(*by).agg(*least, F.max("score").alias("score"), *[F.sum(c).alias(c) for c in counts])
 
     def node_observations(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
 from corpusgraph.operators import discovery, extract, graph, merge, originality, retrieve, segment, structure, summary
+from corpusgraph.operators.order import running
 from corpusgraph.plans import config, jobs
 from corpusgraph.plans.pipeline import build_corpus_graph
 from corpusgraph.sources import readers, sinks
@@ -269,6 +270,8 @@ def test_pipeline_and_views(spark, tmp_path):
     assert len(context) == r.matched.select("query").distinct().count() and all(c["context"].startswith("## Relevant Entities\n\n-> **") for c in context)
     ideas = spark.createDataFrame([("zebra",), ("graph models deep",)], "idea string")
     assert {x["idea"]: x["status"] for x in originality.idea_status(ideas, g.graph.nodes).collect()} == {"zebra": "not_found", "graph models deep": "partial"}
+    fewer = build_corpus_graph(docs, config.load({"adaptive": {"score_floor": 0.05}, "filter_labels": True}))
+    assert 0 < fewer.entities.count() <= g.entities.count()
     with pytest.raises(ValueError):
         build_corpus_graph(docs.limit(0))
     with pytest.raises(ValueError):
@@ -452,6 +455,18 @@ def test_accumulated_edges_equal_rebuild(spark, tmp_path):
     assert key(live.edges()) == key(edges)
 
 
+def test_running_sums(spark):
+    rng = random.Random(8)
+    values = rng.sample(range(1000), 200)
+    df = spark.createDataFrame([(v, rng.randrange(9)) for v in values], "v int, n int").repartition(7)
+    want, total = {}, 0
+    for r in sorted(df.collect()):
+        want[r["v"]], total = total, total + r["n"]
+    assert {r["v"]: r["before"] for r in running(df, [F.col("v")], {"before": F.col("n")}).collect()} == want
+    assert {r["v"]: r["at"] for r in running(df, [F.desc("v")], {"at": F.lit(1)}).collect()} == {v: i for i, v in enumerate(sorted(values, reverse=True))}
+    assert running(df.limit(0), [F.col("v")], {"at": F.lit(1)}).count() == 0
+
+
 def test_summary_rounding(spark):
     rows = [(str(i), 1 if i == 0 else 2, 1) for i in range(16)]
     nodes = spark.createDataFrame(rows, "node_id string, n_docs long, first_doc long")
