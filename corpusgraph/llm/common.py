@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators.state import cut, delete, shared_path
+from corpusgraph.operators.state import delete, shared_dir, shared_path
 
 SPACE_WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there: lineage ends, and a lost executor loses nothing.
+
+    Results are lazy, so nobody can say when a table behind one may go; a checkpoint's files go with the last use of it,
+    where the session sets spark.cleaner.referenceTracking.cleanCheckpoints."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def space_words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_WORD_BREAK), lambda w: w != "")
@@ -46,13 +55,14 @@ def hinted(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if within(df, most) else df
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, broadcast_rows: int = 200_000) -> DataFrame:
     """Connected components of the edges (a long, b long) as rows (node, root): root is the smallest node reachable.
 
     Every round hooks each node to its smallest neighbour, follows the hooks once more, and contracts the graph;
     so a round at least halves the nodes that still have edges, and a star of any size takes one round. Minima are
-    pre-aggregated before the shuffle, so a node with many neighbours is no hot spot. Nodes without edges are not
-    returned, self-loops are ignored, and no edges give no rows.
+    pre-aggregated before the shuffle, so a node with many neighbours is no hot spot; what many nodes hook to is looked up
+    among those that are hooked to, which are broadcast if they are few. Nodes without edges are not returned, self-loops
+    are ignored, and no edges give no rows.
     """
     spark = edges.sparkSession
     folder = shared_path(spark, "components")
@@ -70,15 +80,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             raise RuntimeError(f"components: no end after {max_rounds} rounds")
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
         hook = both.groupBy("node").agg(F.min("other").alias("up")).select("node", F.least("node", "up").alias("up"))
-        far = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = kept(hook.join(far, "up", "left").select("node", F.coalesce("up2", "up").alias("root")), f"hooks{len(maps)}")
+        hook = kept(hook, f"first{len(maps)}")
+        ups = hook.select("up").distinct()
+        far = hook.select(F.col("node").alias("up"), F.col("up").alias("up2")).join(ups, "up", "left_semi")
+        hook = kept(hook.join(hinted(far, broadcast_rows), "up", "left").select("node", F.coalesce("up2", "up").alias("root")), f"hooks{len(maps)}")
         maps.append(hook)
-        left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
-        edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
+        left = hook.toDF("a", "ra").join(edges.select("a").distinct(), "a", "left_semi")
+        edges = edges.join(hinted(left, broadcast_rows), "a").join(hook.toDF("b", "rb"), "b").where("ra <> rb")
         edges = kept(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"edges{len(maps)}")
     out = maps[0] if maps else edges.toDF("node", "root")
     for later in maps[1:]:
-        out = out.join(later.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        out = out.join(hinted(later.toDF("root", "next"), broadcast_rows), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     out = cut(out)
     delete(spark, folder)
     return out

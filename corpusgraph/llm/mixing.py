@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.common import SPACE_WORD_BREAK, cut, hinted
+from corpusgraph.operators.order import running
 
 
 @dataclass(frozen=True)
@@ -53,23 +54,14 @@ def draw(id_col: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(281474976710656.0)
 
 
-def numbered(df: DataFrame, column: str, p: MixParams) -> DataFrame:
-    """df with `at`: the place of each row, from 0, in the order of a column by code point, null last."""
-    order = [F.col(column).isNull(), F.col(column).asc_nulls_last()]
-    ranged = cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    heads = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    out = ranged.join(hinted(heads.select("range", before.alias("before")), p.broadcast_rows), "range")
-    return out.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1).drop("range", "before")
-
-
 def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
     """(source, size) once for each source -> source, source_size, target.
 
     Water filling: all share what is left by weight; those whose cap is not above their share get the cap, and the others
     share the rest anew."""
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in p.weights]), (F.col("at") % len(p.weights) + 1).cast("int"))
-    df = cut(numbered(sizes, "source", p).withColumn("weight", weight).withColumn("cap", p.most_copies * F.col("size")))
+    by_code_point = [F.col("source").isNull(), F.col("source").asc_nulls_last()]
+    df = cut(running(sizes, by_code_point, {"at": F.lit(1)}).withColumn("weight", weight).withColumn("cap", p.most_copies * F.col("size")))
     total = df.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
     level, capped = (p.budget * total["size"] / total["weight"] if total["n"] else 0.0), 0
     while True:

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import SPACE_WORD_BREAK, cut
+from corpusgraph.llm.common import SPACE_WORD_BREAK, cut, hinted
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -37,6 +37,7 @@ class QualityParams:
     max_repeat_percent: int = 50
     keep_from: float = 0.5
     rounds: int = 15
+    broadcast_rows: int = 200_000
     stop_words: tuple = field(default_factory=lambda: tuple(sorted(set(STOP_WORDS))))
 
 
@@ -169,14 +170,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Qualit
 
 
 def keep_good(docs: DataFrame, text: str = "text", p: QualityParams | None = None) -> DataFrame:
-    """The documents that `score` keeps, with all their columns. The texts are read once: rows go to the shared folder with
-    their counts and votes, and the model and the result come from there."""
+    """The documents that `score` keeps, with all their columns. Counts and votes are made once, and go to the shared folder
+    under the digest of the text, of which they are a function; then rejected digests are joined out."""
     p = p or QualityParams()
-    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]  # the table's names are its own
-    marked = cut(_marked(docs.select(F.struct(*fields).alias("row"), F.col(text).alias("text")), [F.col("row")], "text"))
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    marked = cut(_marked(docs.select(digest.alias("__d"), F.col(f"`{text}`").alias("text")), [F.col("__d")], "text"))
     posterior = fit(vote_patterns(marked), p.rounds).posterior([F.col(f"__v.{r}") for r in RULES])
-    good = marked.where(~base_failed(p) & (posterior >= p.keep_from))
-    return good.select(*[F.col(f"__k0.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rejected = cut(marked.where(base_failed(p) | (posterior < p.keep_from)).select(F.col("__k0").alias("__rejected")).distinct())
+    return docs.join(hinted(rejected, p.broadcast_rows), digest == F.col("__rejected"), "left_anti")
 
 
 def oracle_sql(p: QualityParams | None = None) -> str:

@@ -638,6 +638,43 @@ def test_toxicity_held_out(spark, sf, rows):
     assert caught >= 0.9 * sum(r["toxic"] for r in held) and caught >= 0.95 * sum(r["predicted"] for r in held)
 
 
+def test_very_long_texts(spark):
+    """A text of three megabytes, larger than a worker's slice, goes whole through every operator that reads texts."""
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    item = " ".join(f"bench{i}" for i in range(12))
+    text = " ".join([*words, item, "idiot", "under the mit license", "jane@example.com"])
+    n = len(text.split())
+    docs = spark.createDataFrame([(1, text, "a"), (2, text, "a"), (3, "short one", "b")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
+    q = by_id(quality.score(docs))[1]
+    seen = Counter(zip(text.split(), text.split()[1:], text.split()[2:]))
+    covered = {p for i, g in enumerate(zip(text.split(), text.split()[1:], text.split()[2:])) if seen[g] > 1 for p in (i, i + 1, i + 2)}
+    assert (q["n_words"], q["n_repeat_words"]) == (n, len(covered))
+    j = by_id(jaccard.classes(docs, p=jaccard.JaccardParams(3, 90, light=3, spread=1.3)))
+    assert j[2]["component_id"] == 1 and j[1]["n_shingles"] == len(seen) and j[3]["component_id"] == 3
+    d = by_id(decontaminate.inspect(docs, bench))[2]
+    assert (d["n_hit"], d["n_items"], d["contaminated"]) == (12, 1, True)
+    lic = by_id(licenses.scan(docs))[1]
+    assert (lic["n_base"], lic["base_labels"]) == (1, "mit") and lic["first_word"] == lic["last_word"] > 400_000
+    assert by_id(pii.scan(docs))[1]["n_email"] == 1 and by_id(mixing.allocate(docs))[1]["size"] == n
+    page = spark.createDataFrame([(1, "u", f"<article><p>{text}</p></article>")], "page_id long, url string, html string")
+    assert html_extract.extract(page).first()["n_chars"] == len(text)
+    assert {r["shard_rows"] for r in sharding.assignments(docs).collect()} <= {1, 2, 3}
+    assert toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 3
+
+
+def test_ids_as_texts(spark):
+    """Whole numbers as texts are ids as well; other texts are an error, not a null."""
+    docs = spark.createDataFrame([("12", "a b c d e f"), ("7", "a b c d e f")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.classes(docs).collect()} == {(7, 7), (12, 7)}
+    bad = docs.union(spark.createDataFrame([("x1", "a")], docs.schema))
+    for operator in (jaccard.classes, licenses.scan, pii.scan, sharding.assignments):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            operator(bad).collect()
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force, or the SQL of its operator, on its own input."""
     import corpus_pipeline as cp
