@@ -2,17 +2,18 @@
 
 Mentions carry their order (doc_ord, segment_ix, pos); "first" always means first in it, never in order of arrival.
 Tables: entity mentions (doc_id, doc_ord, segment_ix, pos, text, label, score) and relation mentions (doc_id, doc_ord,
-segment_ix, pos, head_text, relation_type, tail_text, score). They are reduced at once to one row for each key and
+segment_ix, pos, head_text, relation_type, tail_text, score); a doc_ord is one document's. They are reduced at once to one row for each key and
 document, the observations, which tasks combine before the shuffle; all that follows comes from those. A graph has nodes
 (node_id, canonical, text, entity_type, score, n_mentions, n_docs, first_doc, first_ord), edges (source, target,
-relation_type, score, n_seen, n_docs, first_doc, first_at), and for the documents of each the tables node_docs (node_id, canonical,
+relation_type, score, n_seen, n_docs, first_doc, first_ord, first_at), and for the documents of each the tables node_docs (node_id, canonical,
 doc_id) and edge_docs (source, target, relation_type, doc_id). A concept of all documents has as many rows there, spread by
 document; no value and no task holds them together.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,27 @@ from corpusgraph.functions import text as fn
 from corpusgraph.operators.state import cut
 
 
-@dataclass
 class Graph:
-    nodes: DataFrame
-    edges: DataFrame
-    node_docs: DataFrame
-    edge_docs: DataFrame
+    """The four tables. Edges and their documents may be given as functions, and are then made when they are first asked for."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame | Callable[[], DataFrame], node_docs: DataFrame, edge_docs: DataFrame | Callable[[], DataFrame]):
+        self.nodes, self._edges, self.node_docs, self._edge_docs = nodes, edges, node_docs, edge_docs
+
+    @property
+    def edges(self) -> DataFrame:
+        if not isinstance(self._edges, DataFrame):
+            self._edges = self._edges()
+        return self._edges
+
+    @edges.setter
+    def edges(self, edges: DataFrame) -> None:
+        self._edges = edges
+
+    @property
+    def edge_docs(self) -> DataFrame:
+        if not isinstance(self._edge_docs, DataFrame):
+            self._edge_docs = self._edge_docs()
+        return self._edge_docs
 
 
 def order() -> Column:
@@ -58,9 +74,11 @@ def nodes_of(observations: DataFrame, type_policy: str = "first") -> DataFrame:
 
 
 def edge_observations(relations: DataFrame) -> DataFrame:
-    """(head_key, tail_key, relation_type, doc_id, doc_ord, at, score, n_seen): one row for each relation of a document."""
+    """(head_key, tail_key, relation_type, doc_id, doc_ord, at, score, n_seen): one row for each relation of a document. `at` is
+    its first place in the document as one number, so that the aggregate's values are all of fixed length and hashed."""
+    place = F.shiftleft(F.col("segment_ix").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     r = relations.withColumns({"head_key": fn.canonical(F.col("head_text")), "tail_key": fn.canonical(F.col("tail_text"))})
-    return r.groupBy("head_key", "tail_key", "relation_type", "doc_id", "doc_ord").agg(F.min(order()).alias("at"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_seen"))
+    return r.groupBy("head_key", "tail_key", "relation_type", "doc_id", "doc_ord").agg(F.min(place).alias("at"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_seen"))
 
 
 def resolve(observations: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -74,14 +92,14 @@ def resolve(observations: DataFrame, nodes: DataFrame, aliases: DataFrame | None
     for end, name in (("head", "source"), ("tail", "target")):
         n = nodes.select(F.col("canonical").alias("__k"), F.col("node_id").alias(name), F.col("first_ord").alias("__o"))
         r = r.join(n, (F.col(f"{end}_key") == F.col("__k")) & (F.col("__o") <= F.col("doc_ord"))).drop("__k", "__o")
-    r = r.select("source", "target", "relation_type", "doc_id", "at", "score", "n_seen")
+    r = r.select("source", "target", "relation_type", "doc_id", "doc_ord", "at", "score", "n_seen")
     if aliases is not None:
-        r = r.groupBy("source", "target", "relation_type", "doc_id").agg(F.min("at").alias("at"), F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"))
+        r = r.groupBy("source", "target", "relation_type", "doc_id", "doc_ord").agg(F.min("at").alias("at"), F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"))
     return r
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("source", "target", "relation_type").agg(F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"), F.count(F.lit(1)).alias("n_docs"), F.min_by("doc_id", "at").alias("first_doc"), F.min("at").alias("first_at"))
+    return resolved.groupBy("source", "target", "relation_type").agg(F.max("score").alias("score"), F.sum("n_seen").alias("n_seen"), F.count(F.lit(1)).alias("n_docs"), F.min_by("doc_id", "doc_ord").alias("first_doc"), F.min("doc_ord").alias("first_ord"), F.min_by("at", "doc_ord").alias("first_at"))
 
 
 def with_docs(rows: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
@@ -92,7 +110,7 @@ def with_docs(rows: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
 
 def merge_graph(entities: DataFrame, relations: DataFrame, merge: str = "canonical", type_policy: str = "first") -> Graph:
     """The graph of mentions; merge `containment` first joins keys that contain one another. Observations and nodes are
-    tables in the shared folder, as all parts of the graph come from them."""
+    tables in the shared folder, as all parts of the graph come from them; those of edges are made when edges are used."""
     m = keyed(entities)
     aliases, key = None, "canonical"
     if merge == "containment":
@@ -100,9 +118,9 @@ def merge_graph(entities: DataFrame, relations: DataFrame, merge: str = "canonic
         m, key = m.join(aliases.select(F.col("canonical").alias("__k"), "leader"), F.col("canonical") == F.col("__k")).drop("__k"), "leader"
     seen = cut(node_observations(m, key, type_policy == "best"))
     nodes = cut(nodes_of(seen, type_policy))
-    found = cut(resolve(edge_observations(relations), nodes, aliases))
+    found = cache(lambda: cut(resolve(edge_observations(relations), nodes, aliases)))
     node_docs = seen.select("canonical", "doc_id").join(nodes.select("canonical", "node_id"), "canonical").select("node_id", "canonical", "doc_id")
-    return Graph(nodes, edges_of(found), node_docs, found.select("source", "target", "relation_type", "doc_id"))
+    return Graph(nodes, lambda: edges_of(found()), node_docs, lambda: found().select("source", "target", "relation_type", "doc_id"))
 
 
 def contained_pairs(keys: DataFrame) -> DataFrame:

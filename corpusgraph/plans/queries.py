@@ -532,6 +532,35 @@ def alias_leaders(spark, sf_dir):
     return merge.alias_leaders(k)
 
 
+QUICK = """pm AS MATERIALIZED (SELECT p_partkey % 50 AS doc_id, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END AS text, p_brand AS label, lower(CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END) AS c FROM part),
+o AS MATERIALIZED (SELECT c, string_split(c, ' ') AS t, row_number() OVER (ORDER BY min((doc_id, pos)), c) AS i FROM pm GROUP BY c),
+r AS (SELECT 0::BIGINT AS i, '' AS c, '' AS leader, []::VARCHAR[] AS leaders UNION ALL
+  SELECT i, c, coalesce(f, c), CASE WHEN f IS NULL THEN list_append(leaders, c) ELSE leaders END FROM (
+    SELECT o.i, o.c, r.leaders, list_filter(r.leaders, lambda x: list_has_all(string_split(x, ' '), o.t) OR list_has_all(o.t, string_split(x, ' ')))[1] AS f FROM r JOIN o ON o.i = r.i + 1)),
+qn AS MATERIALIZED (SELECT leader, arg_min(text, (doc_id, pos)) AS text, arg_min(label, (doc_id, pos)) AS label, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_ord FROM pm JOIN r USING (c) GROUP BY leader),
+qi AS MATERIALIZED (SELECT *, substr(md5(label || ':' || lower(text)), 1, 12) AS node_id FROM qn)"""
+
+
+def quick_graph(spark, sf_dir):
+    """Parts as mentions, every third by the first word of its name only; each is related to the next of its document."""
+    p = table(spark, sf_dir, "part")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.split("p_name", " ")[0]).otherwise(F.col("p_name"))
+    d = (F.col("p_partkey") % 50).alias("doc_id")
+    m = p.select(d, d.alias("doc_ord"), F.lit(0).alias("segment_ix"), F.col("p_partkey").alias("pos"), text.alias("text"), F.col("p_brand").alias("label"), F.lit(0.5).alias("score"))
+    return merge.merge_graph(m, extract.adjacent_relations(m, F.lit("next"), F.lit(0.5)), "containment")
+
+
+@query(f"WITH RECURSIVE {QUICK} SELECT node_id, leader AS canonical, text, n_mentions, n_docs FROM qi")
+def quick_nodes(spark, sf_dir):
+    return quick_graph(spark, sf_dir).nodes.select("node_id", "canonical", "text", "n_mentions", "n_docs")
+
+
+@query(f"""WITH RECURSIVE {QUICK}, x AS (SELECT doc_id, c, lead(c) OVER (PARTITION BY doc_id ORDER BY pos) AS c2 FROM pm)
+SELECT h.node_id AS source, t.node_id AS target, count(*) AS n_seen, count(DISTINCT doc_id) AS n_docs FROM x JOIN r a ON a.c = x.c JOIN r b ON b.c = x.c2 JOIN qi h ON h.leader = a.leader AND h.first_ord <= doc_id JOIN qi t ON t.leader = b.leader AND t.first_ord <= doc_id GROUP BY 1, 2""")
+def quick_edges(spark, sf_dir):
+    return quick_graph(spark, sf_dir).edges.select("source", "target", "n_seen", "n_docs")
+
+
 @query("WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part) SELECT a.c AS a, b.c AS b FROM k a, k b WHERE a.c < b.c AND list_has_any(string_split(a.c, ' '), string_split(b.c, ' '))")
 def touches_pairs(spark, sf_dir):
     k = table(spark, sf_dir, "part").select(F.lower("p_name").alias("c")).distinct().select("c", F.explode(fn.words(F.col("c"))).alias("token")).distinct()
