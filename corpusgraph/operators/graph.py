@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.operators.order import running
-from corpusgraph.operators.state import cut
+from corpusgraph.operators.state import cut, hinted
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -18,13 +18,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, relation_types: list[str] | None = None) -> DataFrame:
     """(start, node_id, hops): nodes within `depth` undirected hops of each start, the start itself left out.
 
-    starts: (start). One join for a hop; what was reached is taken out before the next."""
+    starts: (start). What was reached is looked for in the edges where they lie, broadcast while it is small, and taken out of
+    what the next hop finds."""
     e = edges if relation_types is None else edges.where(F.col("relation_type").isin(relation_types))
-    step = cut(both_ways(e)) if depth > 1 else both_ways(e)
-    seen = starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hops"))
+    e = e.select("source", "target") if depth == 1 else cut(e.select("source", "target"))
+    seen = cut(starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hops")))
     front = seen
     for hop in range(1, depth + 1):
-        new = front.join(step, F.col("node_id") == F.col("a")).select("start", F.col("b").alias("node_id")).distinct()
+        near = hinted(front.select("start", F.col("node_id").alias("__at")))
+        new = e.join(near, F.col("source") == F.col("__at")).select("start", F.col("target").alias("node_id"))
+        new = new.union(e.join(near, F.col("target") == F.col("__at")).select("start", F.col("source").alias("node_id"))).distinct()
         front = new.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("hops", F.lit(hop))
         front = cut(front) if hop < depth else front
         seen = seen.union(front)
@@ -68,31 +71,32 @@ def pagerank(edges: DataFrame, iterations: int = 5, damping: float = 0.85) -> Da
     """(node_id, rank) after a fixed number of iterations over directed links; edges (source, target). The mass of nodes
     without out-links is spread over all: it is what a round does not pass on."""
     links = edges.select("source", "target").distinct()
-    out = F.count(F.lit(1)).over(Window.partitionBy("source"))
-    links = cut(links.withColumn("n_out", out))
+    # Kept by source from here on, so no round shuffles the links again; from the edges if an executor is lost.
+    links = links.withColumn("n_out", F.count(F.lit(1)).over(Window.partitionBy("source"))).persist()
     ids = cut(links.select(F.col("source").alias("node_id")).union(links.select("target")).distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
-        given = links.join(ranks, F.col("source") == F.col("node_id")).groupBy("target").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        given = cut(given)
+        given = cut(links.join(ranks, F.col("source") == F.col("node_id")).groupBy("target").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got")))
         loose = 1.0 - (given.agg(F.sum("got")).first()[0] or 0.0)
         got = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
         ranks = ids.join(given, F.col("node_id") == F.col("target"), "left").select("node_id", (F.lit((1 - damping) / n) + got).alias("rank"))
+    links.unpersist()
     return ranks
 
 
 def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(node_id, value): power iteration on the undirected graph (shifted by one, so it also settles on bipartite ones)."""
-    pairs = cut(both_ways(edges))
+    pairs = both_ways(edges).repartition("b").persist()
     value = pairs.select(F.col("a").alias("node_id")).distinct().withColumn("value", F.lit(1.0))
     for _ in range(iterations):
         got = pairs.join(value, F.col("b") == F.col("node_id")).groupBy("a").agg(F.sum("value").alias("got"))
         value = cut(value.join(got, F.col("node_id") == F.col("a")).select("node_id", (F.col("value") + F.col("got")).alias("value")))
         size = value.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 1.0
         value = value.withColumn("value", F.col("value") / F.lit(size))
+    pairs.unpersist()
     return value
 
 

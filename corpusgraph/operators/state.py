@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -40,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows, and left to a shuffle join otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as fn
 from corpusgraph.operators.merge import Graph
+from corpusgraph.operators.state import hinted
 
 
 def corpus_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,8 +29,11 @@ def doc_novelty(documents: DataFrame, graph: Graph) -> DataFrame:
     return out.select("doc_id", *[zero(c).alias(c) for c in ("nodes_in_doc", "unique_nodes", "unique_edges")], ratio.alias("novelty"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Relations of each node, or of those of ids (node_id) only."""
     ends = edges.select(F.col("source").alias("node_id")).union(edges.select("target"))
+    if ids is not None:
+        ends = ends.join(hinted(ids.select("node_id").distinct()), "node_id", "left_semi")
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
