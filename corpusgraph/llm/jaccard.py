@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import components, cut, hinted, portions
+from corpusgraph.llm.common import components, cut, hinted, joined_few, portions, without
 from corpusgraph.llm.decontaminate import WordHashes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -159,7 +159,8 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray, p: JaccardParams) -> Ite
         yield np.concatenate(out), spare
 
 
-PROFILE = "id long, n_shingles long, print1 long, print2 long, prints array<long>, spare array<long>"
+SET = ["print1", "print2", "n_shingles"]
+PROFILE = "id long, n_shingles long, print1 long, print2 long, spare array<long>"
 
 
 def _profiler(p: JaccardParams):
@@ -170,16 +171,26 @@ def _profiler(p: JaccardParams):
             values, sizes = shingle_sets(texts, p.shingle, memo)
             upto = np.cumsum(sizes)
             one, two = (np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (values, mixed(values + U(1))))
-            published = list(fingerprints(values, sizes, p))
-            prints, spare = [x for x, _ in published], [x for _, x in published]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prints])]).astype(np.int32)
-            flat = np.concatenate([*prints, np.zeros(0, U)]).view(np.int64)
+            spare = [x for _, x in fingerprints(values, sizes, p)]
             of = lambda s: pa.array((s[upto] - s[upto - sizes]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), of(one), of(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(spare, pa.list_(pa.int64()))], ["id", "n_shingles", "print1", "print2", "prints", "spare"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), of(one), of(two), pa.array(spare, pa.list_(pa.int64()))], ["id", "n_shingles", "print1", "print2", "spare"])
 
     return profile
 
 
+def _publisher(p: JaccardParams):
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in portions(batches, "text"):
+            values, sizes = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), p.shingle, memo)
+            prints = [x for x, _ in fingerprints(values, sizes, p)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prints])]).astype(np.int32)
+            flat = np.concatenate([*prints, np.zeros(0, U)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "prints"])
+
+    return publish
+
+
 def _set_maker(p: JaccardParams):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -315,11 +326,21 @@ def _profiles(docs: DataFrame, p: JaccardParams) -> DataFrame:
     return cut(docs.select("id", "text").mapInArrow(_profiler(p), PROFILE))
 
 
-def _candidates(profiles: DataFrame, p: JaccardParams) -> DataFrame:
-    """(node, root) of the representatives that share a fingerprint with another, group by group."""
+def _copied(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that are not empty, and of those that several ids have the smallest one: (print1, print2, n_shingles, rep)."""
     sets = profiles.where("id is not null and n_shingles > 0")
-    reps = sets.groupBy("print1", "print2", "n_shingles").agg(F.min_by("prints", "id").alias("prints"), F.min("id").alias("id"))
-    published = reps.select("id", F.explode("prints").alias("print"))
+    return sets, sets.groupBy(*SET).agg(F.min("id").alias("rep"), F.max("id").alias("far")).where("rep < far").drop("far")
+
+
+def _candidates(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
+    """(node, root) of the representatives that share a fingerprint with another, group by group.
+
+    Fingerprints are many bytes for each byte of input, so they are made from the texts again and only shuffled once; ids of
+    which no set is a representative publish none."""
+    sets, reps = _copied(profiles)
+    copies = sets.join(hinted(reps, p.broadcast_rows), SET, "left").groupBy("id").agg(F.min(F.coalesce(F.col("id") != F.col("rep"), F.lit(False))).alias("copy"))
+    own = without(docs.where("id is not null").select("id", "text"), F.col("id"), cut(copies.where("copy").select(F.col("id").alias("copy"))), "copy", p.broadcast_rows)
+    published = own.mapInArrow(_publisher(p), "id long, prints array<long>").select("id", F.explode("prints").alias("print"))
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # With the conditions that the join below infers stated here, both uses of this exchange are the same and share it.
     published = published.where("id is not null and print is not null").repartition(n, "print")
@@ -370,11 +391,10 @@ def links(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
     sizes = profiles.where("id is not null and n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     # A little wider than the ratio of sizes that link: they are of one step or of neighbouring ones.
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(1 / min(p.t, 0.999)))).cast("int").alias("step")
-    groups = _candidates(profiles, p)
+    groups = _candidates(docs, profiles, p)
     members = groups.join(sizes, groups["node"] == sizes["id"]).select("node", "root", "n_shingles", step)
     members = cut(_blocks(members, ["root", "step"], p))
-    side = hinted(members.select("node", "block"), p.broadcast_rows)
-    texts = docs.where("id is not null").join(side, docs["id"] == side["node"]).select("id", "block", "text")
+    texts = joined_few(docs.where("id is not null"), F.col("id"), members.select("node", "block"), "node", p.broadcast_rows).select("id", "block", "text")
     sets = cut(texts.mapInArrow(_set_maker(p), f"id long, {BLOCK}, shingles array<long>").where(F.size("shingles") > 0))
     found = _join_within(sets, p)
 
@@ -408,11 +428,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Jacc
     p = p or JaccardParams()
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = _profiles(own, p)
-    key = ["print1", "print2", "n_shingles"]
-    sets = profiles.where("id is not null and n_shingles > 0")
-    reps = sets.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("far")).where("rep < far").drop("far")
+    sets, reps = _copied(profiles)
     # Copies are tied to their representative, and with them the sets of one id, as each of them is some group's.
-    same_id = sets.join(hinted(reps, p.broadcast_rows), key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same_id = sets.join(hinted(reps, p.broadcast_rows), SET).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     root = components(links(own, profiles, p).union(same_id))
     out = profiles.join(root, profiles["id"] == root["node"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
@@ -423,8 +441,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Jac
 
     Rows that repeat the id that stays all stay; rows with a null id stay."""
     gone = classes(docs, id_col, text, p).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
-    gone = hinted(cut(gone), (p or JaccardParams()).broadcast_rows)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return without(docs, docs[id_col].cast("long"), cut(gone), "__gone", (p or JaccardParams()).broadcast_rows)
 
 
 def oracle_sql(p: JaccardParams) -> str:

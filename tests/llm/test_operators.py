@@ -138,6 +138,18 @@ def test_jaccard(spark, p):
     assert jaccard.classes(empty(docs), p=p).count() == 0
 
 
+def test_jaccard_moves_few_texts(spark):
+    """Fingerprints are in no table, and beyond the broadcast limit only texts that can match are shuffled."""
+    docs = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"))
+    few = spark.range(0, 3000, 50).select(F.col("id").alias("few"))
+    may = common.sieve(few)
+    passed = [r["id"] for r in docs.where(may(F.col("id"))).select("id").collect()]
+    assert set(passed) >= set(range(0, 3000, 50)) and len(passed) < 200
+    assert sorted(r["id"] for r in common.joined_few(docs, F.col("id"), few, "few", 3).collect()) == list(range(0, 3000, 50))
+    assert sorted(r["id"] for r in common.without(docs, F.col("id"), few, "few", 3).collect()) == [i for i in range(3000) if i % 50]
+    assert "prints" not in jaccard._profiles(docs, jaccard.JaccardParams()).columns
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
