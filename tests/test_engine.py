@@ -310,6 +310,19 @@ def test_paths_make_no_dead_ends(spark, monkeypatch):
     assert len(fronts) == 2 and max(fronts) < 20
 
 
+def test_context_pieces(spark):
+    """Lines joined piece by piece are those of one sort, whatever the batches."""
+    rng = random.Random(2)
+    rows = [(q, f"s{rng.randrange(40)}", "r", f"t{rng.randrange(40)}") for q in ("a", "b") for _ in range(400)]
+    lines = spark.createDataFrame(rows, "q string, s string, r string, t string").withColumn("line", F.concat_ws(" ", "s", "r", "t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    pieces = retrieve.joined_pieces(lines.repartition(5), "q", ["s", "r", "t"]).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(pieces) > 10
+    for q in ("a", "b"):
+        assert "\n".join(p["piece"] for p in sorted(pieces, key=lambda p: (p["part"], p["ix"])) if p["q"] == q) == "\n".join(" ".join(r[1:]) for r in sorted(r for r in rows if r[0] == q))
+
+
 def test_parsed_triples(spark):
     rows = [  # "IBM acquired Red Hat in 2019 ." / "It presents BLIP on COCO ."
         (1, 0, 0, "IBM", "IBM", "PROPN", "nsubj", 1, "ORG", "IBM"), (1, 0, 1, "acquired", "acquire", "VERB", "ROOT", 1, "", None), (1, 0, 2, "Hat", "Hat", "PROPN", "dobj", 1, "ORG", "Red Hat"), (1, 0, 3, "in", "in", "ADP", "prep", 1, "", None), (1, 0, 4, "2019", "2019", "NUM", "pobj", 3, "DATE", "2019"),
