@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm.common import components, cut, hinted, joined_few, portions, without
 from corpusgraph.llm.decontaminate import WordHashes
+from corpusgraph.operators.state import release
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -347,6 +348,8 @@ def _candidates(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataF
     hubs = published.groupBy("print").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count(F.lit(1)).alias("n")).where("hub < far").drop("far")
     ties = published.join(hubs.hint("merge"), "print").where((F.col("id") != F.col("hub")) | (F.col("n") > p.hot_sets))  # both sides spill
     ties = cut(ties.select("id", "hub", (F.col("n") > p.hot_sets).alias("hot"), F.col("print").bitwiseAND(7).alias("k")))
+    del own, published, hubs
+    release(sets.sparkSession)
     return components(_needed(ties, sets).select(F.col("id").alias("a"), F.col("hub").alias("b")))
 
 
@@ -377,7 +380,10 @@ BLOCK = "block struct<root:long,step:int,part:int>"
 
 def _join_within(sets: DataFrame, p: JaccardParams) -> DataFrame:
     rows = sets.select("block", "id", F.col("id").alias("known"), F.lit(0).alias("side"), "shingles")
-    return cut(rows.groupBy("block").applyInPandas(_block_joiner(p), "a long, b long"))
+    found = cut(rows.groupBy("block").applyInPandas(_block_joiner(p), "a long, b long"))
+    del rows
+    release(found.sparkSession)
+    return found
 
 
 def _with_class(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -392,10 +398,13 @@ def links(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
     # A little wider than the ratio of sizes that link: they are of one step or of neighbouring ones.
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(1 / min(p.t, 0.999)))).cast("int").alias("step")
     groups = _candidates(docs, profiles, p)
+    release(docs.sparkSession)
     members = groups.join(sizes, groups["node"] == sizes["id"]).select("node", "root", "n_shingles", step)
     members = cut(_blocks(members, ["root", "step"], p))
     texts = joined_few(docs.where("id is not null"), F.col("id"), members.select("node", "block"), "node", p.broadcast_rows).select("id", "block", "text")
     sets = cut(texts.mapInArrow(_set_maker(p), f"id long, {BLOCK}, shingles array<long>").where(F.size("shingles") > 0))
+    del texts
+    release(docs.sparkSession)
     found = _join_within(sets, p)
 
     # One set of each class against those of the group's other classes.
@@ -419,8 +428,10 @@ def links(docs: DataFrame, profiles: DataFrame, p: JaccardParams) -> DataFrame:
     known = sets.join(classed.select("node", "class"), sets["id"] == classed["node"]).select("block", "id", F.col("class").alias("known"), "shingles")
     sides = F.explode(F.array(F.struct(F.col("block1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.lit(1).alias("side"))))
     sides = pairs.select("block1", "block2", sides.alias("x")).select("block1", "block2", "x.*")
-    across = known.join(sides, "block").groupBy("block1", "block2").applyInPandas(_block_joiner(p), "a long, b long")
-    return found.union(cut(across))
+    across = cut(known.join(sides, "block").groupBy("block1", "block2").applyInPandas(_block_joiner(p), "a long, b long"))
+    del known, sides
+    release(docs.sparkSession)
+    return found.union(across)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: JaccardParams | None = None) -> DataFrame:
@@ -441,7 +452,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Jac
 
     Rows that repeat the id that stays all stay; rows with a null id stay."""
     gone = classes(docs, id_col, text, p).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
-    return without(docs, docs[id_col].cast("long"), cut(gone), "__gone", (p or JaccardParams()).broadcast_rows)
+    gone = cut(gone)
+    release(docs.sparkSession)
+    return without(docs, docs[id_col].cast("long"), gone, "__gone", (p or JaccardParams()).broadcast_rows)
 
 
 def oracle_sql(p: JaccardParams) -> str:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import threading
+import time
 from collections import Counter
 
 import duckdb
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import common, decontaminate, html_extract, jaccard, licenses, mixing, pii, quality, sharding, toxicity, url_filters
+from corpusgraph.operators.state import release
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -150,6 +152,30 @@ def test_jaccard_moves_few_texts(spark):
     assert "prints" not in jaccard._profiles(docs, jaccard.JaccardParams()).columns
 
 
+def test_without_moves_no_texts(spark):
+    """Keys alone are compared; a null key stays, and of the rows that seem to be some of few's those that are not."""
+    docs = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("x").alias("text")).unionAll(spark.range(20).selectExpr("7", "'again'"))
+    few = spark.range(0, 3000, 2).withColumnRenamed("id", "few")
+    out = common.without(docs, F.col("id"), few, "few", 3)
+    assert Counter((r["id"], r["text"]) for r in out.collect()) == Counter([(None, "x"), *[(i, "x") for i in range(1, 3000, 2)], *[(7, "again")] * 20])
+    moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert not moved
+
+
+def test_dead_shuffles_are_deleted(spark, monkeypatch):
+    """What the phases of the near-duplicate join shuffled is gone with the phase, not whenever the driver collects garbage."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["ka", "mo", "ti", "su"]) + str(rng.randrange(300)) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, texts[i % 40] + " end" * (i // 40)) for i in range(120)], "doc_id long, text string")
+    release(spark)
+    time.sleep(2)
+    before, seen = files(), []
+    monkeypatch.setattr(jaccard, "release", lambda s: (release(s), time.sleep(2), seen.append(files() - before)))
+    assert jaccard.keep_one(docs).count() == 40
+    assert len(seen) > 3 and max(seen) < 40, seen
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
