@@ -361,6 +361,20 @@ def test_pipeline_and_views(spark, tmp_path):
         config.load({"discovery": {"pronouns": []}})
 
 
+def test_context_is_made_once(spark):
+    """The whole text is put together where it is returned: no join and no shuffle has it as a column."""
+    nodes = spark.createDataFrame([("a", "Alpha", "t"), ("b", "Beta", None), ("c", "Gamma", "t")], "node_id string, text string, entity_type string")
+    top = spark.createDataFrame([("q", 1, True, "Alpha", "t"), ("q", 2, False, "Beta", None), ("z", 1, True, "Gamma", "t")], "query string, rank int, is_match boolean, text string, entity_type string")
+    rel = spark.createDataFrame([("q", "a", "b", "r"), ("q", "b", "a", "r"), ("q", "a", "b", "n"), ("none", "a", "b", "r")], "query string, source string, target string, relation_type string")
+    out = retrieve.format_context(retrieve.Retrieval(None, top, rel, None), nodes)
+    assert {r["query"]: r["context"] for r in out.collect()} == {
+        "q": "## Relevant Entities\n\n-> **Alpha** (t)\n   **Beta** (unknown)\n\n## Known Relationships\n\n- Alpha --[n]--> Beta\n- Alpha --[r]--> Beta\n- Beta --[r]--> Alpha",
+        "z": "## Relevant Entities\n\n-> **Gamma** (t)",
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInPandas")]
+
+
 def test_jobs(spark):
     a, steps = jobs.start(spark, topic="Graph nets", mode="deep")
     assert a.first()["id"] == "analysis_graph_nets"
