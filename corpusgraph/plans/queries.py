@@ -481,8 +481,9 @@ def eigenvector_3(spark, sf_dir):
 
 
 def document_edges(spark, sf_dir):
-    """(doc_id, source, target): the relations inside each document."""
-    return triples(spark, sf_dir).select("doc_id", fn.topic_key(F.col("source")).alias("source"), fn.topic_key(F.col("target")).alias("target")).distinct()
+    """(doc_id, source, target): the relations inside each document, as two arrays."""
+    w = word_rows(spark, sf_dir).select("doc_id", F.transform("w", fn.topic_key).alias("w")).where(F.size("w") > 1)
+    return w.select("doc_id", F.slice("w", 1, F.size("w") - 1).alias("source"), F.slice("w", 2, F.size("w") - 1).alias("target"))
 
 
 @query()

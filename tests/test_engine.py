@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +278,63 @@ def test_betweenness_at_once():
     assert graph.betweenness(rungs, lambda adj: "plain", 1 << 14) == "plain"
 
 
+def sparse_graphs(rng, many):
+    """Walks over words, rings, trees, and few nodes joined by long chains, some of them side by side or back to their start."""
+    for t in range(many):
+        if t % 4 == 0:
+            k = rng.randrange(3, 60)
+            w = [rng.randrange(k) for _ in range(rng.randrange(4, 120))]
+            yield list(zip(w, w[1:]))
+        elif t % 4 == 1:
+            n = rng.randrange(3, 30)
+            yield [(i, (i + 1) % n) for i in range(n)]
+        elif t % 4 == 2:
+            yield [(i, rng.randrange(i)) for i in range(1, rng.randrange(3, 20))]
+        else:
+            e, free = [], 6
+            for _ in range(rng.randrange(1, 12)):
+                at, end = rng.randrange(6), rng.randrange(6)
+                for free in range(free, free + rng.randrange(2, 6)):
+                    e.append((at, free))
+                    at = free
+                e.append((at, end))
+                free += 1
+            yield e
+
+
+def test_betweenness_by_chains():
+    """What is found between branching nodes and spread over the chains equals one search from each node, at a fraction of its time."""
+    rng, found = random.Random(17), 0
+    for e in sparse_graphs(rng, 200):
+        g = graph.document_graph(pa.array([str(a) for a, _ in e]), pa.array([str(b) for _, b in e]))
+        want = graph.brandes(graph.neighbours_of(g))
+        assert dict(zip(g.names.to_pylist(), graph.shortest(g))).keys() == want.keys()
+        x, y = graph.both_sides(g)
+        for most in (1 << 17, 40):
+            got = graph.chained(len(want), x[x < y], y[x < y], most) if len(want) > 2 else None
+            found += got is not None
+            for values in (graph.shortest(g), got if got is not None else graph.shortest(g)):
+                assert all(abs(want[v] - b) < 1e-9 for v, b in zip(g.names.to_pylist(), values, strict=True))
+    assert found > 200
+    w = [rng.randrange(700) if rng.random() < 0.3 else 1000 + i for i in range(1500)]
+    g = graph.document_graph(pa.array([str(a) for a in w[:-1]]), pa.array([str(b) for b in w[1:]]))
+    began = time.process_time()
+    values = graph.shortest(g)
+    once = time.process_time()
+    want = graph.betweenness(graph.neighbours_of(g), graph.brandes)
+    assert all(abs(want[v] - b) < 1e-9 for v, b in zip(g.names.to_pylist(), values, strict=True)) and 2 * (once - began) < time.process_time() - once
+
+
+def test_graphs_of_documents_in_one_row(spark):
+    """Edges row by row, as arrays, and as several rows of arrays of a document are the same graph; null documents are one, and a
+    document without edges between different nodes has no rows."""
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "b", "b"), (1, "c", "d"), (None, "x", "y"), (None, "y", "z"), (2, "s", "s"), (3, None, "q")], "doc_id int, source string, target string")
+    packed = spark.createDataFrame([(1, ["a", "b"], ["b", "c"]), (1, ["b", "c"], ["b", "d"]), (None, ["x"], ["y"]), (None, ["y"], ["z"]), (2, ["s"], ["s"]), (3, [], [])], "doc_id int, source array<string>, target array<string>")
+    for run in (lambda x: graph.per_graph(x, "betweenness"), lambda x: graph.per_graph(x, "communities"), graph.multi_centrality):
+        one, two = ({(r["doc_id"], r["node_id"]): round(r["value"], 9) for r in run(x).collect()} for x in (e, packed))
+        assert one == two and one.keys() == {*((1, v) for v in "abcd"), *((None, v) for v in "xyz")}
+
+
 def test_multi_centrality_equals_loops(spark):
     edges = sorted(some_graph(random.Random(5), 14, 30))
     names = sorted({v for e in edges for v in e})
